@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FOLLOWER_BUCKETS
+from ..small import small_table
 
 
 def bucket_ord(followers: Column) -> Column:
@@ -26,4 +27,4 @@ def bucket_label(followers: Column) -> Column:
 def bucket_dimension(spark: SparkSession) -> DataFrame:
     """The four buckets as a table."""
     rows = [(number, label) for number, label, _, _ in FOLLOWER_BUCKETS]
-    return spark.createDataFrame(rows, "bucket_ord int, follower_category string")
+    return small_table(spark, rows, "bucket_ord int, follower_category string")

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from ..constants import DELETED, ERROR
 from ..functions.times import age_days, as_timestamp, from_epoch
+from .joins import join_hot
 from .topk import first_per_key
 
 SNAPSHOT_FIELDS = (
     "account_age_days", "link_karma", "comment_karma", "total_karma", "is_verified", "author_unavailable",
 )
-_NULL_SPREAD = 1024
 
 
 def author_snapshot(raw_authors: DataFrame, run_ts=None) -> DataFrame:
@@ -46,24 +46,16 @@ def with_author(posts: DataFrame, snapshot: DataFrame, author: str = "author", k
     """Posts with the seven author fields, prefixed ``author_``.
 
     A null or ``[deleted]`` author becomes the deleted row and an author without snapshot an unavailable one.
-    Deleted authors have nothing to look up, and there may be very many of them, so they are spread by
-    ``key`` over the join's partitions instead of meeting on one null.
+    One author may hold very many posts, and so may deleted ones, which have nothing to look up and are dealt
+    out by ``key``.
     """
     name = F.col(author)
     known = name.isNotNull() & (name != DELETED)
-    left = posts.withColumn("_name", F.when(known, name)).withColumn(
-        "_spread",
-        F.when(known, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(key), F.lit(_NULL_SPREAD)) + 1),
-    )
+    left = posts.withColumn("_author", F.when(known, name))
     fields = ("username", *SNAPSHOT_FIELDS)
-    right = snapshot.select(
-        F.col("lookup_name").alias("_name"),
-        F.lit(0).cast("bigint").alias("_spread"),
-        *[F.col(f).alias(f"_a_{f}") for f in fields],
-    )
-    joined = left.join(right, ["_name", "_spread"], "left")
-    shown = F.when(~known | name.isNull(), F.lit(DELETED)).otherwise(F.coalesce("_a_username", name))
-    columns = {"author_username": shown}
+    right = snapshot.select(F.col("lookup_name").alias("_author"), *[F.col(f).alias(f"_a_{f}") for f in fields])
+    joined = join_hot(left, right, ["_author"], "left", spread=F.col(key))
+    columns = {"author_username": F.coalesce("_a_username", "_author", F.lit(DELETED))}
     columns |= {f"author_{f}": F.col(f"_a_{f}") for f in SNAPSHOT_FIELDS if f != "author_unavailable"}
     columns["author_unavailable"] = F.coalesce("_a_author_unavailable", F.lit(True))
     return joined.select(*posts.columns, *[c.alias(n) for n, c in columns.items()])

@@ -11,9 +11,12 @@ from ..functions.text import body_cut
 from ..functions.times import age_seconds, as_timestamp, from_epoch
 from ..schemas import PASS1, STATUS, names
 from .authors import with_author
+from .joins import join_hot
 from .topk import last_per_key, top_k_per_group
 
 REQUIRED = ("fullname", "created_utc")
+# Names only, so a listed set of this size is far below Spark's own broadcast limit.
+BROADCAST_COMMUNITIES = 10_000
 STATUS_FIELDS = names(STATUS)[1:]
 
 
@@ -88,7 +91,7 @@ def latest_run(runs: DataFrame, by: str = "run_ts") -> DataFrame:
 def latest_per_community(pass1: DataFrame, by: str = "run_ts") -> DataFrame:
     """Rows of the newest run of each community, matched by exact name."""
     newest = pass1.groupBy("subreddit").agg(F.max(by).alias(by))
-    return pass1.join(newest, ["subreddit", by])
+    return join_hot(pass1, newest, ["subreddit", by], "inner")
 
 
 # ---- pass 2 ----------------------------------------------------------------------------------------------------
@@ -135,13 +138,17 @@ def cohort_status(status: DataFrame, ids: DataFrame, tie_break: tuple[str, ...]
 def started_communities(pass1: DataFrame, ids: DataFrame, communities: Sequence[str] | None = None) -> DataFrame:
     """Pass-1 rows of communities that have ids. ``pass1`` holds one run, the same as ``ids``.
 
-    A literal list of communities also prunes partitions of both tables before the join.
+    A literal list of communities prunes partitions of both tables before the join, and as it bounds the rows of
+    the id side, that side is broadcast. Without a list Spark decides by size.
     """
-    listed = ids.where(F.col("post_fullname").isNotNull())
+    started = ids.where(F.col("post_fullname").isNotNull())
     if communities is not None:
-        listed = listed.where(F.col("subreddit").isin(list(communities)))
+        started = started.where(F.col("subreddit").isin(list(communities)))
         pass1 = pass1.where(F.col("subreddit").isin(list(communities)))
-    return pass1.join(listed.select("subreddit").distinct(), "subreddit", "left_semi")
+    started = started.select("subreddit").distinct()
+    if communities is not None and len(communities) <= BROADCAST_COMMUNITIES:
+        started = F.broadcast(started)
+    return join_hot(pass1, started, ["subreddit"], "left_semi")
 
 
 def complete_cohort(

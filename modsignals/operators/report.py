@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import bucket_dimension, bucket_ord
 from ..functions.rates import fraction
 from ..functions.times import as_timestamp
+from ..small import small_table
 
 _TOTAL, _BY_BUCKET, _BY_TERM = "overall", "follower_bucket", "top_term"
 
@@ -70,7 +71,8 @@ def summary_report(posts: DataFrame) -> DataFrame:
     term = F.array(line(4, F.col("best_term"), F.col("best_rate")))
     bucket = F.array(line(F.col("bucket_ord") + 4, F.col("follower_category"), rate))
     lines = F.when(F.col("section") == _TOTAL, totals).when(F.col("section") == _BY_TERM, term).otherwise(bucket)
-    return labelled.select("section", F.inline(lines)).select("ord", "section", "key", "value").orderBy("ord")
+    eight = labelled.select("section", F.inline(lines)).select("ord", "section", "key", "value")
+    return eight.coalesce(1).sortWithinPartitions("ord")
 
 
 def report_lines(report: DataFrame, title: str, run_ts=None) -> DataFrame:
@@ -88,11 +90,12 @@ def report_lines(report: DataFrame, title: str, run_ts=None) -> DataFrame:
         .otherwise(F.concat(F.lit("   - "), F.col("key"), F.lit(": "), pct))
     )
     body = report.select((F.col("ord") * 10).alias("ord"), text.alias("value"))
-    fixed = report.sparkSession.createDataFrame(
+    fixed = small_table(
+        report.sparkSession,
         [(1, title), (2, "=" * 70), (31, "KEY FINDINGS:"), (32, "-" * 70), (45, "2. Moderation rates by follower count:")],
         "ord int, value string",
     )
-    stamp = report.sparkSession.range(1).select(
-        F.lit(1000).alias("ord"), F.concat(F.lit("Generated: "), as_timestamp(run_ts).cast("string")).alias("value")
+    stamp = small_table(report.sparkSession, [(1000,)], "ord int").select(
+        "ord", F.concat(F.lit("Generated: "), as_timestamp(run_ts).cast("string")).alias("value")
     )
-    return body.unionByName(fixed).unionByName(stamp).orderBy("ord")
+    return body.unionByName(fixed).unionByName(stamp).coalesce(1).sortWithinPartitions("ord")

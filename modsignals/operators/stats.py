@@ -72,17 +72,22 @@ def _bucket_counts(posts: DataFrame) -> DataFrame:
     )
 
 
+def _in_bucket_order(buckets: DataFrame) -> DataFrame:
+    """Four rows need no range partitioning to be sorted."""
+    return buckets.coalesce(1).sortWithinPartitions("bucket_ord")
+
+
 def moderation_by_bucket(posts: DataFrame) -> DataFrame:
     """A5: counts and rate of each follower bucket, in bucket order; the rate of an empty one is null."""
     return _bucket_counts(posts).withColumn(
         "rate_pct", percent_of_rounded(F.col("moderated"), F.col("total"))
-    ).orderBy("bucket_ord")
+    ).transform(_in_bucket_order)
 
 
 def bucket_rates(posts: DataFrame) -> DataFrame:
     """Unrounded rate of each bucket, as a fraction."""
     rate = fraction(F.col("moderated"), F.col("total")).alias("rate_frac")
-    return _bucket_counts(posts).select("bucket_ord", "follower_category", rate).orderBy("bucket_ord")
+    return _bucket_counts(posts).select("bucket_ord", "follower_category", rate).transform(_in_bucket_order)
 
 
 def _label_rows(posts: DataFrame, *keep: str) -> DataFrame:
@@ -136,14 +141,13 @@ def engagement_comparison(posts: DataFrame) -> DataFrame:
     one_row = posts.agg(_moderated().alias("n"), *means).where("n > 0")
     rows = [
         F.struct(
-            F.lit(number).alias("metric_ord"),
             F.lit(metric).alias("metric"),
             F.col(f"yes{number}").alias("moderated"),
             F.col(f"no{number}").alias("non_moderated"),
         )
         for number, metric in enumerate(metrics)
     ]
-    return one_row.select(F.inline(F.array(*rows))).orderBy("metric_ord").drop("metric_ord")
+    return one_row.select(F.inline(F.array(*rows)))
 
 
 def sample_moderated(posts: DataFrame, n: int = SAMPLE_POSTS) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..small import small_table
 from .topk import top_k_per_group
 
 INLINE_TERMS = 64
@@ -64,9 +65,7 @@ def _match_by_gram(df: DataFrame, terms: Sequence[str], text: Column) -> DataFra
     # The dimension has one row per listed term and a known size, so Spark broadcasts it while it is
     # below the session's threshold and shuffles on the piece beyond that. Every term hangs on exactly one
     # piece and pieces are distinct within a text, so no pair comes out twice.
-    anchors = df.sparkSession.createDataFrame(
-        _anchors(terms), "_gram string, _needle string, search_term string"
-    )
+    anchors = small_table(df.sparkSession, _anchors(terms), "_gram string, _needle string, search_term string")
     chars = F.split(F.col("_low"), "")
     grams = F.transform(
         F.col("_chars"),

@@ -9,6 +9,7 @@ from ..constants import VIDEO_REGION, VIDEO_TYPE, VIDEOS_PER_TERM
 from ..functions.rates import percent
 from ..functions.text import watch_url
 from ..schemas import VIDEO_RECORD_FIELDS
+from ..small import small_table
 from .terms import search_top
 from .topk import top_k_per_group
 
@@ -76,7 +77,7 @@ def video_rows(hits: DataFrame, details: DataFrame, max_hits: int | None = None)
 
 def videos_found(hits: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Hits per listed term before the details join, 0 for terms without any."""
-    listed = hits.sparkSession.createDataFrame([(t,) for t in terms], "search_term string")
+    listed = small_table(hits.sparkSession, [(t,) for t in terms], "search_term string")
     counted = hits.groupBy("search_term").agg(F.count("*").alias("n"))
     found = F.coalesce("n", F.lit(0).cast("bigint")).alias("videos_found")
     return listed.join(counted, "search_term", "left").select("search_term", found)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.terms import match_terms
 from ..schemas import RAW_LABELS
+from ..small import small_table
 
 TERMS = ("license", "@", "free", "token", "the", "that", "de", "spam")
 RUN_TS = "2024-03-01 00:00:00"
@@ -100,7 +101,7 @@ def event_epoch() -> Column:
 def handles(spark: SparkSession, folder: str) -> DataFrame:
     """Every user of the event table, and one handle nobody knows."""
     users = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("handle")).distinct()
-    return users.unionByName(spark.range(1).select(F.lit("-1").alias("handle")))
+    return users.unionByName(small_table(spark, [("-1",)], "handle string"))
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:

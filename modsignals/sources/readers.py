@@ -16,6 +16,7 @@ from ..schemas import (
     cast_to,
     names,
 )
+from ..small import small_table
 
 # Quotes inside quoted fields are doubled, and fields may hold line breaks.
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -106,4 +107,4 @@ def read_term_records(spark: SparkSession, path: str) -> DataFrame:
 
 def term_table(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
     """A parameter list as a table, with its order."""
-    return spark.createDataFrame(list(enumerate(terms)), "term_no int, search_term string")
+    return small_table(spark, list(enumerate(terms)), "term_no int, search_term string")
