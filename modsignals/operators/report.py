@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import FOLLOWER_BUCKETS
 from ..functions.buckets import bucket_dimension, bucket_ord
 from ..functions.rates import fraction
 from ..functions.times import as_timestamp
@@ -35,16 +36,18 @@ def summary_report(posts: DataFrame) -> DataFrame:
     section = F.when(overall, _TOTAL).when(by_term, _BY_TERM).when(by_bucket, _BY_BUCKET)
 
     dimension = bucket_dimension(posts.sparkSession)
-    empty_buckets = dimension.select(
-        F.lit(_BY_BUCKET).alias("section"), F.lit(None).cast("string").alias("search_term"), "bucket_ord",
-        *[F.lit(0).cast("bigint").alias(c) for c in ("n", "m", "known")],
+    # Sections that must appear even without any post behind them.
+    always = small_table(
+        posts.sparkSession,
+        [(_TOTAL, None, None, 0, 0, 0), *[(_BY_BUCKET, None, b[0], 0, 0, 0) for b in FOLLOWER_BUCKETS]],
+        "section string, search_term string, bucket_ord int, n bigint, m bigint, known bigint",
     )
     rate = fraction(F.col("m"), F.col("known"))
     best = F.struct((-rate).alias("below"), "search_term")
     kept = (
         sets.select(section.alias("section"), "search_term", "bucket_ord", "n", "m", "known")
         .where(F.col("section").isNotNull())
-        .unionByName(empty_buckets)
+        .unionByName(always)
         .groupBy("section", "bucket_ord")
         .agg(
             F.sum("n").alias("n"),
