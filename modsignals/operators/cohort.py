@@ -128,11 +128,9 @@ def latest_status(status: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFra
 def cohort_status(status: DataFrame, ids: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """The latest status of cohort posts only.
 
-    Reduced before the semi-join on the same key: a post re-checked very often costs one row per task, and
-    the join needs no further shuffle of the status side. When the ids are small enough to broadcast,
-    Spark itself moves the semi-join below the aggregate.
+    Reduced before the semi-join on the same key, so a post re-checked very often costs one row per task.
     """
-    return latest_status(status, tie_break).join(ids.select("post_fullname"), "post_fullname", "left_semi")
+    return last_per_key(status, ["post_fullname"], ["rechecked_at_utc", *tie_break], among=ids)
 
 
 def started_communities(pass1: DataFrame, ids: DataFrame, communities: Sequence[str] | None = None) -> DataFrame:
