@@ -1,6 +1,6 @@
 """Author snapshots and their join to posts: P4, P10, P11, P21, J3, W5."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DELETED, ERROR
@@ -23,22 +23,19 @@ def author_snapshot(raw_authors: DataFrame, run_ts=None) -> DataFrame:
     named = raw_authors.where(F.col("username").isNotNull() & (F.col("username") != DELETED))
     first = first_per_key(named, ["run_ts", "username"], ["seen_no"])
     now = F.col("run_ts") if run_ts is None else as_timestamp(run_ts)
-    has_account = F.col("created_utc").isNotNull()
-    usable = has_account & F.col("link_karma").isNotNull() & F.col("comment_karma").isNotNull()
-
-    def if_usable(value: Column) -> Column:
-        return F.when(usable, value)
-
-    return first.select(
-        "run_ts",
-        F.col("username").alias("lookup_name"),
-        F.when(usable | ~has_account, F.col("username")).otherwise(ERROR).alias("username"),
-        if_usable(age_days(now, from_epoch(F.col("created_utc")))).alias("account_age_days"),
-        if_usable(F.col("link_karma")).alias("link_karma"),
-        if_usable(F.col("comment_karma")).alias("comment_karma"),
-        if_usable(F.col("link_karma") + F.col("comment_karma")).alias("total_karma"),
-        if_usable(F.coalesce("is_verified", F.lit(False))).alias("is_verified"),
-        (~usable).alias("author_unavailable"),
+    usable = "created_utc IS NOT NULL AND link_karma IS NOT NULL AND comment_karma IS NOT NULL"
+    columns = {
+        "username": f"CASE WHEN usable OR created_utc IS NULL THEN username ELSE '{ERROR}' END",
+        "account_age_days": "CASE WHEN usable THEN age END",
+        "link_karma": "CASE WHEN usable THEN link_karma END",
+        "comment_karma": "CASE WHEN usable THEN comment_karma END",
+        "total_karma": "CASE WHEN usable THEN link_karma + comment_karma END",
+        "is_verified": "CASE WHEN usable THEN coalesce(is_verified, false) END",
+        "author_unavailable": "NOT usable",
+    }
+    return (
+        first.withColumns({"usable": F.expr(usable), "age": age_days(now, from_epoch(F.col("created_utc")))})
+        .selectExpr("run_ts", "username AS lookup_name", *[f"{e} AS {n}" for n, e in columns.items()])
     )
 
 
@@ -52,10 +49,12 @@ def with_author(posts: DataFrame, snapshot: DataFrame, author: str = "author", k
     name = F.col(author)
     known = name.isNotNull() & (name != DELETED)
     left = posts.withColumn("_author", F.when(known, name))
-    fields = ("username", *SNAPSHOT_FIELDS)
-    right = snapshot.select(F.col("lookup_name").alias("_author"), *[F.col(f).alias(f"_a_{f}") for f in fields])
+    fields = {"username": "_name", **{f: f"_{f}" for f in SNAPSHOT_FIELDS}}
+    right = snapshot.selectExpr("lookup_name AS _author", *[f"{f} AS {short}" for f, short in fields.items()])
     joined = join_hot(left, right, ["_author"], "left", spread=F.col(key))
-    columns = {"author_username": F.coalesce("_a_username", "_author", F.lit(DELETED))}
-    columns |= {f"author_{f}": F.col(f"_a_{f}") for f in SNAPSHOT_FIELDS if f != "author_unavailable"}
-    columns["author_unavailable"] = F.coalesce("_a_author_unavailable", F.lit(True))
-    return joined.select(*posts.columns, *[c.alias(n) for n, c in columns.items()])
+    return joined.selectExpr(
+        *[f"`{c}`" for c in posts.columns],
+        f"coalesce(_name, _author, '{DELETED}') AS author_username",
+        *[f"_{f} AS author_{f}" for f in SNAPSHOT_FIELDS if f != "author_unavailable"],
+        "coalesce(_author_unavailable, true) AS author_unavailable",
+    )

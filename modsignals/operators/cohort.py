@@ -44,22 +44,20 @@ def pass1_rows(raw: DataFrame, authors: DataFrame, run_ts=None) -> DataFrame:
     """P5: the 19 columns of a first capture. Incomplete submissions are dropped."""
     captured = as_timestamp(run_ts)
     created = from_epoch(F.col("created_utc"))
-    source = {
+    computed = {
         "post_fullname": F.col("fullname"),
         "created_utc": created,
         "captured_at_utc": captured,
         "post_age_seconds_at_capture": age_seconds(captured, created),
-        "subreddit": F.col("subreddit"),
-        "title": F.col("title"),
         "selftext": body_cut(F.col("selftext")),
-        "domain": F.col("domain"),
         "initial_score": F.col("score"),
         "initial_num_comments": F.col("num_comments"),
         "initial_upvote_ratio": F.col("upvote_ratio"),
-        "link_flair_text": F.col("link_flair_text"),
     }
-    named = with_author(raw.where(_complete()), authors)
-    return named.select(*[source.get(n, F.col(n)).alias(n) for n in names(PASS1)])
+    own = [n for n in names(PASS1) if not n.startswith("author_")]
+    # The body is cut and every other own column is made before the join, so nothing longer is shuffled.
+    rows = raw.where(_complete()).select(*[computed[n].alias(n) if n in computed else n for n in own], "author")
+    return with_author(rows, authors, key="post_fullname").select(*names(PASS1))
 
 
 def newest_cohort(raw: DataFrame, authors: DataFrame, run_ts=None, k: int = POSTS_PER_COMMUNITY) -> DataFrame:
@@ -98,26 +96,25 @@ def latest_per_community(pass1: DataFrame, by: str = "run_ts") -> DataFrame:
 
 def status_flags(raw: DataFrame) -> DataFrame:
     """P6 with F6a-f: the 13 status fields of a re-check. Comparisons are null-safe."""
-    body = F.col("selftext")
-    official = F.col("removed_by_category").isNotNull()
-    removed_content = body.eqNullSafe(REMOVED) | F.col("title").eqNullSafe(REMOVED)
-    deleted_content = body.eqNullSafe(DELETED)
-    deleted_author = F.col("author").isNull() | (F.col("author") == DELETED)
+    official = "removed_by_category IS NOT NULL"
+    removed_content = f"(selftext <=> '{REMOVED}' OR title <=> '{REMOVED}')"
+    deleted_content = f"selftext <=> '{DELETED}'"
+    deleted_author = f"(author IS NULL OR author = '{DELETED}')"
     source = {
-        "post_fullname": F.col("fullname"),
-        "final_score": F.col("score"),
-        "final_num_comments": F.col("num_comments"),
-        "final_upvote_ratio": F.col("upvote_ratio"),
+        "post_fullname": "fullname",
+        "final_score": "score",
+        "final_num_comments": "num_comments",
+        "final_upvote_ratio": "upvote_ratio",
         "is_removed_official": official,
         "is_removed_content": removed_content,
-        "is_removed_inferred": official | removed_content | F.col("is_robot_indexable").eqNullSafe(False),
-        "is_deleted": deleted_author | deleted_content,
+        "is_removed_inferred": f"{official} OR {removed_content} OR is_robot_indexable <=> false",
+        "is_deleted": f"{deleted_author} OR {deleted_content}",
         "is_deleted_author": deleted_author,
         "is_deleted_content": deleted_content,
-        "is_locked": F.col("locked"),
-        "is_archived": F.col("archived"),
+        "is_locked": "locked",
+        "is_archived": "archived",
     }
-    return raw.select(*[source.get(n, F.col(n)).alias(n) for n in names(STATUS)])
+    return raw.selectExpr(*[f"{source.get(n, n)} AS {n}" for n in names(STATUS)])
 
 
 def latest_status(status: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:

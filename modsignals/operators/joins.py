@@ -16,16 +16,14 @@ def join_hot(large: DataFrame, small: DataFrame, keys: list[str], how: str, spre
     A ``large`` row with a null key matches nothing. With ``spread``, such rows are dealt out by that
     column instead of all meeting at one place.
     """
-    derived = F.concat_ws("\u0001", F.lit("k"), *[F.col(k).cast("string") for k in keys])
-    complete = F.lit(True)
-    for k in keys:
-        complete = complete & F.col(k).isNotNull()
-    lost = F.lit(None).cast("string") if spread is None else F.concat(F.lit("n"), F.xxhash64(spread).cast("string"))
-    left = large.withColumn("_key", F.when(complete, derived).otherwise(lost))
-    match = [F.col("_l._key") == F.col("_r._key"), *[F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys]]
-    right = small.withColumn("_key", F.when(complete, derived))
-    joined = left.alias("_l").join(right.alias("_r"), match, how)
-    columns = [F.col(f"_l.{c}") for c in large.columns]
-    if how != "left_semi":
-        columns += [F.col(f"_r.{c}") for c in small.columns if c not in keys]
-    return joined.select(*columns)
+    derived = "concat_ws('\\u0001', 'k', " + ", ".join(keys) + ")"
+    complete = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    key = F.expr(f"CASE WHEN {complete} THEN {derived} END")
+    right = small.withColumn("_key", key)
+    if spread is not None:
+        key = F.coalesce(key, F.concat(F.lit("n"), F.xxhash64(spread).cast("string")))
+    left = large.withColumn("_key", key)
+    # The derived key is told apart by its columns, which are compared as well.
+    return left.join(right, ["_key", *keys], how).drop("_key").select(*large.columns, *[
+        c for c in small.columns if c not in keys and how != "left_semi"
+    ])

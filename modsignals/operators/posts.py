@@ -38,6 +38,6 @@ def flatten_posts(raw: DataFrame, run_ts=None, keep: tuple[str, ...] = ()) -> Da
         "has_moderation": has_labels(post_labels, embed_labels),
         "moderation_labels": labels_to_json(labels),
     }
-    columns |= {name: F.coalesce(F.col(path), F.lit("")) for name, path in _TEXT.items()}
-    columns |= {name: F.coalesce(F.col(path), F.lit(0).cast("bigint")) for name, path in _COUNT.items()}
+    columns |= {name: F.expr(f"coalesce({path}, '')") for name, path in _TEXT.items()}
+    columns |= {name: F.expr(f"coalesce({path}, 0L)") for name, path in _COUNT.items()}
     return raw.select(*[columns[n].alias(n) for n in names(POSTS)], labels.alias("labels"), *keep)

@@ -4,8 +4,7 @@ Bindings only project and join; the operators they feed are the library's own. W
 is computed before a join, so texts do not travel through shuffles for queries that never show them.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.terms import match_terms
 from ..schemas import RAW_LABELS
@@ -16,52 +15,42 @@ RUN_TS = "2024-03-01 00:00:00"
 FIRST_CHECK = "2024-02-01 00:00:00"
 SECOND_CHECK = "2024-02-02 00:00:00"
 
+# Event times carry no zone and are read as UTC.
+_EVENT_MICROS = "unix_micros(CAST(ts AS timestamp))"
+_EVENT_K = "CAST(get_json_object(props, '$.k') AS bigint)"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _one_label(when: Column, value: str, created: Column) -> Column:
-    label = F.array(F.struct(F.lit(value).alias("val"), created.alias("cts")))
-    return F.when(when, label).otherwise(F.array()).cast(RAW_LABELS)
-
-
-def _null(dtype: str) -> Column:
-    return F.lit(None).cast(dtype)
+def _one_label(when: str, value: str, created: str) -> str:
+    label = f"array(named_struct('val', {value}, 'cts', CAST({created} AS string)))"
+    return f"CAST(CASE WHEN {when} THEN {label} ELSE array() END AS {RAW_LABELS})"
 
 
 # ---- posts ----------------------------------------------------------------------------------------------------------
 
 def _raw_posts(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
-    joined = documents.join(table(spark, folder, "labels"), "doc_id", "left")
-    number = F.col("n_chars")
-    return joined.select(
+    toxic, low = _one_label("toxic = 1", "'toxic'", "NULL"), _one_label("quality = 0", "'low_quality'", "lang")
+    return documents.join(table(spark, folder, "labels"), "doc_id", "left").selectExpr(
         "search_term",
-        F.col("doc_id").cast("string").alias("uri"),
-        number.alias("likeCount"),
-        F.col("quality").cast("bigint").alias("repostCount"),
-        F.col("toxic").cast("bigint").alias("replyCount"),
-        F.struct(
-            F.col("source").alias("handle"),
-            _null("string").alias("displayName"),
-            number.alias("followersCount"),
-            F.length("source").cast("bigint").alias("followsCount"),
-            _null("bigint").alias("postsCount"),
-        ).alias("author"),
-        F.struct(F.col("text"), F.col("lang").alias("createdAt")).alias("record"),
-        _one_label(F.col("toxic") == 1, "toxic", _null("string")).alias("labels"),
-        F.when(
-            F.col("quality").isNotNull(),
-            F.struct(_one_label(F.col("quality") == 0, "low_quality", F.col("lang")).alias("labels")),
-        ).alias("embed"),
-        F.col("doc_id").alias("row_no"),
+        "CAST(doc_id AS string) AS uri",
+        "n_chars AS likeCount",
+        "CAST(quality AS bigint) AS repostCount",
+        "CAST(toxic AS bigint) AS replyCount",
+        """named_struct('handle', source, 'displayName', CAST(NULL AS string), 'followersCount', n_chars,
+           'followsCount', CAST(length(source) AS bigint), 'postsCount', CAST(NULL AS bigint)) AS author""",
+        "named_struct('text', text, 'createdAt', lang) AS record",
+        f"{toxic} AS labels",
+        f"CASE WHEN quality IS NOT NULL THEN named_struct('labels', {low}) END AS embed",
+        "doc_id AS row_no",
     )
 
 
 def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Every document once, as a nested post found under its language."""
-    documents = table(spark, folder, "documents").withColumn("search_term", F.col("lang"))
-    return _raw_posts(spark, folder, documents)
+    return _raw_posts(spark, folder, table(spark, folder, "documents").selectExpr("*", "lang AS search_term"))
 
 
 def searched_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,58 +60,46 @@ def searched_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Events as flat posts with three numeric engagement metrics; errors count as moderated."""
-    return table(spark, folder, "events").select(
-        (F.col("event_type") == "error").alias("has_moderation"),
-        F.rint(F.col("value") * 100.0).cast("bigint").alias("likes_count"),
-        event_k().alias("repost_count"),
-        F.length("event_type").cast("bigint").alias("reply_count"),
+    return table(spark, folder, "events").selectExpr(
+        "event_type = 'error' AS has_moderation",
+        "CAST(rint(value * 100.0D) AS bigint) AS likes_count",
+        f"{_EVENT_K} AS repost_count",
+        "CAST(length(event_type) AS bigint) AS reply_count",
     )
 
 
-def event_k() -> Column:
-    return F.get_json_object("props", "$.k").cast("bigint")
-
-
 def balance_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as posts whose follower count is the account balance, negatives included."""
-    return table(spark, folder, "customer").select(
-        F.col("c_acctbal").alias("author_followers"),
-        (F.col("c_mktsegment") == "BUILDING").alias("has_moderation"),
+    return table(spark, folder, "customer").selectExpr(
+        "c_acctbal AS author_followers", "c_mktsegment = 'BUILDING' AS has_moderation"
     )
 
 
 # ---- users ----------------------------------------------------------------------------------------------------------
 
-def event_epoch() -> Column:
-    """Event time as epoch microseconds; the column carries no zone and is read as UTC."""
-    return F.unix_micros(F.col("ts").cast("timestamp"))
-
-
 def handles(spark: SparkSession, folder: str) -> DataFrame:
     """Every user of the event table, and one handle nobody knows."""
-    users = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("handle")).distinct()
+    users = table(spark, folder, "events").selectExpr("CAST(user_id AS string) AS handle").distinct()
     return users.unionByName(small_table(spark, [("-1",)], "handle string"))
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select(
-        F.col("c_custkey").cast("string").alias("handle"),
-        F.col("c_name").alias("displayName"),
-        F.floor("c_acctbal").cast("bigint").alias("followersCount"),
-        F.col("c_nationkey").cast("bigint").alias("followsCount"),
-        _null("bigint").alias("postsCount"),
+    return table(spark, folder, "customer").selectExpr(
+        "CAST(c_custkey AS string) AS handle",
+        "c_name AS displayName",
+        "CAST(floor(c_acctbal) AS bigint) AS followersCount",
+        "CAST(c_nationkey AS bigint) AS followsCount",
+        "CAST(NULL AS bigint) AS postsCount",
     )
 
 
 def user_posts(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.col("event_type")
-    label = F.array(F.struct(kind.alias("val"), _null("string").alias("cts")))
-    return table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("handle"),
-        F.col("event_id").alias("uri"),
-        event_epoch().alias("created"),
-        F.when(kind.isin("error", "signup"), label).otherwise(F.array()).cast(RAW_LABELS).alias("labels"),
-        F.struct(F.array().cast(RAW_LABELS).alias("labels")).alias("embed"),
+    return table(spark, folder, "events").selectExpr(
+        "CAST(user_id AS string) AS handle",
+        "event_id AS uri",
+        f"{_EVENT_MICROS} AS created",
+        f"{_one_label('event_type IN (' + repr('error') + ', ' + repr('signup') + ')', 'event_type', 'NULL')} AS labels",
+        f"named_struct('labels', CAST(array() AS {RAW_LABELS})) AS embed",
     )
 
 
@@ -130,110 +107,96 @@ def user_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_authors(spark: SparkSession, folder: str) -> DataFrame:
     """Each order is one sighting of an account; some sightings fail in one of two ways."""
-    ordered = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1_000_000.0)
-    return table(spark, folder, "orders").select(
-        F.lit(RUN_TS).cast("timestamp").alias("run_ts"),
-        F.col("o_orderkey").alias("seen_no"),
-        F.col("o_custkey").cast("string").alias("username"),
-        F.when(F.col("o_orderstatus") != "P", ordered).alias("created_utc"),
-        F.floor("o_totalprice").cast("bigint").alias("link_karma"),
-        F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderkey")).alias("comment_karma"),
-        F.when(F.col("o_orderpriority") == "2-HIGH", True)
-        .when(F.col("o_orderpriority") == "5-LOW", False)
-        .alias("is_verified"),
+    return table(spark, folder, "orders").selectExpr(
+        f"TIMESTAMP '{RUN_TS}' AS run_ts",
+        "o_orderkey AS seen_no",
+        "CAST(o_custkey AS string) AS username",
+        "CASE WHEN o_orderstatus <> 'P' THEN unix_micros(CAST(o_orderdate AS timestamp)) / 1000000.0D END AS created_utc",
+        "CAST(floor(o_totalprice) AS bigint) AS link_karma",
+        "CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderkey END AS comment_karma",
+        "CASE o_orderpriority WHEN '2-HIGH' THEN true WHEN '5-LOW' THEN false END AS is_verified",
     )
 
 
 def event_submissions(spark: SparkSession, folder: str) -> DataFrame:
     """Events as submissions of the community named by their type."""
-    k = event_k()
-    user = F.col("user_id").cast("string")
-    return table(spark, folder, "events").select(
-        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("fullname"),
-        (event_epoch() / F.lit(1_000_000.0)).alias("created_utc"),
-        F.col("event_type").alias("subreddit"),
-        F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("title"),
-        F.when(k >= 50, F.col("props")).alias("selftext"),
-        F.lit("self").alias("domain"),
-        F.floor("value").cast("bigint").alias("score"),
-        k.alias("num_comments"),
-        (k / F.lit(100.0)).alias("upvote_ratio"),
-        _null("string").alias("link_flair_text"),
-        F.when(k >= 10, user).when(k >= 5, F.lit("[deleted]")).alias("author"),
+    return table(spark, folder, "events").selectExpr("*", f"{_EVENT_K} AS k").selectExpr(
+        "concat('e', event_id) AS fullname",
+        f"{_EVENT_MICROS} / 1000000.0D AS created_utc",
+        "event_type AS subreddit",
+        "concat(event_type, ' ', event_id) AS title",
+        "CASE WHEN k >= 50 THEN props END AS selftext",
+        "'self' AS domain",
+        "CAST(floor(value) AS bigint) AS score",
+        "k AS num_comments",
+        "k / 100.0D AS upvote_ratio",
+        "CAST(NULL AS string) AS link_flair_text",
+        "CASE WHEN k >= 10 THEN CAST(user_id AS string) WHEN k >= 5 THEN '[deleted]' END AS author",
     )
 
 
 def document_submissions(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as submissions of the community named by their language."""
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias("fullname"),
-        (F.lit(1704067200.0) + F.col("n_chars") / F.lit(8.0)).alias("created_utc"),
-        F.col("lang").alias("subreddit"),
-        F.substring("text", 1, 40).alias("title"),
-        F.substring("text", 1, 600).alias("selftext"),
-        F.col("source").alias("domain"),
-        F.col("n_chars").alias("score"),
-        F.length("source").cast("bigint").alias("num_comments"),
-        F.lit(0.5).alias("upvote_ratio"),
-        _null("string").alias("link_flair_text"),
-        F.col("source").alias("author"),
+    return table(spark, folder, "documents").selectExpr(
+        "CAST(doc_id AS string) AS fullname",
+        "1704067200.0D + n_chars / 8.0D AS created_utc",
+        "lang AS subreddit",
+        "substring(text, 1, 40) AS title",
+        "text AS selftext",
+        "source AS domain",
+        "n_chars AS score",
+        "CAST(length(source) AS bigint) AS num_comments",
+        "0.5D AS upvote_ratio",
+        "CAST(NULL AS string) AS link_flair_text",
+        "source AS author",
     )
 
 
 def raw_status(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents, checked twice: clean the first time, with their true marks the second."""
     documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    joined = documents.join(table(spark, folder, "labels"), "doc_id")
-    checks = F.array(
-        F.struct(F.lit(FIRST_CHECK).cast("timestamp").alias("at"), F.lit(False).alias("marked")),
-        F.struct(F.lit(SECOND_CHECK).cast("timestamp").alias("at"), F.lit(True).alias("marked")),
+    checked = documents.join(table(spark, folder, "labels"), "doc_id").selectExpr(
+        "*",
+        f"""inline(array(named_struct('checked_at', TIMESTAMP '{FIRST_CHECK}', 'marked', false),
+                         named_struct('checked_at', TIMESTAMP '{SECOND_CHECK}', 'marked', true)))""",
     )
-    marked, source, lang = F.col("marked"), F.col("source"), F.col("lang")
-    return joined.select("*", F.inline(checks)).select(
-        F.col("doc_id").cast("string").alias("fullname"),
-        F.when(marked & (source == "src1"), "[removed]")
-        .when(marked & (source == "src2"), "[deleted]")
-        .otherwise(lang)
-        .alias("selftext"),
-        F.when(marked & (lang == "de") & (F.col("quality") == 0), "[removed]").otherwise(source).alias("title"),
-        F.when(marked & (source == "src3"), "[deleted]").when(~marked | (source != "src4"), source).alias("author"),
-        F.when(marked & (F.col("toxic") == 1), "moderator").alias("removed_by_category"),
-        F.when(marked & (lang == "fr"), F.col("toxic") == 0).when(lang == "en", True).alias("is_robot_indexable"),
-        (marked & (F.col("quality") == 0)).alias("locked"),
-        F.lit(False).alias("archived"),
-        F.when(marked, F.col("n_chars")).otherwise(0).cast("bigint").alias("score"),
-        F.col("quality").cast("bigint").alias("num_comments"),
-        F.lit(0.5).alias("upvote_ratio"),
-        F.col("at").alias("rechecked_at_utc"),
+    return checked.selectExpr(
+        "CAST(doc_id AS string) AS fullname",
+        """CASE WHEN marked AND source = 'src1' THEN '[removed]' WHEN marked AND source = 'src2' THEN '[deleted]'
+                ELSE lang END AS selftext""",
+        "CASE WHEN marked AND lang = 'de' AND quality = 0 THEN '[removed]' ELSE source END AS title",
+        """CASE WHEN marked AND source = 'src3' THEN '[deleted]'
+                WHEN NOT marked OR source <> 'src4' THEN source END AS author""",
+        "CASE WHEN marked AND toxic = 1 THEN 'moderator' END AS removed_by_category",
+        "CASE WHEN marked AND lang = 'fr' THEN toxic = 0 WHEN lang = 'en' THEN true END AS is_robot_indexable",
+        "marked AND quality = 0 AS locked",
+        "false AS archived",
+        "CASE WHEN marked THEN n_chars ELSE 0 END AS score",
+        "CAST(quality AS bigint) AS num_comments",
+        "0.5D AS upvote_ratio",
+        "checked_at AS rechecked_at_utc",
     )
 
 
 # ---- videos ---------------------------------------------------------------------------------------------------------
 
 def videos(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"),
-        F.when(F.col("lang") == "en", "US").otherwise(F.upper("lang")).alias("region"),
-        F.lit("video").alias("type"),
-        F.substring("text", 1, 80).alias("title"),
-        F.col("source").alias("channel"),
-        F.col("text").alias("search_text"),
-        F.col("doc_id").alias("relevance_pos"),
+    return table(spark, folder, "documents").selectExpr(
+        "doc_id AS id",
+        "CASE WHEN lang = 'en' THEN 'US' ELSE upper(lang) END AS region",
+        "'video' AS type",
+        "substring(text, 1, 80) AS title",
+        "source AS channel",
+        "text AS search_text",
+        "doc_id AS relevance_pos",
     )
 
 
 def video_details(spark: SparkSession, folder: str) -> DataFrame:
-    quality, toxic = F.col("quality"), F.col("toxic")
-    return table(spark, folder, "labels").select(
-        F.col("doc_id").alias("id"),
-        F.struct(
-            F.concat(quality.cast("string"), toxic.cast("string"), F.lit("7")).alias("viewCount"),
-            F.when(quality == 1, F.lit("12")).otherwise("x").alias("likeCount"),
-            _null("string").alias("commentCount"),
-        ).alias("statistics"),
-        F.struct(
-            (quality == 1).alias("embeddable"),
-            F.when(quality == 1, toxic == 0).alias("publicStatsViewable"),
-            (toxic == 1).alias("madeForKids"),
-        ).alias("status"),
+    return table(spark, folder, "labels").selectExpr(
+        "doc_id AS id",
+        """named_struct('viewCount', concat(quality, toxic, '7'), 'likeCount', CASE WHEN quality = 1 THEN '12' ELSE 'x' END,
+           'commentCount', CAST(NULL AS string)) AS statistics""",
+        """named_struct('embeddable', quality = 1, 'publicStatsViewable', CASE WHEN quality = 1 THEN toxic = 0 END,
+           'madeForKids', toxic = 1) AS status""",
     )

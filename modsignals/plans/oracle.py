@@ -134,7 +134,7 @@ newest AS (
 _DOCUMENT_SUBMISSIONS = """
 submissions AS (
   SELECT CAST(doc_id AS VARCHAR) AS fullname, 1704067200.0::DOUBLE + n_chars / 8.0::DOUBLE AS created_utc,
-         lang AS subreddit, substring(text, 1, 40) AS title, substring(text, 1, 600) AS selftext, source AS domain,
+         lang AS subreddit, substring(text, 1, 40) AS title, text AS selftext, source AS domain,
          n_chars AS score, CAST(length(source) AS BIGINT) AS num_comments, 0.5::DOUBLE AS upvote_ratio,
          CAST(NULL AS VARCHAR) AS link_flair_text, source AS author
   FROM documents

@@ -187,15 +187,11 @@ def status_flags(spark, folder):
     return _plain_times(cohort.latest_status(cohort.status_flags(b.raw_status(spark, folder))))
 
 
-def _document_pass1(spark, folder):
-    return cohort.pass1_rows(b.document_submissions(spark, folder), _snapshot(spark, folder), b.RUN_TS)
-
-
 def _document_complete(spark, folder):
     submissions = b.document_submissions(spark, folder)
     ids = submissions.select("subreddit", F.col("fullname").alias("post_fullname"))
     status = cohort.status_flags(b.raw_status(spark, folder))
-    return cohort.complete_cohort(_document_pass1(spark, folder), ids, status)
+    return cohort.complete_cohort(cohort.pass1_rows(submissions, _snapshot(spark, folder), b.RUN_TS), ids, status)
 
 
 def cohort_status_left(spark, folder):
@@ -237,12 +233,13 @@ def _hits(spark, folder, region=None):
     return video_ops.search_videos(b.videos(spark, folder), b.TERMS, region=region)
 
 
-def _video_rows(spark, folder):
-    return video_ops.video_rows(_hits(spark, folder), b.video_details(spark, folder), MAX_HITS)
+def _rows(spark, folder, hits):
+    return video_ops.video_rows(hits, b.video_details(spark, folder), MAX_HITS)
 
 
-def _found(spark, folder):
-    return video_ops.videos_found(_hits(spark, folder), b.TERMS)
+def _found_and_rows(spark, folder):
+    hits = _hits(spark, folder)
+    return video_ops.videos_found(hits, b.TERMS), _rows(spark, folder, hits)
 
 
 def video_hits_ranked(spark, folder):
@@ -250,23 +247,23 @@ def video_hits_ranked(spark, folder):
 
 
 def video_rows(spark, folder):
-    return _video_rows(spark, folder).withColumn("rank", F.col("rank").cast("bigint"))
+    return _rows(spark, folder, _hits(spark, folder)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def videos_found(spark, folder):
-    return _found(spark, folder)
+    return video_ops.videos_found(_hits(spark, folder), b.TERMS)
 
 
 def video_signals_by_term(spark, folder):
-    return video_ops.signals_by_term(_video_rows(spark, folder))
+    return video_ops.signals_by_term(_rows(spark, folder, _hits(spark, folder)))
 
 
 def video_signals_overall(spark, folder):
-    return video_ops.signals_overall(_found(spark, folder), _video_rows(spark, folder))
+    return video_ops.signals_overall(*_found_and_rows(spark, folder))
 
 
 def _term_records(spark, folder):
-    return video_ops.nest_terms(_found(spark, folder), _video_rows(spark, folder))
+    return video_ops.nest_terms(*_found_and_rows(spark, folder))
 
 
 def _unnested(records: DataFrame) -> DataFrame:
@@ -306,7 +303,8 @@ def pass1_csv_roundtrip(spark, folder):
 
 def partitioned_roundtrip(spark, folder):
     path = scratch_path(spark, "pass1")
-    writers.write_snapshot(_document_pass1(spark, folder), path, b.RUN_TS)
+    pass1 = cohort.pass1_rows(b.document_submissions(spark, folder), _snapshot(spark, folder), b.RUN_TS)
+    writers.write_snapshot(pass1, path, b.RUN_TS)
     back = readers.read_snapshot_table(spark, path, PASS1)
     return back.select(
         "run_id", "subreddit", "post_fullname", "title", "selftext", "initial_score", "post_age_seconds_at_capture",
