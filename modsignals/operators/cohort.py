@@ -61,8 +61,12 @@ def pass1_rows(raw: DataFrame, authors: DataFrame, run_ts=None) -> DataFrame:
 
 
 def newest_cohort(raw: DataFrame, authors: DataFrame, run_ts=None, k: int = POSTS_PER_COMMUNITY) -> DataFrame:
-    """S9 with P5: cut to the newest rows first, so only those meet the author dimension."""
-    return pass1_rows(newest_submissions(raw, k), authors, run_ts)
+    """S9 with P5: cut to the newest rows first, so only those meet the author dimension.
+
+    Bodies are cut before that, which keeps long ones out of the sort.
+    """
+    short = raw.withColumn("selftext", body_cut(F.col("selftext")))
+    return pass1_rows(newest_submissions(short, k), authors, run_ts)
 
 
 def cohort_ids(pass1: DataFrame, run_ts=None) -> DataFrame:

@@ -111,7 +111,9 @@ def label_distribution(posts: DataFrame) -> DataFrame:
 
     ``row_no`` gives the order of appearance of posts.
     """
-    first = F.min(F.struct("row_no", "label_pos")).alias("first_seen")
+    # One number instead of a pair, so the aggregation hashes and need not sort its input.
+    place = F.expr("CAST(row_no AS decimal(20,0)) * CAST(4294967296 AS decimal(10,0)) + label_pos")
+    first = F.min(place).alias("first_seen")
     return (
         _label_rows(posts, "row_no")
         .groupBy("value")

@@ -2,6 +2,7 @@
 
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from ..small import small_table
 from .topk import top_k_per_group
 
-INLINE_TERMS = 64
+INLINE_TERMS = 128
 GRAM = 3
+# Characters of terms looked up in one pass; such a table is a few dozen megabytes at most once broadcast.
+PASS_CHARS = 1_000_000
 
 
 def match_terms(df: DataFrame, terms: Sequence[str], text: "str | Column", inline: int = INLINE_TERMS) -> DataFrame:
@@ -21,7 +24,8 @@ def match_terms(df: DataFrame, terms: Sequence[str], text: "str | Column", inlin
 
     The search is a narrow map-side pass without a shuffle. Up to ``inline`` terms become generated
     code over the text. Longer lists are looked up by three-character pieces, so the cost per
-    row follows the text length and the candidate terms, not the length of the list.
+    row follows the text length and the candidate terms, not the length of the list. A list too long to be
+    broadcast safely is searched in several passes.
     """
     column = F.col(text) if isinstance(text, str) else text
     terms = list(terms)
@@ -33,8 +37,10 @@ def match_terms(df: DataFrame, terms: Sequence[str], text: "str | Column", inlin
     others = [t for t in terms if t not in known]
     if not by_piece:
         return _match_listed(df, others, column)
-    found = _match_by_gram(df, by_piece, column)
-    return found.unionByName(_match_listed(df, others, column)) if others else found
+    passes = [_match_by_gram(df, part, column) for part in _parts(by_piece)]
+    if others:
+        passes.append(_match_listed(df, others, column))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _match_inline(df: DataFrame, terms: Sequence[str], text: Column) -> DataFrame:
@@ -54,6 +60,17 @@ def _match_listed(df: DataFrame, terms: Sequence[str], text: Column) -> DataFram
     return df.withColumn("_low", F.lower(text)).withColumn("search_term", F.explode(hits)).drop("_low")
 
 
+def _parts(terms: Sequence[str]) -> list[list[str]]:
+    parts, size = [[]], 0
+    for term in terms:
+        if parts[-1] and size + len(term) > PASS_CHARS:
+            parts.append([])
+            size = 0
+        parts[-1].append(term)
+        size += len(term)
+    return parts
+
+
 def _anchors(terms: Sequence[str]) -> list[tuple[str, str, str]]:
     """(anchor piece, lower-cased term, term): the piece of each term that fewest terms share."""
     pieces = {t: [t.lower()[i : i + GRAM] for i in range(len(t.lower()) - GRAM + 1)] for t in terms}
@@ -62,9 +79,8 @@ def _anchors(terms: Sequence[str]) -> list[tuple[str, str, str]]:
 
 
 def _match_by_gram(df: DataFrame, terms: Sequence[str], text: Column) -> DataFrame:
-    # The dimension has one row per listed term and a known size, so Spark broadcasts it while it is
-    # below the session's threshold and shuffles on the piece beyond that. Every term hangs on exactly one
-    # piece and pieces are distinct within a text, so no pair comes out twice.
+    # The table of terms is bounded by PASS_CHARS. Every term hangs on exactly one piece and pieces are
+    # distinct within a text, so no pair comes out twice.
     anchors = small_table(df.sparkSession, _anchors(terms), "_gram string, _needle string, search_term string")
     chars = F.split(F.col("_low"), "")
     grams = F.transform(
@@ -76,7 +92,7 @@ def _match_by_gram(df: DataFrame, terms: Sequence[str], text: Column) -> DataFra
         .withColumn("_chars", chars)
         .withColumn("_gram", F.explode(F.array_distinct(grams)))
         .drop("_chars")
-        .join(anchors, "_gram")
+        .join(F.broadcast(anchors), "_gram")
         .where(F.contains(F.col("_low"), F.col("_needle")))
         .drop("_low", "_gram", "_needle")
     )

@@ -9,6 +9,7 @@ from hypothesis import settings as tuned
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from modsignals.operators import terms as terms_module
 from modsignals.operators.terms import match_terms, search_top
 from modsignals.operators.topk import first_per_key, last_per_key, top_k_per_group
 
@@ -50,6 +51,11 @@ def test_search_property(spark, texts, terms):
     assert matched(spark, texts, terms, 0) == wanted
 
 
+def test_a_very_long_list_is_searched_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(terms_module, "PASS_CHARS", 10)
+    assert matched(spark, TEXTS, TERMS, 0) == brute_force(TEXTS, TERMS)
+
+
 def test_search_top_ranks_from_one(spark):
     df = spark.createDataFrame([(i, "spam" if i % 2 else "scam spam") for i in range(50)], "i bigint, x string")
     rows = search_top(df.repartition(7), ["spam", "scam", "none"], "x", [F.asc("i")], 4, rank="rank")
