@@ -11,12 +11,10 @@ from ..functions.text import body_cut
 from ..functions.times import age_seconds, as_timestamp, from_epoch
 from ..schemas import PASS1, STATUS, names
 from .authors import with_author
-from .joins import join_hot
+from .joins import CHECKED_ROWS, broadcast_checked, join_hot
 from .topk import last_per_key, top_k_per_group
 
 REQUIRED = ("fullname", "created_utc")
-# Names only, so a listed set of this size is far below Spark's own broadcast limit.
-BROADCAST_COMMUNITIES = 10_000
 STATUS_FIELDS = names(STATUS)[1:]
 
 
@@ -90,9 +88,14 @@ def latest_run(runs: DataFrame, by: str = "run_ts") -> DataFrame:
     return runs.where(F.col(by) == runs.agg(F.max(by)).scalar())
 
 
-def latest_per_community(pass1: DataFrame, by: str = "run_ts") -> DataFrame:
-    """Rows of the newest run of each community, matched by exact name."""
+def latest_per_community(pass1: DataFrame, by: str = "run_ts", check_size: bool = True) -> DataFrame:
+    """Rows of the newest run of each community, matched by exact name.
+
+    With ``check_size`` the communities are counted first, and the snapshots are not shuffled if there are few.
+    """
     newest = pass1.groupBy("subreddit").agg(F.max(by).alias(by))
+    if check_size:
+        newest = broadcast_checked(newest)
     return join_hot(pass1, newest, ["subreddit", by], "inner")
 
 
@@ -134,19 +137,23 @@ def cohort_status(status: DataFrame, ids: DataFrame, tie_break: tuple[str, ...]
     return last_per_key(status, ["post_fullname"], ["rechecked_at_utc", *tie_break], among=ids)
 
 
-def started_communities(pass1: DataFrame, ids: DataFrame, communities: Sequence[str] | None = None) -> DataFrame:
+def started_communities(
+    pass1: DataFrame, ids: DataFrame, communities: Sequence[str] | None = None, check_size: bool = True
+) -> DataFrame:
     """Pass-1 rows of communities that have ids. ``pass1`` holds one run, the same as ``ids``.
 
     A literal list of communities prunes partitions of both tables before the join, and as it bounds the rows of
-    the id side, that side is broadcast. Without a list Spark decides by size.
+    the id side, that side is broadcast. Without a list the communities are counted first (``check_size``).
     """
     started = ids.where(F.col("post_fullname").isNotNull())
     if communities is not None:
         started = started.where(F.col("subreddit").isin(list(communities)))
         pass1 = pass1.where(F.col("subreddit").isin(list(communities)))
     started = started.select("subreddit").distinct()
-    if communities is not None and len(communities) <= BROADCAST_COMMUNITIES:
+    if communities is not None and len(communities) <= CHECKED_ROWS:
         started = F.broadcast(started)
+    elif check_size:
+        started = broadcast_checked(started)
     return join_hot(pass1, started, ["subreddit"], "left_semi")
 
 

@@ -4,6 +4,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+CHECKED_ROWS = 50_000
+
+
+def broadcast_checked(df: DataFrame, rows: int = CHECKED_ROWS) -> DataFrame:
+    """Mark a grouped table of narrow rows for broadcast if it has at most ``rows`` of them; else leave it as it is.
+
+    Spark learns the size of a grouped table only after the large side of the join has been shuffled as
+    well. Counting up to ``rows`` beforehand reads just the grouping columns and saves that shuffle. This is the one
+    place where an operator runs a job before its result is asked for.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def join_hot(large: DataFrame, small: DataFrame, keys: list[str], how: str, spread: Column | None = None) -> DataFrame:
     """Join ``large`` with the keyed table ``small`` on equal ``keys``.
 

@@ -8,7 +8,12 @@ from ..functions.times import as_timestamp, run_id
 from ..schemas import COUNT_FIELDS
 from .readers import CSV_OPTIONS
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+CSV_WRITE_OPTIONS = {
+    **CSV_OPTIONS,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_csv(df: DataFrame, path: str) -> bool:
@@ -18,20 +23,14 @@ def write_csv(df: DataFrame, path: str) -> bool:
     """
     if df.isEmpty():
         return False
-    (
-        df.write.mode("overwrite")
-        .options(**CSV_OPTIONS)
-        .option("timestampFormat", TIMESTAMP_FORMAT)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    df.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
     return True
 
 
-def write_snapshot(df: DataFrame, path: str, run_ts=None) -> None:
+def write_snapshot(df: DataFrame, path: str, run_ts=None, fmt: str = "parquet") -> None:
     """K2, K3, K5: one folder per run and community; the combined table is the same path read whole.
 
+    ``fmt`` is ``parquet`` or ``csv``; the CSV form is read back with ``read_pass1`` or ``read_complete``.
     Rewriting a run replaces only its own folders, so a repeated job does no harm. Rebalancing gives each folder
     few files and lets adaptive execution cut a large community into several tasks.
     """
@@ -40,8 +39,10 @@ def write_snapshot(df: DataFrame, path: str, run_ts=None) -> None:
         stamped.hint("rebalance", "run_id", "subreddit")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .options(**(CSV_WRITE_OPTIONS if fmt == "csv" else {}))
         .partitionBy("run_id", "subreddit")
-        .parquet(path)
+        .format(fmt)
+        .save(path)
     )
 
 

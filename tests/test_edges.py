@@ -97,6 +97,15 @@ def test_t25_snapshot_table_keeps_runs_apart_and_replaces_a_repeated_one(spark,
     assert newest.count() == 2 and "PartitionFilters: [isnotnull(run_id" in frames.plan(newest)
 
 
+def test_snapshot_table_as_csv(spark, tmp_path):
+    rows = cohort.pass1_rows(
+        frames.submissions(spark, {}, dict(fullname="p2", subreddit="007", selftext='a,"b"\nc')), _snapshot(spark), RUN
+    )
+    writers.write_snapshot(rows, str(tmp_path / "t"), RUN, fmt="csv")
+    back = readers.read_pass1(spark, str(tmp_path / "t"))
+    assert sorted(frames.tuples(back), key=str) == sorted(frames.tuples(rows), key=str)
+
+
 def test_cohort_ids_json(spark, tmp_path):
     lists = spark.createDataFrame([("foo", ["a", "b"]), ('q"x', ["c"])], "subreddit string, post_fullnames array<string>")
     writers.write_cohort_ids(lists, str(tmp_path / "ids"))
