@@ -42,7 +42,8 @@ def author_snapshot(raw_authors: DataFrame, run_ts=None) -> DataFrame:
 def with_author(posts: DataFrame, snapshot: DataFrame, author: str = "author", key: str = "fullname") -> DataFrame:
     """Posts with the seven author fields, prefixed ``author_``.
 
-    A null or ``[deleted]`` author becomes the deleted row and an author without snapshot an unavailable one.
+    ``snapshot`` holds one run. A null or ``[deleted]`` author becomes the deleted row and an author without
+    snapshot an unavailable one.
     One author may hold very many posts, and so may deleted ones, which have nothing to look up and are dealt
     out by ``key``.
     """

@@ -80,7 +80,10 @@ def summary_report(posts: DataFrame) -> DataFrame:
 
 def report_lines(report: DataFrame, title: str, run_ts=None) -> DataFrame:
     """The report as text lines (ord, value), numbers with two decimals."""
-    pct = F.when(F.col("value").isNull(), "nan%").otherwise(F.format_string("%.2f%%", F.col("value") * 100))
+    pct = F.when(F.col("value").isNull(), "nan%").otherwise(
+        # Rounded half-even beforehand, as the formatter would round halves up.
+        F.format_string("%.2f%%", F.bround(F.col("value") * 100, 2))
+    )
     count = F.format_string("%d", F.col("value").cast("bigint"))
     text = (
         F.when(F.col("ord") == 1, F.concat(F.lit("Total posts: "), count))

@@ -152,6 +152,15 @@ def document_submissions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_submissions(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as submissions; pending ones have no creation time yet."""
+    return table(spark, folder, "orders").selectExpr(
+        "CAST(o_orderkey AS string) AS fullname",
+        "CASE WHEN o_orderstatus <> 'P' THEN unix_micros(CAST(o_orderdate AS timestamp)) / 1000000.0D END AS created_utc",
+        "o_orderpriority AS subreddit",
+    )
+
+
 def raw_status(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents, checked twice: clean the first time, with their true marks the second."""
     documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")

@@ -235,6 +235,16 @@ FROM found f LEFT JOIN video_rows r ON f.search_term = r.search_term"""
 _EVENT_RUNS = """
 runs AS (SELECT event_type AS subreddit, strftime(ts, '%Y%m%d') AS run_day, event_id AS post_fullname FROM events)"""
 
+_REPORT = f"""{_FOUND_POSTS}, {_BUCKETS}, {_bucket_counts("posts")}, report AS (
+SELECT 1 AS ord, 'overall' AS section, 'total_posts' AS key, count(*)::DOUBLE AS value FROM posts
+UNION ALL SELECT 2, 'overall', 'moderated_posts', {_MODERATED}::DOUBLE FROM posts
+UNION ALL SELECT 3, 'overall', 'moderation_rate', {_frac(_MODERATED, "count(*)")} FROM posts
+UNION ALL SELECT * FROM (
+  SELECT 4, 'top_term', search_term, {_frac(_MODERATED, "count(has_moderation)")} AS rate
+  FROM posts GROUP BY search_term ORDER BY rate DESC, search_term LIMIT 1)
+UNION ALL SELECT 4 + bucket_ord, 'follower_bucket', follower_category, {_frac("moderated", "total")} FROM counted
+)"""
+
 # ---- queries ----------------------------------------------------------------------------------------------------------
 
 ORACLE_SQL: dict[str, str] = {
@@ -303,14 +313,20 @@ FROM posts WHERE has_moderation ORDER BY row_no LIMIT 5""",
     "top_term": f"""{_FOUND_POSTS}
 SELECT search_term, {_frac(_MODERATED, "count(has_moderation)")} AS rate_frac
 FROM posts GROUP BY search_term ORDER BY rate_frac DESC, search_term LIMIT 1""",
-    "summary_report": f"""{_FOUND_POSTS}, {_BUCKETS}, {_bucket_counts("posts")}
-SELECT 1 AS ord, 'overall' AS section, 'total_posts' AS key, count(*)::DOUBLE AS value FROM posts
-UNION ALL SELECT 2, 'overall', 'moderated_posts', {_MODERATED}::DOUBLE FROM posts
-UNION ALL SELECT 3, 'overall', 'moderation_rate', {_frac(_MODERATED, "count(*)")} FROM posts
-UNION ALL SELECT * FROM (
-  SELECT 4, 'top_term', search_term, {_frac(_MODERATED, "count(has_moderation)")} AS rate
-  FROM posts GROUP BY search_term ORDER BY rate DESC, search_term LIMIT 1)
-UNION ALL SELECT 4 + bucket_ord, 'follower_bucket', follower_category, {_frac("moderated", "total")} FROM counted""",
+    "summary_report": f"{_REPORT} SELECT * FROM report",
+    "report_text": f"""{_REPORT}, shown AS (
+  SELECT *, CASE WHEN value IS NULL THEN 'nan%' ELSE printf('%.2f%%', value * 100) END AS pct FROM report
+)
+SELECT ord * 10 AS ord,
+       CASE ord WHEN 1 THEN 'Total posts: ' || CAST(CAST(value AS BIGINT) AS VARCHAR)
+                WHEN 2 THEN 'Moderated posts: ' || CAST(CAST(value AS BIGINT) AS VARCHAR)
+                WHEN 3 THEN 'Moderation rate: ' || pct
+                WHEN 4 THEN '1. Search term ' || chr(39) || key || chr(39) || ' had highest moderation rate (' || pct || ')'
+                ELSE '   - ' || key || ': ' || pct END AS value
+FROM shown
+UNION ALL SELECT * FROM (VALUES
+  (1, 'MODERATION ANALYSIS'), (2, repeat('=', 70)), (31, 'KEY FINDINGS:'), (32, repeat('-', 70)),
+  (45, '2. Moderation rates by follower count:'), (1000, 'Generated: {RUN_TS}')) t(ord, value)""",
     "author_feed": f"""WITH {_USER_POSTS}
 SELECT handle, rn - 1 AS pos, event_id FROM feed""",
     "user_activity": f"""WITH {_USER_POSTS}
@@ -333,6 +349,11 @@ SELECT {_pass1()} FROM authored""",
 SELECT subreddit, CAST(count(*) AS BIGINT) AS n_ids, min(fullname) AS first_id, max(fullname) AS last_id
 FROM newest GROUP BY subreddit""",
     "status_flags": f"WITH {_STATUS} SELECT * FROM status",
+    "rejected_submissions": """
+SELECT CAST(o_orderkey AS VARCHAR) AS fullname, CAST(NULL AS DOUBLE) AS created_utc, o_orderpriority AS subreddit
+FROM orders WHERE o_orderstatus = 'P'""",
+    "cohort_status": f"""WITH {_DOCUMENT_SUBMISSIONS}, {_NEWEST}, {_STATUS}
+SELECT s.* FROM status s WHERE s.post_fullname IN (SELECT fullname FROM newest)""",
     "cohort_status_left": f"{_COMPLETE} SELECT * FROM complete",
     "removal_rates": f"""{_COMPLETE}
 SELECT CAST(count(*) AS BIGINT) AS n_cohort, CAST(count(is_removed_official) AS BIGINT) AS n_checked,

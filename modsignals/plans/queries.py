@@ -118,6 +118,11 @@ def summary_report(spark, folder):
     return report.summary_report(_found_posts(spark, folder))
 
 
+def report_text(spark, folder):
+    found = report.summary_report(_found_posts(spark, folder))
+    return report.report_lines(found, "MODERATION ANALYSIS", b.RUN_TS)
+
+
 # ---- users ----------------------------------------------------------------------------------------------------------
 
 
@@ -194,6 +199,16 @@ def _document_complete(spark, folder):
     return cohort.complete_cohort(cohort.pass1_rows(submissions, _snapshot(spark, folder), b.RUN_TS), ids, status)
 
 
+def rejected_submissions(spark, folder):
+    return cohort.rejected_submissions(b.order_submissions(spark, folder))
+
+
+def cohort_status(spark, folder):
+    newest = cohort.newest_submissions(b.document_submissions(spark, folder))
+    ids = newest.select("subreddit", F.col("fullname").alias("post_fullname"))
+    return _plain_times(cohort.cohort_status(cohort.status_flags(b.raw_status(spark, folder)), ids))
+
+
 def cohort_status_left(spark, folder):
     return _plain_times(_document_complete(spark, folder))
 
@@ -344,6 +359,7 @@ QUERIES: dict[str, Query] = {
         sample_moderated,
         top_term,
         summary_report,
+        report_text,
         author_feed,
         user_activity,
         author_snapshot,
@@ -351,6 +367,8 @@ QUERIES: dict[str, Query] = {
         newest_cohort,
         cohort_ids,
         status_flags,
+        rejected_submissions,
+        cohort_status,
         cohort_status_left,
         removal_rates,
         community_totals,
