@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import PREVIEW_CHARS, SAMPLE_POSTS, TOP_LABELS
 from ..functions.buckets import bucket_dimension, bucket_ord
-from ..functions.labels import joined_label_values
+from ..functions.labels import is_bad_label_json, joined_label_values
 from ..functions.rates import fraction, percent, percent_of_rounded
 from ..functions.text import preview
 
@@ -128,6 +128,12 @@ def label_top(posts: DataFrame, n: int = TOP_LABELS) -> DataFrame:
     return label_distribution(posts).limit(n)
 
 
+def label_json_check(posts: DataFrame) -> DataFrame:
+    """How many posts came with label text that is no JSON; they count as having no labels."""
+    bad = F.count_if(is_bad_label_json(F.col("moderation_labels")))
+    return posts.agg(F.count("*").alias("total_posts"), bad.alias("n_bad_json"))
+
+
 def engagement_comparison(posts: DataFrame) -> DataFrame:
     """Mean of three metrics for moderated and other posts, in one pass, a metric per row.
 

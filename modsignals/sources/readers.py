@@ -1,4 +1,4 @@
-"""Readers with explicit schemas: S1, S2, S3, S4, S13."""
+"""Readers with explicit schemas: S1, S2, S3, S4, S5, S13."""
 
 from collections.abc import Sequence
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import parse_labels
+from ..operators.cohort import latest_per_community
 from ..schemas import (
     COUNT_FIELDS,
     PASS1,
@@ -18,11 +19,14 @@ from ..schemas import (
 )
 from ..small import small_table
 
+FILE_TIME = "file_time"
 # Quotes inside quoted fields are doubled, and fields may hold line breaks.
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def _read_csv(spark: SparkSession, path: "str | list[str]", ddl: str) -> DataFrame:
+def _read_csv(
+    spark: SparkSession, path: "str | list[str]", ddl: str, with_file_time: bool = False
+) -> DataFrame:
     """A CSV table of the given columns.
 
     Fields are read as text and cast afterwards: whole numbers written as ``12.0`` because a column
@@ -31,6 +35,9 @@ def _read_csv(spark: SparkSession, path: "str | list[str]", ddl: str) -> DataFra
     """
     text = ", ".join(f"{n} string" for n in names(ddl))
     raw = spark.read.options(**CSV_OPTIONS).schema(text).csv(path)
+    if with_file_time:
+        raw = raw.select("*", F.col("_metadata.file_modification_time").alias(FILE_TIME))
+        ddl += f", {FILE_TIME} timestamp"
     whole = [f.split(" ")[0] for f in ddl.split(", ") if f.endswith(" bigint")]
     as_number = {n: F.coalesce(F.col(n).try_cast("bigint"), F.col(n).try_cast("double").try_cast("bigint")) for n in whole}
     return cast_to(raw.withColumns(as_number) if as_number else raw, ddl)
@@ -57,6 +64,15 @@ def read_pass1(spark: SparkSession, path: "str | list[str]") -> DataFrame:
     return _read_csv(spark, path, PASS1)
 
 
+def read_newest_pass1(spark: SparkSession, pattern: str) -> DataFrame:
+    """S5 on raw files: of every community, the rows of its newest file.
+
+    The community is read from the rows, so ``foo`` never picks up a file of ``foo_bar`` (T20).
+    """
+    rows = _read_csv(spark, pattern, PASS1, with_file_time=True)
+    return latest_per_community(rows, by=FILE_TIME).drop(FILE_TIME)
+
+
 def read_complete(spark: SparkSession, path: "str | list[str]") -> DataFrame:
     return _read_csv(spark, path, PASS2_COMPLETE)
 

@@ -124,6 +124,20 @@ def test_s4_newest_file(spark, tmp_path):
     assert frames.tuples(rows) == [("foo", "cohort_ids_a.json")]
 
 
+def test_s5_newest_file_of_each_community(spark, tmp_path):
+    now = time.time()
+    header = ",".join(schemas.names(schemas.PASS1))
+    for age, name, community, post in (
+        (50, "foo_1", "foo", "a"), (40, "foo_2", "foo", "b"), (10, "foo_bar_1", "foo_bar", "c"),
+    ):
+        values = dict.fromkeys(schemas.names(schemas.PASS1), "") | dict(post_fullname=post, subreddit=community)
+        (tmp_path / f"{name}.csv").write_text(header + "\n" + ",".join(values.values()) + "\n")
+        os.utime(tmp_path / f"{name}.csv", (now - age, now - age))
+    rows = readers.read_newest_pass1(spark, str(tmp_path / "foo_*.csv"))
+    assert rows.columns == schemas.names(schemas.PASS1)
+    assert sorted(frames.tuples(rows, "subreddit", "post_fullname")) == [("foo", "b"), ("foo_bar", "c")]
+
+
 def test_term_records_json(spark, tmp_path):
     rows = videos.video_rows(hits(spark), details(spark, [1, 4]))
     nested = videos.nest_terms(videos.videos_found(hits(spark), TERMS), rows)

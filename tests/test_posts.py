@@ -77,7 +77,9 @@ def test_t14_t15_label_json(spark):
     df = spark.createDataFrame([(t,) for t in texts], "j string")
     rows = df.select(parse_labels(F.col("j")).alias("p"), is_bad_label_json(F.col("j")).alias("bad")).collect()
     assert [[x.value for x in r.p] for r in rows[:6]] == [[], [], [], [], [], ["a", "b"]]
-    assert [r.bad for r in rows] == [True] + [False] * 6
+    assert [r.bad for r in rows] == [True] + [False] * 6 and rows[6].p == []
+    counted = stats.label_json_check(df.withColumnRenamed("j", "moderation_labels"))
+    assert frames.tuples(counted) == [(7, 1)]
     assert flatten_posts(raw(spark)).first().labels == []
 
 
