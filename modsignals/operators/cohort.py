@@ -163,9 +163,10 @@ def complete_cohort(
     status: DataFrame,
     communities: Sequence[str] | None = None,
     tie_break: tuple[str, ...] = (),
+    check_size: bool = True,
 ) -> DataFrame:
     """J7 then J1: pass-1 rows with their status where there is one; others keep nulls."""
-    started = started_communities(pass1, ids, communities)
+    started = started_communities(pass1, ids, communities, check_size)
     checked = cohort_status(status, ids, tie_break)
     extra = [c for c in pass1.columns if c != "post_fullname"]
     return started.join(checked, "post_fullname", "left").select("post_fullname", *extra, *STATUS_FIELDS)

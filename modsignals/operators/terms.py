@@ -87,11 +87,15 @@ def _match_by_gram(df: DataFrame, terms: Sequence[str], text: Column) -> DataFra
         F.col("_chars"),
         lambda c, i: F.concat(c, F.get(F.col("_chars"), i + 1), F.get(F.col("_chars"), i + 2)),
     )
+    # The pieces are made in a step of their own: from there on, exploding, looking up and checking run as one
+    # generated loop that copies no text until a term is found. The outer form keeps Spark from deriving a filter
+    # on the array, which would make the pieces a second time; empty texts fall out in the join.
     return (
         df.withColumn("_low", F.lower(text))
         .withColumn("_chars", chars)
-        .withColumn("_gram", F.explode(F.array_distinct(grams)))
-        .drop("_chars")
+        .withColumn("_grams", F.array_distinct(grams))
+        .withColumn("_gram", F.explode_outer("_grams"))
+        .drop("_chars", "_grams")
         .join(F.broadcast(anchors), "_gram")
         .where(F.contains(F.col("_low"), F.col("_needle")))
         .drop("_low", "_gram", "_needle")

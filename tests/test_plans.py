@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from modsignals import schemas
 from modsignals.operators import cohort, stats
+from modsignals.operators.authors import author_snapshot, with_author
 from modsignals.operators.joins import join_hot
 from modsignals.operators.posts import flatten_posts
 from modsignals.plans import bindings
@@ -104,6 +105,34 @@ def test_a_hot_key_is_split(spark, settings, how):
         assert {r.n for r in rows if r.k == "hot"} == {66667} and {r.n for r in rows if r.k is None} <= {None}
 
 
+def test_operators_split_their_hot_key(spark, settings):
+    settings(
+        autoBroadcastJoinThreshold="-1",
+        adaptive__autoBroadcastJoinThreshold="-1",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="10KB",
+        adaptive__skewJoin__skewedPartitionFactor="2",
+        adaptive__advisoryPartitionSizeInBytes="20KB",
+        shuffle__partitions="16",
+    )
+    name = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('u', id % 4000) END"
+    posts = spark.range(0, 200000, 1, 16).selectExpr(
+        "CAST(id AS string) AS fullname", f"{name} AS author", f"{name} AS subreddit", "id % 2 AS run_ts",
+        "CAST(id AS string) AS post_fullname",
+    )
+    sightings = posts.selectExpr(
+        "TIMESTAMP '2024-01-01' AS run_ts", "CAST(fullname AS bigint) AS seen_no", "author AS username",
+        "0D AS created_utc", "1L AS link_karma", "1L AS comment_karma", "true AS is_verified",
+    )
+    for df, rows in (
+        (with_author(posts, author_snapshot(sightings)), 200000),
+        (cohort.started_communities(posts, posts, check_size=False), 200000),
+        (cohort.latest_per_community(posts, check_size=False), None),
+    ):
+        got = len(df.collect())
+        assert "skew=true" in physical(df)
+        assert rows is None or got == rows
+
+
 def test_listed_communities_prune_and_broadcast(spark, settings, tmp_path):
     settings(autoBroadcastJoinThreshold="-1")
     one = spark.createDataFrame([("p", "foo")], "post_fullname string, subreddit string")
