@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, license_scan, mixing, syncmers
 from .common import table
 
 
@@ -14,7 +14,17 @@ def op8_mixing(spark, folder):
     return mixing.mix_counts(table(spark, folder, "documents"))
 
 
+def op6_license_scan(spark, folder):
+    return license_scan.licence_labels(table(spark, folder, "documents"))
+
+
+def op10_syncmers(spark, folder):
+    return syncmers.fingerprints(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op10_syncmers": op10_syncmers,
 }
