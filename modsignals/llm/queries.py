@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, syncmers
+from . import exact_dedup, license_scan, mixing, packing, pii, syncmers, token_counts
 from .common import table
 
 
@@ -14,17 +14,32 @@ def op8_mixing(spark, folder):
     return mixing.mix_counts(table(spark, folder, "documents"))
 
 
+def op1_pii(spark, folder):
+    return pii.pii_counts(table(spark, folder, "documents"))
+
+
+def op3_packing(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 def op6_license_scan(spark, folder):
     return license_scan.licence_labels(table(spark, folder, "documents"))
 
 
+def op9_token_counts(spark, folder):
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
 def op10_syncmers(spark, folder):
     return syncmers.fingerprints(table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_packing": op3_packing,
     "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_syncmers": op10_syncmers,
 }
