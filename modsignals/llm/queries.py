@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, pii, syncmers, token_counts
+from . import exact_dedup, license_scan, mixing, near_dedup, packing, pii, suffix_tree, syncmers, token_counts
 from .common import table
 
 
@@ -18,10 +18,18 @@ def op1_pii(spark, folder):
     return pii.pii_counts(table(spark, folder, "documents"))
 
 
+def op2_near_dedup(spark, folder):
+    return near_dedup.near_groups(table(spark, folder, "documents"))
+
+
 def op3_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op5_suffix_tree(spark, folder):
+    return suffix_tree.lm_scores(table(spark, folder, "documents"))
+
+
 def op6_license_scan(spark, folder):
     return license_scan.licence_labels(table(spark, folder, "documents"))
 
@@ -36,7 +44,9 @@ def op10_syncmers(spark, folder):
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
