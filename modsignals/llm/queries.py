@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_dedup, packing, pii, suffix_tree, syncmers, token_counts
+from . import exact_dedup, license_scan, mixing, near_dedup, packing, pii, suffix_tree, syncmers, token_counts, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op4_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_suffix_tree(spark, folder):
     return suffix_tree.lm_scores(table(spark, folder, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_suffix_tree": op5_suffix_tree,
     "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
