@@ -7,10 +7,10 @@
    similarity at or above the threshold falls below the miss probability.
 4. Survivors are confirmed on their full sets. Links join classes to components.
 5. Where a bucket still holds several components, the members outside its largest one are compared with all its members of
-   other components, by the same tests: first the most alike pair of each, then whatever would still join two components.
+   other components, in blocks, by the same tests. What comes back are links that join two components.
 
-So links are confirmed until no candidate pair of a bucket lies between two components; pairs inside a component need no
-test. A hub with many members is dealt out over several tasks, and no step makes all pairs of a group.
+So no candidate pair that lies between two components goes untested; pairs inside a component need no test. A hub with many
+members is dealt out over several tasks, and no step returns the pairs of a group.
 
 Null text counts as empty. A text without words links with nothing. Rows that repeat are members of one class. Ids that are
 null take no part in the choice of the smallest id. An empty table gives an empty result. Other columns are never read.
@@ -36,8 +36,8 @@ BANDS, BAND_ROWS = 48, 4
 HASHES = BANDS * BAND_ROWS
 #: Hashes compared at a time, and the probability with which a pair at the threshold may be dropped by them.
 BATCH, MISS = 32, 1e-6
-#: Members that meet a hub, or rows that meet a bucket's odd members, in one task.
-TOGETHER = 200
+#: Members that meet a hub in one task; members and odd members of a bucket that meet in one block.
+TOGETHER, BLOCK = 200, 1000
 SEED = 7
 
 
@@ -189,63 +189,115 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def band_rows(signs: DataFrame) -> DataFrame:
-    """bucket, node: one row per class and band."""
+    """bucket, band, node: one row per class and band."""
     width = 2 * BAND_ROWS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * width + 1, F.lit(width))))
-    return signs.select("node", F.explode(band).alias("bucket"))
-
-
-def between_components(members: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
-    """a, b, same: surviving pairs of a bucket that lie between two components.
-
-    Of each such bucket, the members outside its largest component are the queries. They are sent to every part of the
-    bucket's members and compared there in blocks; only survivors are returned.
+    places = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    band = F.transform(places, lambda i: F.struct(F.xxhash64(i, F.substring("signature", i * width + 1, F.lit(width))).alias("bucket"), i.cast("tinyint").alias("band")))
+    return signs.select("node", F.explode(band).alias("b")).select("b.bucket", "b.band", "node")
+
+
+class Block:
+    """The odd members of a bucket that one task holds, and the comparison of further members with them."""
+
+    def __init__(self):
+        self.joined: dict[int, int] = {}
+        self.sets: dict[int, np.ndarray] = {}
+
+    def begin(self, band: int) -> None:
+        self.band, self.nodes, self.rows, self.texts = band, [], [], []
+        self.table = None
+        self.sets.clear()
+
+    def root(self, component: int) -> int:
+        while component in self.joined:
+            component = self.joined[component]
+        return component
+
+    def ask(self, node: int, component: int, size: int, sign: bytes, text: str) -> None:
+        self.nodes.append(node)
+        self.rows.append((component, size, sign))
+        self.texts.append(text)
+
+    def _set(self, node: int, text: str) -> np.ndarray:
+        if node not in self.sets:
+            self.sets[node] = shingle_set(text)
+        return self.sets[node]
+
+    def compare(self, node: int, component: int, size: int, sign: bytes, text: str) -> Iterator[tuple[int, int]]:
+        """Links from a member to odd members of components not yet joined with its own."""
+        if self.table is None:
+            self.table = (
+                np.array([c for c, _, _ in self.rows]),
+                np.array([n for _, n, _ in self.rows]),
+                np.frombuffer(b"".join(x for _, _, x in self.rows), "<u2").reshape(-1, HASHES),
+            )
+        components_, sizes, signs = self.table
+        close = np.flatnonzero((components_ != component) & (100 * np.minimum(sizes, size) >= PERCENT * np.maximum(sizes, size)))
+        if not len(close):
+            return
+        own = np.broadcast_to(np.frombuffer(sign, "<u2"), (len(close), HASHES))
+        others = signs[close]
+        # Two members meet in every bucket that they share; only the first counts.
+        first = (own == others).reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == self.band
+        close = close[first]
+        close = close[agreements(own[first], others[first]) >= 0]
+        close = [k for k in close if self.root(int(components_[k])) != self.root(component)]
+        if not close:
+            return
+        mine = self._set(node, text)
+        sets = [self._set(self.nodes[k], self.texts[k]) for k in close]
+        both = np.add.reduceat(np.isin(np.concatenate(sets), mine, assume_unique=False), np.cumsum([0, *map(len, sets)])[:-1], dtype=np.int64)
+        for k, n, other in zip(close, both, sets, strict=True):
+            here, there = self.root(component), self.root(int(components_[k]))
+            if here != there and 100 * n >= PERCENT * (len(mine) + len(other) - n):
+                self.joined[max(here, there)] = min(here, there)
+                yield node, self.nodes[k]
+
+
+def between_components(members: DataFrame, labels: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join components which share a bucket.
+
+    Of each bucket that holds several components, the members outside its largest one are the queries. Queries and members
+    are each cut into blocks, and every block of queries meets every block of members in one place.
     """
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     labelled = saved(labelled, "bucket-members")
     counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
         counts.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("rows"), F.max_by("component", "n").alias("main"))
+        .agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("component", "n").alias("main"))
         .filter("many > 1")
-        .select("bucket", "main", F.ceil(F.col("rows") / (5 * TOGETHER)).cast("int").alias("parts"))
+        .select(
+            "bucket", "main", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("int").alias("blocks")
+        )
     )
     rows = saved(labelled.join(mixed, "bucket"), "mixed-buckets")
-    data = rows.select("bucket", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "node", "component")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    data = rows.select("bucket", "band", one_of("parts").alias("part"), all_of("blocks").alias("block"), F.lit(1).alias("role"), "node", "component")
     queries = rows.filter("component <> main").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "component"
+        "bucket", "band", all_of("parts").alias("part"), one_of("blocks").alias("block"), F.lit(0).alias("role"), "node", "component"
     )
-    met = data.unionByName(queries).join(signs.select("node", "n_shingles", "signature"), "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "role")
-
-    def compared(asked: list, asked_signs: list, row: tuple, sign: bytes) -> Iterator[tuple[int, int, int]]:
-        node, component, size = row
-        close = [k for k, (n, c, s) in enumerate(asked) if c != component and 100 * min(s, size) >= PERCENT * max(s, size)]
-        if close:
-            own = np.frombuffer(sign, "<u2")
-            others = np.frombuffer(b"".join(asked_signs[k] for k in close), "<u2").reshape(-1, HASHES)
-            for k, same in zip(close, agreements(np.broadcast_to(own, others.shape), others), strict=True):
-                if same >= 0:
-                    yield min(node, asked[k][0]), max(node, asked[k][0]), int(same)
+    full = signs.select("node", "n_shingles", "signature").join(texts, "node")
+    place = ("bucket", "part", "block")
+    met = data.unionByName(queries).join(full, "node").repartition(*place).sortWithinPartitions(*place, "role")
+    columns = (*place, "band", "role", "node", "component", "n_shingles", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked, asked_signs = None, [], []
+        at, block = None, Block()
         for batch in batches:
-            found = set()
-            for bucket, part, role, node, component, size, sign in zip(
-                *(batch.column(c).to_pylist() for c in ("bucket", "part", "role", "node", "component", "n_shingles", "signature")), strict=True
-            ):
-                if (bucket, part) != at:
-                    at, asked, asked_signs = (bucket, part), [], []
+            found = []
+            for bucket, part, piece, band, role, *row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if (bucket, part, piece) != at:
+                    at = (bucket, part, piece)
+                    block.begin(band)
                 if role == 0:
-                    asked.append((node, component, size))
-                    asked_signs.append(sign)
-                else:
-                    found.update(compared(asked, asked_signs, (node, component, size), sign))
-            a, b, same = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, same)], ["a", "b", "same"])
+                    block.ask(*row)
+                elif block.rows:
+                    found.extend(block.compare(*row))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    columns = ("bucket", "part", "role", "node", "component", "n_shingles", "signature")
-    return met.select(*columns).mapInArrow(run, "a bigint, b bigint, same bigint").distinct()
+    return met.select(*columns).mapInArrow(run, "a bigint, b bigint")
 
 
 # ---- the whole ------------------------------------------------------------------------------------------------------
@@ -284,12 +336,7 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     labels = components(links)
     links = saved(links.unionByName(confirmed(_across(near, labels).select("a", "b"), texts)).distinct(), "links")
     labels = components(links)
-    odd = saved(between_components(members, labels, signs), "between")
-    # Of what lies between two components, the most alike pair first.
-    first = _across(odd, labels).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "same").alias("p")).select("p.a", "p.b")
-    links = saved(links.unionByName(confirmed(first, texts)).distinct(), "links")
-    labels = components(links)
-    links = saved(links.unionByName(confirmed(_across(odd, labels).select("a", "b"), texts)).distinct(), "links")
+    links = saved(links.unionByName(between_components(members, labels, signs, texts)).distinct(), "links")
     labels = components(links)
 
     joined = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
