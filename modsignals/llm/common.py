@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,18 @@ def join_small(rows: DataFrame, small: DataFrame, on: str, small_rows: int, how:
     return rows.join(F.broadcast(small) if small_rows <= BROADCAST_ROWS else small, on, how)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have at most about ``most_bytes``, so that what a task makes of them stays small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public vocabulary file, as a task or the driver finds it.
 
