@@ -14,6 +14,8 @@ columns are never read. A special token's string inside a text is that one token
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from array import array
 from bisect import bisect_right
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from . import bpe
 from .common import tokenizer_file
 
+#: Pieces whose counts a task keeps; they are small, and few of them take most of the text.
+KEPT_TOTALS = 1_200_000
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 _END = "</w>"
@@ -37,50 +41,90 @@ class PrefixCounts:
 
     def __init__(self, path: str):
         self.tokenizer = bpe.library(path)
-        self.model = self.tokenizer.model
         self.ids = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.names = {i: t for t, i in self.ids.items()}
-        self.longest = max(len(t.removesuffix(_END)) for t in self.ids)
+        with open(path, encoding="utf-8") as file:
+            merges = json.load(file)["model"]["merges"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        self.ranks = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = {self.ids[a + b]: (self.ids[a], self.ids[b], rank) for rank, (a, b) in reversed([*enumerate(pairs)])}
+        # What meets the border from the left is a token's right side, and the other way round.
+        self.left = bpe.Kept(lambda token: self._spine(token, 1), len(self.ids))
+        self.right = bpe.Kept(lambda token: self._spine(token, 0), len(self.ids))
+        # Tokens that end a word, by their letters, and the letters with which any other token begins (-1 if they are none).
+        self.closing = {t.removesuffix(_END): i for t, i in self.ids.items() if t.endswith(_END)}
+        self.longest = max(map(len, self.closing))
+        inner = {t: i for t, i in self.ids.items() if not t.endswith(_END)}
+        self.begun = {t[:n]: -1 for t in inner for n in range(1, len(t))} | inner
         specials = bpe.special_strings(path)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.apart = bpe.Kept(self._apart, bpe.KEPT_PAIRS)
         self.tables = bpe.Kept(self._table, bpe.KEPT_PIECES)
-        self.totals = bpe.Kept(lambda piece: self.tables[piece][-1], bpe.KEPT_PIECES)
+        self.totals = bpe.Kept(self._total, KEPT_TOTALS)
+
+    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The symbols at one side of a token while it is built, from its first one to itself, each with the rank of the merge that ends it."""
+        out, ends = [], math.inf
+        while True:
+            out.append((token, ends))
+            if token not in self.made:
+                return out[::-1]
+            *halves, ends = self.made[token]
+            token = halves[side]
 
     def _apart(self, pair: tuple[int, int]) -> bool:
-        """Whether two tokens stay two when their strings are encoded as one."""
-        a, b = pair
-        return [t.id for t in self._encode(self.names[a] + self.names[b])] == [a, b]
-
-    def _encode(self, letters: str):
-        # The model puts the word end at the last letter by itself; without it, a letter follows that no token holds.
-        if letters.endswith(_END):
-            return self.model.tokenize(letters.removesuffix(_END))
-        return self.model.tokenize(letters + "\x00")
-
-    def _last(self, letters: str, end: int, lasts: list[int], mark: str) -> tuple[int, int]:
-        """The last token of a prefix's encoding, and where it starts."""
-        ids, apart = self.ids, self.apart
+        """Whether two tokens stay two when their strings are encoded as one.
+
+        While both are built, the symbols at the border change. If at some time the two that meet there have a merge of their
+        own that comes before the merges that end them, it takes place and the tokens are never made. Of equal merges the
+        left one comes first.
+        """
+        left, right = self.left[pair[0]], self.right[pair[1]]
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            rank = self.ranks.get((x, y))
+            if rank is not None and rank < x_ends and rank <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+            if i == len(left) or j == len(right):
+                return True
+
+    def _walk(self, letters: str) -> tuple[list[int], list[int]]:
+        """For each prefix that goes on, the last token of its encoding and the number of tokens."""
+        begun, apart, size = self.begun, self.apart, len(letters)
+        lasts, counts = [-1] * size, [0] * size
+        for start in range(size - 1):
+            last, more = lasts[start], counts[start] + 1
+            for end in range(start + 1, size):
+                token = begun.get(letters[start:end])
+                if token is None:
+                    break
+                if token >= 0 and (start == 0 or apart[last, token]):
+                    lasts[end], counts[end] = token, more
+        return lasts, counts
+
+    def _close(self, letters: str, end: int, lasts: list[int], counts: list[int]) -> int:
+        """The number of tokens of a prefix that ends the word."""
+        closing, apart = self.closing, self.apart
         for start in range(max(0, end - self.longest), end):
-            token = ids.get(letters[start:end] + mark)
+            token = closing.get(letters[start:end])
             if token is not None and (start == 0 or apart[lasts[start], token]):
-                return token, start
+                return counts[start] + 1
         raise ValueError(f"no encoding of {letters[:end]!r}")
 
+    def _total(self, piece: str) -> int:
+        letters = bpe.lettered(piece)
+        return self._close(letters, len(letters), *self._walk(letters))
+
     def _table(self, piece: str) -> array:
         """The number of tokens of each prefix of a piece, by characters, each prefix taken as a whole word."""
         letters = bpe.lettered(piece)
-        lasts, counts, closed = [-1], [0], []
-        ends = set(accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece))
-        for end in range(1, len(letters) + 1):
-            if end in ends:
-                _, start = self._last(letters, end, lasts, _END)
-                closed.append(counts[start] + 1)
-            if end < len(letters):
-                token, start = self._last(letters, end, lasts, "")
-                lasts.append(token)
-                counts.append(counts[start] + 1)
-        return array("H" if len(closed) < 65_536 else "L", closed)
+        walked = self._walk(letters)
+        ends = accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece)
+        return array("L", [self._close(letters, end, *walked) for end in ends])
 
     def pieces(self, text: str) -> list[tuple[str | None, int]]:
         """The pieces of a text with the places where they end; None stands for a special token."""
