@@ -1,21 +1,5 @@
 """Parameter defaults and literal values."""
 
-# Search terms for posts and for videos, and the default community.
-POST_TERMS = ("spam", "scam", "fake news", "misinformation", "harassment")
-VIDEO_TERMS = (
-    "vaccine side effects",
-    "election fraud claims",
-    "conspiracy theory",
-    "political protest",
-    "mental health crisis",
-    "climate change debate",
-    "racial justice",
-    "religious extremism",
-    "medical misinformation",
-    "political violence",
-)
-COMMUNITIES = ("AskReddit",)
-
 # Follower buckets as (order, label, exclusive lower edge, inclusive upper edge).
 FOLLOWER_BUCKETS = (
     (1, "<100", 0, 100),
@@ -32,8 +16,12 @@ ERROR = "[error]"
 NOT_AVAILABLE = "N/A"
 WATCH_URL_PREFIX = "https://www.youtube.com/watch?v="
 
-# Rows kept per term, author, community and video search, and text cuts.
-POSTS_PER_TERM = 100
+# Lines of the summary report, and where blank ones stand (by order number).
+REPORT_RULE, REPORT_THIN_RULE = "=" * 70, "-" * 70
+REPORT_HEAD, REPORT_BUCKETS = "KEY FINDINGS:", "2. Moderation rates by follower count:"
+REPORT_BLANKS = (3, 31, 999)
+
+# Rows kept per author, community and video search, and text cuts.
 POSTS_PER_AUTHOR = 50
 POSTS_PER_COMMUNITY = 100
 VIDEOS_PER_TERM = 10

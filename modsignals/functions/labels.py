@@ -32,6 +32,13 @@ def has_labels(post_labels: Column, embed_labels: Column) -> Column:
     )
 
 
+def _parsed_label(text: Column) -> Column:
+    """A value that is there but null is ``unknown`` (T5); one that is absent stays null."""
+    label = F.from_json(text, LABEL)
+    there = F.array_contains(F.json_object_keys(text), "value")
+    return label.withField("value", F.when(there, F.coalesce(label["value"], F.lit(UNKNOWN))))
+
+
 def parse_labels(json_text: Column) -> Column:
     """Label JSON to an array. Null, ``[]`` and malformed text give an empty array.
 
@@ -39,7 +46,7 @@ def parse_labels(json_text: Column) -> Column:
     """
     elements = F.from_json(json_text, "array<string>")
     objects = F.filter(elements, lambda e: F.json_object_keys(e).isNotNull())
-    parsed = F.transform(objects, lambda e: F.from_json(e, LABEL))
+    parsed = F.transform(objects, _parsed_label)
     return F.coalesce(parsed, F.array().cast(LABELS))
 
 

@@ -22,6 +22,3 @@ def percent_of_rounded(part: Column, whole: Column) -> Column:
     """Round the fraction to four decimals first, then times 100."""
     return round4(fraction(part, whole)) * F.lit(100.0)
 
-
-def true_count(flag: Column) -> Column:
-    return F.count_if(flag)

@@ -15,6 +15,8 @@ from .joins import CHECKED_ROWS, broadcast_checked, join_hot
 from .topk import last_per_key, top_k_per_group
 
 REQUIRED = ("fullname", "created_utc")
+# Ids in one list of the id table, about.
+IDS_PER_LIST = 10_000
 STATUS_FIELDS = names(STATUS)[1:]
 
 
@@ -72,13 +74,17 @@ def cohort_ids(pass1: DataFrame, run_ts=None) -> DataFrame:
     return pass1.select(as_timestamp(run_ts).alias("run_ts"), "subreddit", "post_fullname")
 
 
-def cohort_id_lists(ids: DataFrame) -> DataFrame:
-    """Ids of each community as one sorted list; communities without ids are absent.
+def cohort_id_lists(ids: DataFrame, most: int = IDS_PER_LIST) -> DataFrame:
+    """Ids of each community as sorted lists; communities without ids are absent.
 
-    For cohorts cut by ``newest_cohort``, whose groups have at most ``k`` ids. Longer id sets stay in the long
-    form of ``cohort_ids``.
+    A community with more than about ``most`` ids gets several lists, dealt out by a hash of the id, so that no list grows
+    with the data.
     """
-    return ids.groupBy("subreddit").agg(F.array_sort(F.collect_list("post_fullname")).alias("post_fullnames"))
+    ids = ids.where(F.col("post_fullname").isNotNull()).select("subreddit", "post_fullname")
+    lists = ids.groupBy("subreddit").agg(F.ceil(F.count("*") / most).alias("_lists"))
+    dealt = join_hot(ids, lists, ["subreddit"], "inner").withColumn("_list", F.expr("pmod(xxhash64(post_fullname), _lists)"))
+    grouped = dealt.groupBy("subreddit", "_list").agg(F.array_sort(F.collect_list("post_fullname")).alias("post_fullnames"))
+    return grouped.drop("_list")
 
 
 # ---- choosing the run --------------------------------------------------------------------------------------------
@@ -88,10 +94,11 @@ def latest_run(runs: DataFrame, by: str = "run_ts") -> DataFrame:
     return runs.where(F.col(by) == runs.agg(F.max(by)).scalar())
 
 
-def latest_per_community(pass1: DataFrame, by: str = "run_ts", check_size: bool = True) -> DataFrame:
+def latest_per_community(pass1: DataFrame, by: str = "run_ts", check_size: bool = False) -> DataFrame:
     """Rows of the newest run of each community, matched by exact name.
 
-    With ``check_size`` the communities are counted first, and the snapshots are not shuffled if there are few.
+    ``by`` should be a time or a number; the maximum of text needs its input sorted. With ``check_size`` the communities
+    are counted beforehand, by a job of its own, and the snapshots are not shuffled if there are few.
     """
     newest = pass1.groupBy("subreddit").agg(F.max(by).alias(by))
     if check_size:
@@ -125,25 +132,28 @@ def status_flags(raw: DataFrame) -> DataFrame:
 
 
 def latest_status(status: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
-    """One row per post, the last re-check wins."""
+    """One row per post, the last re-check wins (T19). Equal times are told apart by ``tie_break``, then by the row."""
     return last_per_key(status, ["post_fullname"], ["rechecked_at_utc", *tie_break])
 
 
 def cohort_status(status: DataFrame, ids: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """The latest status of cohort posts only.
 
-    Reduced before the semi-join on the same key, so a post re-checked very often costs one row per task.
+    The history is cut to the cohort before it is grouped, so what is not asked for is neither sorted nor grouped. The join
+    stays balanced when one post is re-checked very often.
     """
-    return last_per_key(status, ["post_fullname"], ["rechecked_at_utc", *tie_break], among=ids)
+    asked = ids.select("post_fullname").distinct()
+    return last_per_key(join_hot(status, asked, ["post_fullname"], "left_semi"), ["post_fullname"], ["rechecked_at_utc", *tie_break])
 
 
 def started_communities(
-    pass1: DataFrame, ids: DataFrame, communities: Sequence[str] | None = None, check_size: bool = True
+    pass1: DataFrame, ids: DataFrame, communities: Sequence[str] | None = None, check_size: bool = False
 ) -> DataFrame:
     """Pass-1 rows of communities that have ids. ``pass1`` holds one run, the same as ``ids``.
 
     A literal list of communities prunes partitions of both tables before the join, and as it bounds the rows of
-    the id side, that side is broadcast. Without a list the communities are counted first (``check_size``).
+    the id side, that side is broadcast. Without a list, ``check_size`` counts the communities first, by a job of its own;
+    otherwise Spark decides while it runs.
     """
     started = ids.where(F.col("post_fullname").isNotNull())
     if communities is not None:
@@ -163,7 +173,7 @@ def complete_cohort(
     status: DataFrame,
     communities: Sequence[str] | None = None,
     tie_break: tuple[str, ...] = (),
-    check_size: bool = True,
+    check_size: bool = False,
 ) -> DataFrame:
     """J7 then J1: pass-1 rows with their status where there is one; others keep nulls."""
     started = started_communities(pass1, ids, communities, check_size)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import FOLLOWER_BUCKETS
+from ..constants import FOLLOWER_BUCKETS, REPORT_BLANKS, REPORT_BUCKETS, REPORT_HEAD, REPORT_RULE, REPORT_THIN_RULE
 from ..functions.buckets import bucket_dimension, bucket_ord
 from ..functions.rates import fraction
 from ..functions.times import as_timestamp
@@ -15,18 +15,20 @@ _TOTAL, _BY_BUCKET, _BY_TERM = "overall", "follower_bucket", "top_term"
 def summary_report(posts: DataFrame) -> DataFrame:
     """K7: rows (ord, section, key, value), always with the bucket section (T21); rates are fractions.
 
-    One pass over the posts feeds all three sections through grouping sets; what is left after that
-    has one row per term and bucket. Order numbers: 1-3 totals, 4 best term, 5-8 buckets.
+    The posts are counted once by term and bucket; grouping sets over those few counts give all three sections. Order numbers: 1-3 totals, 4 best term, 5-8 buckets.
     """
     flagged = posts.select(
         "has_moderation", "search_term", bucket_ord(F.col("author_followers")).alias("bucket_ord")
     )
-    sets = flagged.groupingSets(
+    counts = flagged.groupBy("search_term", "bucket_ord").agg(
+        F.count("*").alias("n"), F.count_if(F.col("has_moderation")).alias("m"), F.count("has_moderation").alias("known")
+    )
+    sets = counts.groupingSets(
         [[], [F.col("search_term")], [F.col("bucket_ord")]], "search_term", "bucket_ord"
     ).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("has_moderation")).alias("m"),
-        F.count("has_moderation").alias("known"),
+        F.sum("n").alias("n"),
+        F.sum("m").alias("m"),
+        F.sum("known").alias("known"),
         F.grouping("search_term").alias("no_term"),
         F.grouping("bucket_ord").alias("no_bucket"),
     )
@@ -98,7 +100,10 @@ def report_lines(report: DataFrame, title: str, run_ts=None) -> DataFrame:
     body = report.select((F.col("ord") * 10).alias("ord"), text.alias("value"))
     fixed = small_table(
         report.sparkSession,
-        [(1, title), (2, "=" * 70), (31, "KEY FINDINGS:"), (32, "-" * 70), (45, "2. Moderation rates by follower count:")],
+        [
+            (1, title), (2, REPORT_RULE), (32, REPORT_HEAD), (33, REPORT_THIN_RULE), (45, REPORT_BUCKETS),
+            *((at, "") for at in REPORT_BLANKS),
+        ],
         "ord int, value string",
     )
     stamp = small_table(report.sparkSession, [(1000,)], "ord int").select(

@@ -19,16 +19,22 @@ def _moderated():
 
 
 def basic_statistics(posts: DataFrame) -> DataFrame:
-    """A1, A2, A3, A17 in one pass. The rate is unrounded; on no rows it is null."""
-    return posts.agg(
-        F.count("*").alias("total_posts"),
-        _moderated().alias("moderated_posts"),
-        percent(_moderated(), F.count("*")).alias("moderation_rate_pct"),
+    """A1, A2, A3, A17 in one pass. The rate is unrounded; on no rows it is null.
+
+    Posts are summed by author and term first, so that only those sums meet the two distinct counts.
+    """
+    metrics = {"likes_count": "avg_likes", "repost_count": "avg_reposts", "reply_count": "avg_replies"}
+    sums = [f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("sum", F.sum), ("n", F.count))]
+    parts = posts.groupBy("author_handle", "search_term").agg(F.count("*").alias("n"), _moderated().alias("m"), *sums)
+    zero = F.lit(0).cast("bigint")
+    n, m = F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("m"), zero)
+    return parts.agg(
+        n.alias("total_posts"),
+        m.alias("moderated_posts"),
+        percent(m, n).alias("moderation_rate_pct"),
         F.countDistinct("author_handle").alias("unique_authors"),
         F.countDistinct("search_term").alias("search_terms"),
-        F.avg("likes_count").alias("avg_likes"),
-        F.avg("repost_count").alias("avg_reposts"),
-        F.avg("reply_count").alias("avg_replies"),
+        *[fraction(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(name) for c, name in metrics.items()],
     )
 
 

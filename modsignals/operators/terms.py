@@ -43,12 +43,22 @@ def match_terms(df: DataFrame, terms: Sequence[str], text: "str | Column", inlin
     return reduce(DataFrame.unionByName, passes)
 
 
-def _match_inline(df: DataFrame, terms: Sequence[str], text: Column) -> DataFrame:
+def with_terms(df: DataFrame, terms: Sequence[str], text: "str | Column", into: str = "search_terms") -> DataFrame:
+    """J5 with the matching terms of a row as one array, for short lists: for joins that come before the explode."""
+    column = F.col(text) if isinstance(text, str) else text
+    low = df.withColumn("_low", F.lower(column))
+    return low.withColumn(into, F.filter(_tests(terms), lambda t: t.isNotNull())).where(F.size(into) > 0).drop("_low")
+
+
+def _tests(terms: Sequence[str]) -> Column:
     tests = [F.when(F.contains(F.col("_low"), F.lower(F.lit(t))), F.lit(t)) for t in terms]
-    candidates = F.array(*tests) if tests else F.array().cast("array<string>")
+    return F.array(*tests) if tests else F.array().cast("array<string>")
+
+
+def _match_inline(df: DataFrame, terms: Sequence[str], text: Column) -> DataFrame:
     return (
         df.withColumn("_low", F.lower(text))
-        .withColumn("search_term", F.explode(candidates))
+        .withColumn("search_term", F.explode(_tests(terms)))
         .where(F.col("search_term").isNotNull())
         .drop("_low")
     )

@@ -37,27 +37,18 @@ def top_k_per_group(
     return kept if rank else kept.drop(name)
 
 
-def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick, among: DataFrame | None) -> DataFrame:
+def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-    if among is not None:
-        picked = picked.join(among.select(*keys), list(keys), "left_semi")
+    # Rows of equal order are told apart by their content, so reruns pick the same one.
+    picked = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def first_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], among: DataFrame | None = None
-) -> DataFrame:
-    """W5, first wins (T18). An aggregate, so each task sends one row per key however hot the key is.
-
-    ``among`` keeps only keys found in that table. The semi-join stands right on the aggregate: its key is in place
-    already, and when ``among`` is small enough to broadcast, Spark moves it below, before the shuffle.
-    """
-    return _one_per_key(df, keys, order, F.min_by, among)
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """W5, first wins (T18). An aggregate, so each task sends one row per key however hot the key is."""
+    return _one_per_key(df, keys, order, F.min_by)
 
 
-def last_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], among: DataFrame | None = None
-) -> DataFrame:
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """W5 and A19, last wins."""
-    return _one_per_key(df, keys, order, F.max_by, among)
+    return _one_per_key(df, keys, order, F.max_by)

@@ -21,6 +21,7 @@ def author_feeds(posts: DataFrame, k: int = POSTS_PER_AUTHOR, order=("created",
         [F.desc(c) for c in order],
         k,
         rank="_pos",
+        spread=1,  # with very many authors a task holds few posts of one, and the group limit alone bounds a hot one
     )
     entry = F.struct("_pos", F.struct("uri", "labels", "embed").alias("post"))
     return newest.groupBy("handle").agg(F.array_sort(F.collect_list(entry)).alias("_entries")).select(

@@ -6,11 +6,13 @@ is computed before a join, so texts do not travel through shuffles for queries t
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.terms import match_terms
+from ..operators.terms import with_terms
 from ..schemas import RAW_LABELS
 from ..small import small_table
 
 TERMS = ("license", "@", "free", "token", "the", "that", "de", "spam")
+# Beyond what is searched inline; two letters are shorter than a piece.
+MANY_TERMS = tuple(a + b + c for a in "aeiou" for b in "lmnrst" for c in ("", "a", "e", "i", "u"))
 RUN_TS = "2024-03-01 00:00:00"
 FIRST_CHECK = "2024-02-01 00:00:00"
 SECOND_CHECK = "2024-02-02 00:00:00"
@@ -31,10 +33,10 @@ def _one_label(when: str, value: str, created: str) -> str:
 
 # ---- posts ----------------------------------------------------------------------------------------------------------
 
-def _raw_posts(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
+def _raw_posts(spark: SparkSession, folder: str, documents: DataFrame, search_term: str = "search_term") -> DataFrame:
     toxic, low = _one_label("toxic = 1", "'toxic'", "NULL"), _one_label("quality = 0", "'low_quality'", "lang")
     return documents.join(table(spark, folder, "labels"), "doc_id", "left").selectExpr(
-        "search_term",
+        search_term,
         "CAST(doc_id AS string) AS uri",
         "n_chars AS likeCount",
         "CAST(quality AS bigint) AS repostCount",
@@ -48,14 +50,21 @@ def _raw_posts(spark: SparkSession, folder: str, documents: DataFrame) -> DataFr
     )
 
 
-def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document once, as a nested post found under its language."""
-    return _raw_posts(spark, folder, table(spark, folder, "documents").selectExpr("*", "lang AS search_term"))
+def raw_posts(spark: SparkSession, folder: str, shown: str = "text") -> DataFrame:
+    """Every document once, as a nested post found under its language.
+
+    ``shown`` is what is needed of the text; it is made before the join to the labels, so no more than that is shuffled.
+    """
+    return _raw_posts(spark, folder, table(spark, folder, "documents").selectExpr("* EXCEPT (text)", f"{shown} AS text", "lang AS search_term"))
 
 
 def searched_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Every (term, document) match, as a nested post. The texts are searched before the join."""
-    return _raw_posts(spark, folder, match_terms(table(spark, folder, "documents"), TERMS, "text"))
+    """Every (term, document) match, as a nested post.
+
+    The texts are searched before the join and a document crosses it once, however many terms it matches.
+    """
+    found = with_terms(table(spark, folder, "documents"), TERMS, "text")
+    return _raw_posts(spark, folder, found, "explode(search_terms) AS search_term")
 
 
 def event_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,9 +115,10 @@ def user_posts(spark: SparkSession, folder: str) -> DataFrame:
 # ---- submissions ----------------------------------------------------------------------------------------------------
 
 def raw_authors(spark: SparkSession, folder: str) -> DataFrame:
-    """Each order is one sighting of an account; some sightings fail in one of two ways."""
-    return table(spark, folder, "orders").selectExpr(
-        f"TIMESTAMP '{RUN_TS}' AS run_ts",
+    """Each order is one sighting of an account; some sightings fail in one of two ways. Urgent ones belong to an earlier run as well."""
+    runs = f"array(TIMESTAMP '{RUN_TS}', CASE WHEN o_orderpriority = '1-URGENT' THEN TIMESTAMP '{FIRST_CHECK}' END)"
+    return table(spark, folder, "orders").selectExpr("*", f"explode(filter({runs}, r -> r IS NOT NULL)) AS run_ts").selectExpr(
+        "run_ts",
         "o_orderkey AS seen_no",
         "CAST(o_custkey AS string) AS username",
         "CASE WHEN o_orderstatus <> 'P' THEN unix_micros(CAST(o_orderdate AS timestamp)) / 1000000.0D END AS created_utc",
@@ -141,7 +151,7 @@ def document_submissions(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(doc_id AS string) AS fullname",
         "1704067200.0D + n_chars / 8.0D AS created_utc",
         "lang AS subreddit",
-        "substring(text, 1, 40) AS title",
+        "concat(source, ' ', doc_id) AS title",
         "text AS selftext",
         "source AS domain",
         "n_chars AS score",
@@ -194,7 +204,7 @@ def videos(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id AS id",
         "CASE WHEN lang = 'en' THEN 'US' ELSE upper(lang) END AS region",
         "'video' AS type",
-        "substring(text, 1, 80) AS title",
+        "concat(source, ' ', doc_id) AS title",
         "source AS channel",
         "text AS search_text",
         "doc_id AS relevance_pos",

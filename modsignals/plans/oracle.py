@@ -1,6 +1,6 @@
 """SQL twins of the registered queries, for a second engine over the same tables."""
 
-from .bindings import FIRST_CHECK, RUN_TS, SECOND_CHECK, TERMS
+from .bindings import FIRST_CHECK, MANY_TERMS, RUN_TS, SECOND_CHECK, TERMS
 
 _TERM_VALUES = ", ".join(f"('{t}')" for t in TERMS)
 
@@ -134,7 +134,7 @@ newest AS (
 _DOCUMENT_SUBMISSIONS = """
 submissions AS (
   SELECT CAST(doc_id AS VARCHAR) AS fullname, 1704067200.0::DOUBLE + n_chars / 8.0::DOUBLE AS created_utc,
-         lang AS subreddit, substring(text, 1, 40) AS title, text AS selftext, source AS domain,
+         lang AS subreddit, source || ' ' || CAST(doc_id AS VARCHAR) AS title, text AS selftext, source AS domain,
          n_chars AS score, CAST(length(source) AS BIGINT) AS num_comments, 0.5::DOUBLE AS upvote_ratio,
          CAST(NULL AS VARCHAR) AS link_flair_text, source AS author
   FROM documents
@@ -196,7 +196,7 @@ def _hits(where: str = "true") -> str:
 hits AS (
   SELECT * FROM (
     SELECT t.search_term, row_number() OVER (PARTITION BY t.search_term ORDER BY d.doc_id) AS rank, d.doc_id AS video_id,
-           substring(d.text, 1, 80) AS title, d.source AS channel
+           d.source || ' ' || CAST(d.doc_id AS VARCHAR) AS title, d.source AS channel
     FROM documents d JOIN terms t ON contains(lower(d.text), lower(t.search_term)) WHERE {where}
   ) WHERE rank <= 10
 )"""
@@ -245,6 +245,21 @@ UNION ALL SELECT * FROM (
 UNION ALL SELECT 4 + bucket_ord, 'follower_bucket', follower_category, {_frac("moderated", "total")} FROM counted
 )"""
 
+_REPORT_LINES = f"""{_REPORT}, shown AS (
+  SELECT *, CASE WHEN value IS NULL THEN 'nan%' ELSE printf('%.2f%%', value * 100) END AS pct FROM report
+), lines AS (
+SELECT ord * 10 AS ord,
+       CASE ord WHEN 1 THEN 'Total posts: ' || CAST(CAST(value AS BIGINT) AS VARCHAR)
+                WHEN 2 THEN 'Moderated posts: ' || CAST(CAST(value AS BIGINT) AS VARCHAR)
+                WHEN 3 THEN 'Moderation rate: ' || pct
+                WHEN 4 THEN '1. Search term ' || chr(39) || key || chr(39) || ' had highest moderation rate (' || pct || ')'
+                ELSE '   - ' || key || ': ' || pct END AS value
+FROM shown
+UNION ALL SELECT * FROM (VALUES
+  (1, 'MODERATION ANALYSIS'), (2, repeat('=', 70)), (3, ''), (31, ''), (32, 'KEY FINDINGS:'), (33, repeat('-', 70)),
+  (45, '2. Moderation rates by follower count:'), (999, ''), (1000, 'Generated: {RUN_TS}')) t(ord, value)
+)"""
+
 # ---- queries ----------------------------------------------------------------------------------------------------------
 
 ORACLE_SQL: dict[str, str] = {
@@ -290,8 +305,20 @@ SELECT value, CAST(count(*) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'low_quality' FROM documents JOIN labels USING (doc_id) WHERE quality = 0
 ) GROUP BY value""",
     "label_top10": """
-SELECT event_type AS value, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type IN ('error', 'signup')
-GROUP BY event_type ORDER BY n DESC, min(event_id) LIMIT 10""",
+SELECT json_extract_string(props, '$.k') AS value, CAST(count(*) AS BIGINT) AS n FROM events
+WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, min(event_id) LIMIT 10""",
+    "label_json_odd": """
+SELECT doc_id, CAST(CASE WHEN lang IN ('de', 'fr') THEN 2 ELSE 0 END AS BIGINT) AS n_labels,
+       CASE lang WHEN 'de' THEN 'unknown, a' WHEN 'fr' THEN 'unknown, b' ELSE '' END AS label_values, lang = 'es' AS bad_json
+FROM documents""",
+    "label_totals_odd": """
+SELECT CAST(sum(CASE lang WHEN 'de' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END) AS BIGINT) AS total_labels,
+       CAST(2 * max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) + max(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS BIGINT) AS unique_labels
+FROM documents""",
+    "term_match_long": f"""
+SELECT t.search_term, CAST(count(*) AS BIGINT) AS n, min(d.doc_id) AS first_doc
+FROM documents d JOIN (VALUES {", ".join(f"('{t}')" for t in MANY_TERMS)}) t(search_term) ON contains(lower(d.text), t.search_term)
+GROUP BY t.search_term""",
     "label_json_parsed": f"""{_DOCUMENT_POSTS}
 SELECT post_uri, CAST(n_labels AS BIGINT) AS n_labels, label_values, false AS bad_json FROM posts""",
     "engagement_comparison": """
@@ -314,19 +341,8 @@ FROM posts WHERE has_moderation ORDER BY row_no LIMIT 5""",
 SELECT search_term, {_frac(_MODERATED, "count(has_moderation)")} AS rate_frac
 FROM posts GROUP BY search_term ORDER BY rate_frac DESC, search_term LIMIT 1""",
     "summary_report": f"{_REPORT} SELECT * FROM report",
-    "report_text": f"""{_REPORT}, shown AS (
-  SELECT *, CASE WHEN value IS NULL THEN 'nan%' ELSE printf('%.2f%%', value * 100) END AS pct FROM report
-)
-SELECT ord * 10 AS ord,
-       CASE ord WHEN 1 THEN 'Total posts: ' || CAST(CAST(value AS BIGINT) AS VARCHAR)
-                WHEN 2 THEN 'Moderated posts: ' || CAST(CAST(value AS BIGINT) AS VARCHAR)
-                WHEN 3 THEN 'Moderation rate: ' || pct
-                WHEN 4 THEN '1. Search term ' || chr(39) || key || chr(39) || ' had highest moderation rate (' || pct || ')'
-                ELSE '   - ' || key || ': ' || pct END AS value
-FROM shown
-UNION ALL SELECT * FROM (VALUES
-  (1, 'MODERATION ANALYSIS'), (2, repeat('=', 70)), (31, 'KEY FINDINGS:'), (32, repeat('-', 70)),
-  (45, '2. Moderation rates by follower count:'), (1000, 'Generated: {RUN_TS}')) t(ord, value)""",
+    "report_text": f"{_REPORT_LINES} SELECT * FROM lines",
+    "report_file": f"{_REPORT_LINES} SELECT value FROM lines",
     "author_feed": f"""WITH {_USER_POSTS}
 SELECT handle, rn - 1 AS pos, event_id FROM feed""",
     "user_activity": f"""WITH {_USER_POSTS}
@@ -338,6 +354,15 @@ SELECT CAST(c.c_custkey AS VARCHAR) AS handle, c.c_name AS display_name, CAST(fl
        CAST(count(DISTINCT event_type) FILTER (WHERE event_type IN ('error', 'signup')) AS BIGINT) AS unique_labels,
        coalesce(string_agg(event_type, ', ' ORDER BY rn) FILTER (WHERE event_type IN ('error', 'signup')), '') AS label_values
 FROM feed JOIN customer c ON feed.handle = CAST(c.c_custkey AS VARCHAR)
+GROUP BY c.c_custkey, c.c_name, c.c_acctbal, c.c_nationkey""",
+    "user_activity_csv": f"""WITH {_USER_POSTS}
+SELECT CAST(c.c_custkey AS VARCHAR) AS handle, c.c_name AS display_name, CAST(floor(c.c_acctbal) AS BIGINT) AS followers,
+       CAST(c.c_nationkey AS BIGINT) AS following, CAST(0 AS BIGINT) AS total_posts,
+       CAST(count(*) AS BIGINT) AS posts_analyzed,
+       CAST(count(*) FILTER (WHERE event_type IN ('error', 'signup')) AS BIGINT) AS posts_with_moderation,
+       count(*) FILTER (WHERE event_type IN ('error', 'signup'))::DOUBLE / count(*) AS moderation_rate,
+       CAST(count(DISTINCT event_type) FILTER (WHERE event_type IN ('error', 'signup')) AS BIGINT) AS unique_labels
+FROM feed JOIN customer c ON feed.handle = CAST(c.c_custkey AS VARCHAR)
 GROUP BY c.c_custkey, c.c_name, c.c_acctbal, c.c_nationkey""",
     "author_snapshot": f"WITH {_SNAPSHOT} SELECT * FROM snapshot",
     "post_author_info": f"""WITH {_SNAPSHOT}, {_EVENT_SUBMISSIONS},
@@ -371,6 +396,9 @@ SELECT r.* FROM runs r JOIN (SELECT subreddit, max(run_day) AS run_day FROM runs
   ON r.subreddit = n.subreddit AND r.run_day = n.run_day""",
     "video_hits_ranked": f"WITH {_TERMS}, {_hits('d.lang = ' + chr(39) + 'en' + chr(39))} SELECT * FROM hits",
     "video_rows": f"{_VIDEOS} SELECT * FROM video_rows",
+    "video_title_preview": f"""WITH {_TERMS}, {_hits()}
+SELECT search_term, rank, CAST(video_id AS VARCHAR) AS video_id,
+       substring(concat_ws(' ', title, title, title, title, title), 1, 50) || '...' AS title FROM hits""",
     "videos_found": f"{_VIDEOS} SELECT * FROM found",
     "video_signals_by_term": f"""{_VIDEOS}
 SELECT *, {_signal_pcts("videos")} FROM (
@@ -393,6 +421,8 @@ SELECT {_pass1("nullif(substring(selftext, 1, 500), '')")} FROM authored""",
 SELECT '{RUN_TS.translate(str.maketrans({"-": None, ":": None, " ": "_"}))}' AS run_id, subreddit, post_fullname, title,
        selftext, initial_score, post_age_seconds_at_capture, author_username, author_unavailable
 FROM pass1""",
+    "complete_roundtrip": f"""{_COMPLETE}
+SELECT *, '{RUN_TS.translate(str.maketrans({"-": None, ":": None, " ": "_"}))}' AS run_id FROM complete""",
     "json_roundtrip": f"""WITH {_EVENT_SUBMISSIONS}, {_NEWEST}
 SELECT subreddit, fullname AS post_fullname FROM newest""",
     "term_records_roundtrip": _NESTED,

@@ -5,12 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import PREVIEW_CHARS
 from ..functions.buckets import bucket_label
-from ..functions.labels import is_bad_label_json, joined_label_values, labels_to_json, parse_labels
+from ..functions.labels import is_bad_label_json, joined_label_values, parse_labels
+from ..functions.text import title_preview
 from ..operators import authors, cohort, posts, report, stats, terms, users
 from ..operators import videos as video_ops
-from ..operators.topk import top_k_per_group
-from ..schemas import PASS1
+from ..schemas import PASS1, PASS2_COMPLETE
 from ..sources import readers, writers
 from ..sources.scratch import scratch_path
 from . import bindings as b
@@ -84,12 +85,12 @@ def label_distribution(spark, folder):
 
 
 def label_top10(spark, folder):
-    # Labels of the user posts: event types, two of them.
-    events = b.user_posts(spark, folder).withColumns({"search_term": F.lit("all"), "row_no": F.col("uri")})
-    labelled = events.select(
-        "row_no", F.transform("labels", lambda x: F.struct(x["val"].alias("value"))).alias("labels")
+    # About a hundred values, many with equal counts.
+    value = F.get_json_object("props", "$.k")
+    events = b.table(spark, folder, "events").select(
+        F.col("event_id").alias("row_no"), F.array(F.struct(value.alias("value"))).alias("labels")
     )
-    return stats.label_top(labelled, 10)
+    return stats.label_top(events, 10)
 
 
 def label_json_parsed(spark, folder):
@@ -102,12 +103,34 @@ def label_json_parsed(spark, folder):
     )
 
 
+def _odd_label_posts(spark, folder):
+    """Label text with null values, without values, and of no JSON at all."""
+    text = """CASE lang WHEN 'de' THEN '[{"value": null}, {"value": "a"}]' WHEN 'fr' THEN '[{"other": 1}, 7, {"value": "b"}]'
+                        WHEN 'es' THEN 'no json' ELSE '[]' END"""
+    posts = b.table(spark, folder, "documents").selectExpr("doc_id", f"{text} AS moderation_labels")
+    return posts.withColumn("labels", parse_labels(F.col("moderation_labels")))
+
+
+def label_json_odd(spark, folder):
+    return _odd_label_posts(spark, folder).select(
+        "doc_id",
+        F.size("labels").cast("bigint").alias("n_labels"),
+        joined_label_values(F.col("labels")).alias("label_values"),
+        is_bad_label_json(F.col("moderation_labels")).alias("bad_json"),
+    )
+
+
+def label_totals_odd(spark, folder):
+    return stats.label_totals(_odd_label_posts(spark, folder))
+
+
 def engagement_comparison(spark, folder):
     return stats.engagement_comparison(b.event_posts(spark, folder))
 
 
 def sample_moderated(spark, folder):
-    return stats.sample_moderated(_document_posts(spark, folder))
+    raw = b.raw_posts(spark, folder, shown=f"left(text, {PREVIEW_CHARS})")
+    return stats.sample_moderated(posts.flatten_posts(raw, b.RUN_TS, keep=("row_no",)))
 
 
 def top_term(spark, folder):
@@ -123,6 +146,18 @@ def report_text(spark, folder):
     return report.report_lines(found, "MODERATION ANALYSIS", b.RUN_TS)
 
 
+def report_file(spark, folder):
+    path = scratch_path(spark, "report")
+    writers.write_report(report_text(spark, folder), path)
+    return spark.read.text(path)
+
+
+def term_match_long(spark, folder):
+    """A list beyond what is searched inline, with terms shorter than a piece."""
+    hits = terms.match_terms(b.table(spark, folder, "documents"), b.MANY_TERMS, "text")
+    return hits.groupBy("search_term").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 # ---- users ----------------------------------------------------------------------------------------------------------
 
 
@@ -140,20 +175,31 @@ def user_activity(spark, folder):
     return active.withColumn("label_values", joined_label_values(F.col("labels"))).drop("labels", "all_labels")
 
 
+def user_activity_csv(spark, folder):
+    path = scratch_path(spark, "user_activity")
+    active = users.user_activity(
+        b.handles(spark, folder), b.profiles(spark, folder), users.author_feeds(b.user_posts(spark, folder))
+    )
+    writers.write_csv(active.drop("labels"), path)
+    return readers.read_user_activity(spark, path).drop("all_labels")
+
+
 # ---- submissions and cohorts ------------------------------------------------------------------------------------------
 
 
 def _snapshot(spark, folder):
-    return authors.author_snapshot(b.raw_authors(spark, folder))
+    return authors.author_snapshot(b.raw_authors(spark, folder), only_run=b.RUN_TS)
 
 
 def author_snapshot(spark, folder):
-    return _snapshot(spark, folder).drop("run_ts")
+    return _snapshot(spark, folder)
 
 
 def post_author_info(spark, folder):
+    # The snapshot of all runs, of which one is named.
     submissions = b.event_submissions(spark, folder).select("fullname", "author")
-    return authors.with_author(submissions, _snapshot(spark, folder)).drop("author")
+    every_run = authors.author_snapshot(b.raw_authors(spark, folder))
+    return authors.with_author(submissions, every_run, run_ts=b.RUN_TS).drop("author")
 
 
 def _plain_times(df: DataFrame) -> DataFrame:
@@ -185,7 +231,7 @@ def cohort_ids(spark, folder):
         F.size("post_fullnames").cast("bigint").alias("n_ids"),
         F.array_min("post_fullnames").alias("first_id"),
         F.array_max("post_fullnames").alias("last_id"),
-    )
+    ).groupBy("subreddit").agg(F.sum("n_ids").alias("n_ids"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
 
 
 def status_flags(spark, folder):
@@ -224,18 +270,18 @@ def community_totals(spark, folder):
 def _event_runs(spark, folder):
     return b.table(spark, folder, "events").select(
         F.col("event_type").alias("subreddit"),
-        F.date_format("ts", "yyyyMMdd").alias("run_day"),
+        F.date_format("ts", "yyyyMMdd").cast("int").alias("run_day"),
         F.col("event_id").alias("post_fullname"),
     )
 
 
 def latest_run(spark, folder):
-    return cohort.latest_run(_event_runs(spark, folder), by="run_day")
+    return cohort.latest_run(_event_runs(spark, folder), by="run_day").withColumn("run_day", F.col("run_day").cast("string"))
 
 
 def latest_snapshot(spark, folder):
     return cohort.latest_per_community(_event_runs(spark, folder), by="run_day").select(
-        "subreddit", "run_day", "post_fullname"
+        "subreddit", F.col("run_day").cast("string").alias("run_day"), "post_fullname"
     )
 
 
@@ -265,6 +311,17 @@ def video_rows(spark, folder):
     return _rows(spark, folder, _hits(spark, folder)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def video_title_preview(spark, folder):
+    """Hits as the search service gives them, ranked, with their titles cut for display."""
+    raw = terms.match_terms(b.videos(spark, folder), b.TERMS, "search_text").select(
+        "search_term",
+        "relevance_pos",
+        F.struct(F.col("id").cast("string").alias("videoId")).alias("id"),
+        F.struct(F.concat_ws(" ", "title", "title", "title", "title", "title").alias("title"), F.col("channel").alias("channelTitle")).alias("snippet"),
+    )
+    return video_ops.rank_hits(raw).select("search_term", F.col("rank").cast("bigint").alias("rank"), "video_id", title_preview(F.col("title")).alias("title"))
+
+
 def videos_found(spark, folder):
     return video_ops.videos_found(_hits(spark, folder), b.TERMS)
 
@@ -327,6 +384,12 @@ def partitioned_roundtrip(spark, folder):
     )
 
 
+def complete_roundtrip(spark, folder):
+    path = scratch_path(spark, "complete")
+    writers.write_snapshot(_document_complete(spark, folder), path, b.RUN_TS)
+    return _plain_times(readers.read_snapshot_table(spark, path, PASS2_COMPLETE))
+
+
 def json_roundtrip(spark, folder):
     path = scratch_path(spark, "cohort_ids")
     writers.write_cohort_ids(_event_id_lists(spark, folder), path)
@@ -355,13 +418,18 @@ QUERIES: dict[str, Query] = {
         label_distribution,
         label_top10,
         label_json_parsed,
+        label_json_odd,
+        label_totals_odd,
         engagement_comparison,
         sample_moderated,
         top_term,
         summary_report,
         report_text,
+        report_file,
+        term_match_long,
         author_feed,
         user_activity,
+        user_activity_csv,
         author_snapshot,
         post_author_info,
         newest_cohort,
@@ -376,6 +444,7 @@ QUERIES: dict[str, Query] = {
         latest_snapshot,
         video_hits_ranked,
         video_rows,
+        video_title_preview,
         videos_found,
         video_signals_by_term,
         video_signals_overall,
@@ -384,6 +453,7 @@ QUERIES: dict[str, Query] = {
         csv_roundtrip,
         pass1_csv_roundtrip,
         partitioned_roundtrip,
+        complete_roundtrip,
         json_roundtrip,
         term_records_roundtrip,
     )

@@ -64,11 +64,23 @@ def read_pass1(spark: SparkSession, path: "str | list[str]") -> DataFrame:
     return _read_csv(spark, path, PASS1)
 
 
-def read_newest_pass1(spark: SparkSession, pattern: str) -> DataFrame:
+def _file_times(spark: SparkSession, pattern: str) -> DataFrame:
+    """path and modificationTime of files; their content is not read, as it is not asked for."""
+    return spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+
+
+def read_newest_pass1(spark: SparkSession, pattern: str, community: str | None = None) -> DataFrame:
     """S5 on raw files: of every community, the rows of its newest file.
 
-    The community is read from the rows, so ``foo`` never picks up a file of ``foo_bar`` (T20).
+    ``community`` is a pattern whose first group takes the whole community out of a path; then the newest files are found
+    from names and times alone, and only they are read: one path per community comes to the driver. Without it the
+    community is read from the rows, which means all files. Either way ``foo`` never picks up a file of ``foo_bar`` (T20).
     """
+    if community is not None:
+        named = _file_times(spark, pattern).withColumn("community", F.regexp_extract("path", community, 1)).where("community <> ''")
+        newest = named.groupBy("community").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+        paths = [row["path"] for row in newest.select("path").collect()]
+        return _read_csv(spark, paths, PASS1) if paths else spark.createDataFrame([], PASS1)
     rows = _read_csv(spark, pattern, PASS1, with_file_time=True)
     return latest_per_community(rows, by=FILE_TIME).drop(FILE_TIME)
 
@@ -98,12 +110,12 @@ def _id_rows(text: DataFrame) -> DataFrame:
 
 
 def read_newest_cohort_ids(spark: SparkSession, pattern: str, single_object: bool = True) -> DataFrame:
-    """S4 on raw files: ids of the file that was modified last, empty when there is none with ids."""
-    files = spark.read.text(pattern, wholetext=single_object).select(
-        "value", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("stamp")
-    )
-    newest = files.agg(F.max("stamp")).scalar()
-    return _id_rows(files.where(F.col("stamp") == newest).select("value"))
+    """S4 on raw files: ids of the file that was modified last, empty when it has none.
+
+    The newest file is found from names and times alone; no other file is read.
+    """
+    newest = _file_times(spark, pattern).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()["path"]
+    return read_cohort_ids(spark, newest, single_object)
 
 
 def read_term_records(spark: SparkSession, path: str) -> DataFrame:

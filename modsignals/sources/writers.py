@@ -1,6 +1,8 @@
 """Writers, the only place where the library runs actions: K1-K7."""
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import NOT_AVAILABLE
@@ -17,14 +19,30 @@ CSV_WRITE_OPTIONS = {
 
 
 def write_csv(df: DataFrame, path: str) -> bool:
-    """K1, K3: CSV with header, replacing what is there; nothing happens without rows.
+    """K1, K3: CSV with header, replacing what is there; without rows, what is there stays.
 
-    The check for rows runs the first part of ``df``; pass a written table when that is costly.
+    The rows are computed once: they are written beside ``path`` and counted on the way, and put in place if there are any.
     """
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
-    return True
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**CSV_WRITE_OPTIONS).csv(aside)
+    full = seen.get["rows"] > 0
+    _put_in_place(df.sparkSession, aside, path if full else None)
+    return full
+
+
+def _put_in_place(spark: SparkSession, aside: str, path: str | None) -> None:
+    """Moves a written folder to ``path``, replacing it, or removes it if there is no ``path``; by Spark's own file access."""
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.hadoop.fs.Path(aside)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if path is None:
+        files.delete(source, True)
+        return
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"{aside} could not be moved to {path}")
 
 
 def write_snapshot(df: DataFrame, path: str, run_ts=None, fmt: str = "parquet") -> None:

@@ -47,6 +47,32 @@ def test_p4_the_four_kinds_of_author_row(spark):
     ]
 
 
+def test_j3_two_runs_keep_the_number_of_posts(spark):
+    first, second = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    seen = frames.authors(spark, dict(run_ts=first), dict(run_ts=second, link_karma=10), dict(run_ts=first, username="bob"))
+    both = author_snapshot(seen)
+    subs = frames.submissions(spark, {}, dict(fullname="p2", author="bob"))
+    karma = lambda df: sorted(frames.tuples(df, "fullname", "author_link_karma"))
+    assert karma(with_author(subs, both, run_ts=first)) == [("p1", 3), ("p2", 3)]
+    assert karma(with_author(subs, both, run_ts=second)) == [("p1", 10), ("p2", None)]
+    assert karma(with_author(subs, both)) == [("p1", 10), ("p2", 3)]
+    assert karma(with_author(subs, author_snapshot(seen, only_run=second))) == [("p1", 10), ("p2", None)]
+
+
+def test_a18_long_id_lists_are_cut(spark):
+    ids = spark.range(1000).selectExpr("'foo' AS subreddit", "concat('p', id) AS post_fullname")
+    lists = cohort.cohort_id_lists(ids, most=100).collect()
+    assert 5 < len(lists) <= 10 and max(len(r.post_fullnames) for r in lists) < 200
+    assert sorted(i for r in lists for i in r.post_fullnames) == sorted(f"p{k}" for k in range(1000))
+
+
+def test_a19_equal_times_pick_the_same_row(spark):
+    at = datetime(2024, 1, 2)
+    rows = [dict(rechecked_at_utc=at, score=k) for k in range(20)]
+    picks = {cohort.latest_status(cohort.status_flags(frames.statuses(spark, *order))).first().final_score for order in (rows, rows[::-1], rows[7:] + rows[:7])}
+    assert len(picks) == 1
+
+
 def test_t18_first_sighting_wins_also_when_it_failed(spark):
     rows = snapshot(spark, dict(seen_no=2), dict(seen_no=1, created_utc=None)).collect()
     assert [(r.username, r.author_unavailable) for r in rows] == [("ann", True)]

@@ -59,6 +59,7 @@ def test_k1_nothing_to_write_keeps_the_file(spark, tmp_path):
     one = frames.posts(spark, {}).drop("labels", "row_no")
     assert writers.write_csv(one, path)
     assert not writers.write_csv(one.where("false"), path)
+    assert os.listdir(tmp_path) == ["p"]
     assert readers.read_posts(spark, path).count() == 1
 
 
@@ -133,9 +134,10 @@ def test_s5_newest_file_of_each_community(spark, tmp_path):
         values = dict.fromkeys(schemas.names(schemas.PASS1), "") | dict(post_fullname=post, subreddit=community)
         (tmp_path / f"{name}.csv").write_text(header + "\n" + ",".join(values.values()) + "\n")
         os.utime(tmp_path / f"{name}.csv", (now - age, now - age))
-    rows = readers.read_newest_pass1(spark, str(tmp_path / "foo_*.csv"))
-    assert rows.columns == schemas.names(schemas.PASS1)
-    assert sorted(frames.tuples(rows, "subreddit", "post_fullname")) == [("foo", "b"), ("foo_bar", "c")]
+    for community in (None, r"/([^/]+)_\d+\.csv$"):
+        rows = readers.read_newest_pass1(spark, str(tmp_path / "foo_*.csv"), community)
+        assert rows.columns == schemas.names(schemas.PASS1)
+        assert sorted(frames.tuples(rows, "subreddit", "post_fullname")) == [("foo", "b"), ("foo_bar", "c")]
 
 
 def test_term_records_json(spark, tmp_path):
@@ -157,7 +159,7 @@ def test_report_file(spark, tmp_path):
     lines = report.report_lines(report.summary_report(frames.posts(spark, dict(has_moderation=True))), "TITLE", RUN)
     writers.write_report(lines, str(tmp_path / "r"))
     text = _lines(tmp_path / "r")
-    assert text[0] == "TITLE" and text[2] == "Total posts: 1" and text[-1] == f"Generated: {RUN}"
+    assert text[0] == "TITLE" and text[3] == "Total posts: 1" and text[-1] == f"Generated: {RUN}"
 
 
 def test_term_table_keeps_order(spark):

@@ -52,23 +52,63 @@ def test_scans_read_only_what_is_used(spark):
     assert "text" not in text.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_text_does_not_travel_through_the_label_join(spark, settings):
+def shuffled_columns(df):
+    """The names of all columns that go through an exchange."""
+    found = set()
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            found.update(node.output().apply(i).name() for i in range(node.output().size()))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan().initialPlan())
+    return found
+
+
+@pytest.mark.parametrize("name", ["basic_stats", "moderation_by_term", "summary_report"])
+def test_text_does_not_travel_through_the_label_join(spark, settings, name):
     settings(autoBroadcastJoinThreshold="-1")
-    text = physical(entry_points.queries()["basic_stats"](spark, FOLDER))
-    scan_side = text[text.index("Generate explode") :]
-    assert "Exchange" not in scan_side.split("FileScan")[0]
-    join_input = text[text.index("SortMergeJoin") : text.index("Generate explode")]
-    assert "text#" not in join_input
+    df = entry_points.queries()[name](spark, FOLDER)
+    assert "doc_id" in shuffled_columns(df) and "text" not in shuffled_columns(df)
+    text = physical(df)
+    assert text.index("explode(search_terms") < text.index("SortMergeJoin")
 
 
-def test_semi_join_moves_below_the_aggregate_when_ids_are_small(spark, settings):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_status_is_cut_to_the_cohort_before_it_is_grouped(spark, settings, threshold):
+    settings(autoBroadcastJoinThreshold=threshold)
     status = cohort.status_flags(bindings.raw_status(spark, FOLDER))
     ids = bindings.table(spark, FOLDER, "documents").select(F.col("doc_id").cast("string").alias("post_fullname"))
-    small = physical(cohort.cohort_status(status, ids))
-    assert small.index("SortAggregate") < small.index("LeftSemi")
+    text = physical(cohort.cohort_status(status, ids))
+    assert text.index("max_by") < text.index("LeftSemi")
+
+
+@pytest.mark.parametrize("name", ["removal_rates", "community_totals"])
+def test_authors_that_are_not_shown_are_not_read(spark, settings, name):
     settings(autoBroadcastJoinThreshold="-1")
-    large = physical(cohort.cohort_status(status, ids))
-    assert large.index("LeftSemi") < large.index("SortAggregate")
+    assert "orders.parquet" not in physical(entry_points.queries()[name](spark, FOLDER))
+
+
+def test_sample_shuffles_previews_only(spark, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    text = physical(entry_points.queries()["sample_moderated"](spark, FOLDER))
+    join = text[text.index("SortMergeJoin") :]
+    # The projection right above the scan, below the exchange, cuts the text.
+    assert "100) AS text#" in join[join.index("Exchange hashpartitioning(doc_id") :]
+
+
+def test_newest_snapshot_is_found_without_sorting_or_running(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    df = cohort.latest_per_community(spark.range(100).selectExpr("id % 3 AS run_ts", "CAST(id % 7 AS string) AS subreddit"))
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)
+    assert "SortAggregate" not in physical(df)
+
+
+def test_statistics_do_not_expand_posts(spark):
+    text = physical(entry_points.queries()["basic_stats"](spark, FOLDER))
+    assert "Expand" not in text or text.index("Expand") < text.index("keys=[author_handle")
+    assert "spark_partition_id" not in physical(entry_points.queries()["author_feed"](spark, FOLDER)).lower()
 
 
 def test_hits_are_broadcast_and_details_only_scanned(spark, settings):

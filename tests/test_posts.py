@@ -83,6 +83,14 @@ def test_t14_t15_label_json(spark):
     assert flatten_posts(raw(spark)).first().labels == []
 
 
+def test_f2_t5_null_label_values_count_everywhere(spark):
+    text = '[{"value": null}, {"value": "a"}, {"other": 1}]'
+    df = frames.posts(spark, dict(moderation_labels=text, has_moderation=True))
+    assert frames.tuples(stats.label_totals(df)) == [(2, 2)]
+    assert sorted(frames.tuples(stats.label_distribution(df))) == [("a", 1), ("unknown", 1)]
+    assert stats.sample_moderated(df).first().label_values == "unknown, a, unknown"
+
+
 def test_flatten_defaults(spark):
     row = flatten_posts(raw(spark), "2024-01-01 00:00:00").first()
     assert (row.author_handle, row.author_followers, row.repost_count, row.created_at) == ("", 0, 0, "")
@@ -163,8 +171,8 @@ def test_report_on_no_rows_and_as_text(spark):
     df = frames.posts(spark, dict(has_moderation=True, search_term="a"), {})
     lines = [r.value for r in report_lines(summary_report(df), "TITLE", "2024-01-01 00:00:00").collect()]
     assert lines == [
-        "TITLE", "=" * 70, "Total posts: 2", "Moderated posts: 1", "Moderation rate: 50.00%", "KEY FINDINGS:",
+        "TITLE", "=" * 70, "", "Total posts: 2", "Moderated posts: 1", "Moderation rate: 50.00%", "", "KEY FINDINGS:",
         "-" * 70, "1. Search term 'a' had highest moderation rate (100.00%)", "2. Moderation rates by follower count:",
         "   - <100: 50.00%", "   - 100-1K: nan%", "   - 1K-10K: nan%", "   - >10K: nan%",
-        "Generated: 2024-01-01 00:00:00",
+        "", "Generated: 2024-01-01 00:00:00",
     ]
