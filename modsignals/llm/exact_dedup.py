@@ -70,8 +70,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Only ids and digests decide; the texts are shuffled once, to meet the decision.
     """
-    kept = exact_groups(docs, id_col, text_col, support).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    keyed = docs.withColumn("__sha", digest(text_col))
-    met = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
+    key = lambda doc_id, sha: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), sha)
+    groups = exact_groups(docs, id_col, text_col, support)
+    kept = groups.filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
+    met = docs.withColumn("__key", key(F.col(id_col), digest(text_col))).join(kept, "__key", "left_semi")
     # Rows that repeat id and text are one document; they lie together after the join.
-    return met.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    return met.dropDuplicates(["__key"]).select(*docs.columns)
