@@ -54,7 +54,7 @@ def test_pii_patterns_on_odd_texts(spark):
 
 def test_pii_adds_what_the_trees_are_sure_of(spark):
     random.seed(3)
-    key = lambda: "AKIA" + "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    key = lambda: "AKIA" + "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=15)) + "7"
     plain = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=15)) + "7"
     rows = [(i, f"some words {key() if i % 2 else plain()} and more") for i in range(400)]
     found = by_id(pii.pii_counts(spark.createDataFrame(rows, "doc_id bigint, text string")))
@@ -147,7 +147,7 @@ def test_pieces_and_sequences(docs, texts):
 
 def test_best_fit_keeps_every_capacity():
     random.seed(1)
-    lengths = [random.choice([3, 50, 200, 500, 900]) for _ in range(2000)]
+    lengths = [random.choice([3, 50, 200, 500, 700]) for _ in range(2000)]
     bins, offsets = packing.best_fit(lengths, (1024, 8, 600_000))
     inside = {}
     for n, k, at in sorted(zip(lengths, bins, offsets, strict=True), key=lambda x: (x[1], x[2])):
@@ -279,7 +279,7 @@ def test_licences_keep_base_places(docs, texts):
         ("Published under CC BY-NC 4.0 terms", "cc-by,cc-by-nc-4.0", 0.95),
         ("the GNU Lesser General Public License v2.1 applies", "lgpl-2.1", 0.7),
         ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit", 0.95),
-        ("mit license mit license", "mit", 0.7),
+        ("mit license, the same mit license", "mit", 0.7),
         ("we commit licenses and account by hand", "", 0.0),
     ],
 )
