@@ -417,6 +417,9 @@ SELECT {_FLAT.format(text="nullif(post_text, '') AS post_text", display="CAST(NU
 FROM posts""",
     "pass1_csv_roundtrip": f"""WITH {_SNAPSHOT}, {_EVENT_SUBMISSIONS}, {_NEWEST}, {_with_author("newest")}
 SELECT {_pass1("nullif(substring(selftext, 1, 500), '')")} FROM authored""",
+    "newest_files_roundtrip": f"""WITH {_SNAPSHOT}, {_EVENT_SUBMISSIONS}, {_NEWEST}, {_with_author("newest")}
+SELECT subreddit, fullname AS post_fullname, CASE WHEN subreddit = 'signup' THEN -1 ELSE score END AS initial_score, author_username
+FROM authored""",
     "partitioned_roundtrip": f"""{_COMPLETE}
 SELECT '{RUN_TS.translate(str.maketrans({"-": None, ":": None, " ": "_"}))}' AS run_id, subreddit, post_fullname, title,
        selftext, initial_score, post_age_seconds_at_capture, author_username, author_unavailable

@@ -373,6 +373,18 @@ def pass1_csv_roundtrip(spark, folder):
     return _plain_times(readers.read_pass1(spark, path))
 
 
+def newest_files_roundtrip(spark, folder):
+    """Two runs as one file per community; the later run has no file for one of them, whose earlier file is read then."""
+    path = scratch_path(spark, "community_files")
+    newest = _event_cohort(spark, folder)
+    runs = (newest.withColumn("initial_score", F.lit(-1).cast("bigint")), newest.where("subreddit <> 'signup'"))
+    for number, run in enumerate(runs):
+        files = run.withColumn("community", F.col("subreddit")).repartition("community").write.partitionBy("community")
+        files.options(**writers.CSV_WRITE_OPTIONS).csv(f"{path}/run_{number}")
+    back = readers.read_newest_pass1(spark, f"{path}/run_*/community=*/*.csv", r"/community=([^/]+)/")
+    return back.select("subreddit", "post_fullname", "initial_score", "author_username")
+
+
 def partitioned_roundtrip(spark, folder):
     path = scratch_path(spark, "pass1")
     pass1 = cohort.pass1_rows(b.document_submissions(spark, folder), _snapshot(spark, folder), b.RUN_TS)
@@ -452,6 +464,7 @@ QUERIES: dict[str, Query] = {
         union_snapshots,
         csv_roundtrip,
         pass1_csv_roundtrip,
+        newest_files_roundtrip,
         partitioned_roundtrip,
         complete_roundtrip,
         json_roundtrip,
