@@ -9,6 +9,8 @@ a special token's string, are cut by the library itself.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from functools import lru_cache
 
 #: Entries that a task keeps for pieces, and for pairs of tokens.
@@ -21,6 +23,23 @@ SPACED = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?!
 BARE = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
+#: Fixed value: white space as the library's patterns have it.
+SPACE = "\\t-\\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@lru_cache
+def clusters() -> re.Pattern:
+    """White space that is joined, or a character, with the marks and letters behind it that may be merged into it or reordered."""
+    behind = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        parts = unicodedata.decomposition(c).split()
+        if unicodedata.combining(c):
+            behind.add(c)
+        elif len(parts) == 2 and parts[0][0] != "<":
+            behind.add(chr(int(parts[1], 16)))
+    return re.compile(f"(?s:[{SPACE}]+|.)[{''.join(map(re.escape, sorted(behind)))}]*")
+
+
 def is_latin1(text: str) -> bool:
     try:
         text.encode("latin-1")

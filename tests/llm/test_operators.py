@@ -389,6 +389,30 @@ def test_prefix_table(spark, counts):
     assert [counts.count(text[:e]) for e in row.ends] == row.tokens
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "He said \u201chello\u201d\n\nthen  left the cafe\u0301 " * 8,
+        "Ωmega  ώς\n\n日本語の文章 e\u0323\u0301le\u0301phant x\u0301y e\u0301\u0323z " * 4,
+        "\u201cİstanbulİ\u201d  aİ don't\u3000\u3000 <|endoftext|> \u0301a " * 4,
+        "ハ\u309aレ\u309dカ\u3099" * 15 + " \u1112\u1161\u11ab" * 9,
+    ],
+)
+def test_budgets_of_texts_whose_length_changes(spark, counts, text):
+    sizes = [len(counts.tokenizer.encode(text[:k], add_special_tokens=False)) for k in range(len(text) + 1)]
+    ends, tokens = counts.at_piece_ends(text)
+    assert ends == sorted(set(ends)) and ends[-1] == len(text.rstrip()) and tokens == [sizes[e] for e in ends]
+    for budget in range(sizes[-1] + 2):
+        n = counts.fitting(text, budget)
+        assert sizes[n] <= budget and not any(sizes[k] <= budget for k in range(n + 1, len(text) + 1) if text[n:k].strip() and not _cuts_special(text, k))
+    row = token_counts.token_counts(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), limit=20).first()
+    assert row.over_limit and row.fits_chars == counts.fitting(text, 20)
+
+
+def _cuts_special(text, k):
+    return any(k - n >= 0 and text.startswith("<|endoftext|>", k - n) for n in range(1, 13))
+
+
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
 
 
