@@ -18,7 +18,7 @@ BASE = (
 _V = r"(?: version| v)?"
 _GNU = r"(?:gnu )?"
 
-#: label, keyword that any text with a match contains, pattern of the name, pattern of the tag. Later versions and narrower names first.
+#: label, keywords of which any text with a match contains one (parted by |), pattern of the name, pattern of the tag. Later versions and narrower names first.
 LICENCES = (
     ("agpl-3.0", "general public", rf"{_GNU}affero general public licen[cs]e{_V} ?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
     ("agpl", "general public", rf"{_GNU}affero general public licen[cs]e", r"agpl(?: only| or later)?"),
@@ -60,11 +60,11 @@ LICENCES = (
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
     ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)(?: 1 0)?(?: universal)?", r"cc0 1 0"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", r"mit 0"),
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e", r"mit"),
+    ("mit", "mit|expat|x11", r"(?:the )?(?:mit|expat|x11) licen[cs]e", r"mit"),
     ("bsd-4-clause", "bsd", r"(?:original |old )bsd licen[cs]e|bsd (?:4|four) clause(?: licen[cs]e)?|(?:4|four) clause bsd(?: licen[cs]e)?", r"bsd 4 clause"),
     ("bsd-3-clause", "bsd", r"(?:new |revised |modified )bsd licen[cs]e|bsd (?:3|three) clause(?: licen[cs]e)?|(?:3|three) clause bsd(?: licen[cs]e)?", r"bsd 3 clause"),
     ("bsd-2-clause", "bsd", r"(?:simplified |freebsd )bsd licen[cs]e|bsd (?:2|two) clause(?: licen[cs]e)?|(?:2|two) clause bsd(?: licen[cs]e)?", r"bsd 2 clause"),
-    ("0bsd", "bsd", r"(?:zero clause |bsd zero clause )(?:bsd )?(?:licen[cs]e)?|0bsd", r"0bsd"),
+    ("0bsd", "bsd|zero clause", r"(?:zero clause |bsd zero clause )(?:bsd )?(?:licen[cs]e)?|0bsd", r"0bsd"),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", r"bsd"),
     ("isc", "isc", r"isc licen[cs]e", r"isc"),
     ("mpl-2.0", "mozilla", rf"mozilla public licen[cs]e{_V} ?2(?: 0)?", r"mpl 2 0"),
@@ -85,9 +85,9 @@ LICENCES = (
     ("elastic-2.0", "elastic", r"elastic licen[cs]e", r"elastic 2 0"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib"),
     ("unlicense", "unlicen", r"(?:the )?unlicen[cs]e", r"unlicense"),
-    ("wtfpl", "public license", r"do what the f\w* you want to public licen[cs]e", r"wtfpl"),
+    ("wtfpl", "do what the f", r"do what the f\w* you want to public licen[cs]e", r"wtfpl"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e", r"ofl 1 1"),
-    ("odbl-1.0", "open database", r"open (?:data commons )?(?:open )?database licen[cs]e", r"odbl 1 0"),
+    ("odbl-1.0", "open database|open data commons", r"open (?:data commons )?(?:open )?database licen[cs]e", r"odbl 1 0"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[cs]e", r"odc by 1 0"),
     ("pddl-1.0", "public domain", r"public domain dedication and licen[cs]e", r"pddl 1 0"),
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e", r"ms pl"),
@@ -103,7 +103,7 @@ LICENCES = (
     ("w3c", "w3c", r"w3c software (?:notice and )?licen[cs]e", r"w3c"),
     ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e", r"upl 1 0"),
     ("bsd-protection", "bsd", r"bsd protection licen[cs]e", r"bsd protection"),
-    ("openrail", "rail", r"(?:open|big\w+ open) rail(?: m)? licen[cs]e|responsible ai licen[cs]e", r"openrail"),
+    ("openrail", "rail|responsible ai", r"(?:open|big\w+ open) rail(?: m)? licen[cs]e|responsible ai licen[cs]e", r"openrail"),
     ("llama-community", "llama", r"llama(?: \d)*(?: community)? licen[cs]e", r"llama\d?"),
 )
 
@@ -123,7 +123,7 @@ CLAUSES = (
     ("bsd", "source and binary", r"redistribution and use in source and binary forms", 0.9),
     ("bsd-3-clause", "neither the name", r"neither the names? of .{1,80}? may be used to endorse or promote", 0.9),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software", 0.9),
-    ("gpl", "free software", r"you can redistribute it and or modify it under the terms of the gnu", 0.9),
+    ("gpl", "redistribute it", r"you can redistribute it and or modify it under the terms of the gnu", 0.9),
     ("gpl-3.0-or-later", "3 of the license", r"either version 3 of the licen[cs]e or at your option any later version", 0.95),
     ("gpl-2.0-or-later", "2 of the license", r"either version 2 of the licen[cs]e or at your option any later version", 0.95),
     ("apache-2.0", "except in compliance", r"you may not use this file except in compliance with the licen[cs]e", 0.95),
@@ -143,12 +143,16 @@ CLAUSES = (
 
 
 def rules() -> list[tuple[int, str, str, str, str, float]]:
-    """rank, label, first keyword, second keyword, pattern, weight; a lower rank has priority. Several hundred."""
+    """rank, label, first keyword, second keyword, pattern, weight; a lower rank has priority. Several hundred.
+
+    A rule with more than one keyword comes once for each; the same place found twice counts once.
+    """
     out, rank = [], 0
     for _, weight, needs, frame in FORMS:
         for label, keyword, name, tag in LICENCES:
             # A tag stands for the name, so only the frame's own keyword is sure to be there.
-            out.append((rank, label, needs if "{tag}" in frame else keyword, needs, frame.format(name=name, tag=tag), weight))
+            for first in [needs] if "{tag}" in frame else keyword.split("|"):
+                out.append((rank, label, first, needs, frame.format(name=name, tag=tag), weight))
             rank += 1
     for label, keyword, pattern, weight in CLAUSES:
         out.append((rank, label, keyword.replace("license", "licen"), "", pattern, weight))

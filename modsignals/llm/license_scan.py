@@ -25,12 +25,12 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Texts that any rule can match hold one of these.
-GATE = rf"(?i)licen|cc0|spdx|gpl|rights{_GAP}reserved|proprietary|public{_GAP}domain|cc{_GAP}by|creative{_GAP}?commons|permission|redistribut|without{_GAP}restriction|neither{_GAP}the{_GAP}name|advertising|source{_GAP}code{_GAP}form|commercial|0bsd|bsd{_GAP}|no{_GAP}attribution"
+GATE = rf"(?i)licen|cc0|spdx|gpl|rights{_GAP}reserved|proprietary|public{_GAP}domain|cc{_GAP}by|creative(?:{_GAP})?commons|permission|redistribut|without{_GAP}restriction|neither{_GAP}the{_GAP}name|advertising|source{_GAP}code{_GAP}form|commercial|bsd|warranty|no{_GAP}attribution"
 
 #: The cheap half of the gate: one of these is in every such text.
 GATE_WORDS = (
     "licen", "cc0", "spdx", "gpl", "reserved", "proprietary", "public", "cc", "creative", "permission", "redistribut", "restriction", "neither",
-    "advertising", "source", "commercial", "bsd", "attribution",
+    "advertising", "source", "commercial", "bsd", "attribution", "warranty",
 )
 
 _OPEN, _CLOSE = "\x01", "\x02"  # never part of normalised text

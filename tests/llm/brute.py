@@ -105,3 +105,30 @@ def token_counter(docs: list[tuple[int, str]], held) -> Counter:
             counts.update(text.encode().lower().split())
             counts[b""] += 1
     return counts
+
+
+def examples(pattern):
+    """Texts for every alternative of a pattern of the licence rules."""
+    from re import _constants as code
+    from re import _parser as parser
+
+    def of(tree):
+        out = [""]
+        for kind, arg in tree:
+            if kind is code.LITERAL:
+                parts = [chr(arg)]
+            elif kind is code.ANY:
+                parts = ["x"]
+            elif kind is code.IN:
+                parts = [chr(v) if k is code.LITERAL else "7" if v is code.CATEGORY_DIGIT or k is code.RANGE and v[0] < 65 else "x" for k, v in arg]
+            elif kind is code.SUBPATTERN:
+                parts = of(arg[-1])
+            elif kind is code.BRANCH:
+                parts = [e for branch in arg[1] for e in of(branch)]
+            else:
+                assert kind in (code.MAX_REPEAT, code.MIN_REPEAT)
+                parts = of(arg[2]) + ([""] if arg[0] == 0 else [])
+            out = [a + b for a in out for b in parts]
+        return out
+
+    return sorted({e.strip() for e in of(parser.parse(pattern))})

@@ -288,6 +288,48 @@ def test_licence_labels(spark, text, labels, score):
     assert (row.labels, row.score) == (labels, pytest.approx(score))
 
 
+def test_gate_and_keywords_hold_for_every_alternative(spark):
+    import re
+
+    by_place = {}
+    for rank, _, first, second, pattern, _ in license_rules.rules():
+        by_place.setdefault((rank, pattern), []).append((first, second))
+    named = range(len(license_rules.FORMS[:-1]) * len(license_rules.LICENCES))  # frames around a name, which is tried bare below
+    every = []
+    for (rank, pattern), keywords in by_place.items():
+        if rank in named and "identifier" not in pattern:
+            continue
+        for text in brute.examples(pattern):
+            if re.fullmatch(pattern, text):
+                every.append(text)
+                assert any(first in text and second in text for first, second in keywords), text
+    for _, _, needs, frame in license_rules.FORMS:
+        assert all(needs in text for text in brute.examples(frame.format(name="x", tag="x")))
+    df = spark.createDataFrame([(t,) for t in every], "text string")
+    assert len(every) > 1000 and [r.text for r in df.filter(~license_scan.gate(F.col("text"))).collect()] == []
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Expat License", "mit"),
+        ("X11 License", "mit"),
+        ("Responsible AI License", "openrail"),
+        ("Open Data Commons Database License", "odbl-1.0"),
+        ("Zero-Clause License", "0bsd"),
+        ("Do What The F You Want To Public Licence", "wtfpl"),
+        ("This software is provided 'as-is', without any express or implied warranty.", "zlib"),
+        ("you can redistribute it and/or modify it under the terms of the GNU", "gpl"),
+        ("under 3-clause BSD", "bsd-3-clause"),
+        ("creativecommons.org/publicdomain/zero/1.0", "cc0-1.0"),
+        ("released under the Expat MIT License", "mit"),
+    ],
+)
+def test_matches_without_further_keywords(spark, text, label):
+    row = license_scan.licence_labels(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert row.labels == label
+
+
 def test_contained_detections_are_suppressed(spark):
     df = spark.createDataFrame([(1, "released under the terms of the gnu general public license version 3")], "doc_id bigint, text string")
     found = license_scan.scan(df).first().found
