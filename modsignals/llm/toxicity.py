@@ -9,7 +9,7 @@ score nothing. A text is judged by its heaviest clause, by its clauses' sum, and
 A short list of insults and threats is given. More are learned: words and word beginnings that stand in toxic labelled texts
 and hardly in others. Then a logistic curve from the three figures to the label is fitted on labelled texts that the words
 were not learned from. Both use at most FIT_ROWS labelled texts, those with the smallest hashes, all of them in the training
-part; texts that start and end alike count once. Labels are joined by id; label, language, source and id are no inputs.
+part; texts that are equal but for case and white space count once. Labels are joined by id; label, language, source and id are no inputs.
 
 Null text counts as empty and scores what no match scores. Labels that are null, or whose id is in no document, teach nothing;
 an id labelled twice counts as toxic if one label says so. Without labels of both kinds the given words are all, with a fixed
@@ -162,8 +162,9 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, id_col: str, label_col:
     # A bounded number of ids, so that they can be brought to the texts.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     found = rows.filter(~F.col("held_out")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    apart = found.withColumn("ends", F.xxhash64(F.left("text", F.lit(40)), F.right("text", F.lit(40)), "label"))
-    return saved(apart.dropDuplicates(["ends"]).select("text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("fit")), "toxicity-sample")
+    words = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    apart = found.withColumn("whole", F.sha2(words.cast("binary"), 256))
+    return saved(apart.dropDuplicates(["whole", "label"]).select("text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("fit")), "toxicity-sample")
 
 
 def learned_words(sample: DataFrame) -> Lexicon:

@@ -215,6 +215,28 @@ def test_toxic_words_are_learned_and_held_out_texts_found(spark):
     assert kept == {r.doc_id for r in found if not r.predicted}
 
 
+def test_texts_with_fixed_ends_teach_what_stands_between(spark):
+    """A source whose texts start and end alike, with an insult that is used only there, and equal texts that count once."""
+    random.seed(6)
+    words = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me") for b in ("ran", "tel", "sop", "vik", "gan", "hum")]
+    around = "this post was written in the open forum of the town", "all posts here are kept for ever by the keepers of it"
+    rows = []
+    for k in range(300):
+        text = random.choices(words, k=30)
+        if k % 3 == 0:
+            text[random.randrange(30)] = "zarbul"
+        rows.append((k, f"{around[0]} {' '.join(text)} {around[1]}", int(k % 3 == 0)))
+    copies = [(1000 + k, " Only  ONE qworx" if k % 2 else "only one qworx ", 1) for k in range(60)]
+    df = spark.createDataFrame(rows + copies, "doc_id bigint, text string, toxic int")
+    columns = toxicity._columns(df, "doc_id", "text")
+    sample = toxicity.labelled_sample(columns, df.select("doc_id", "toxic"), "doc_id", "toxic", toxicity.FIT_ROWS)
+    assert sample.count() == 1 + sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(300))
+    lexicon = toxicity.learned_words(sample)
+    assert lexicon.insult("zarbul") > 0 and not lexicon.insult("qworx")
+    found = toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df, "doc_id").filter("doc_id < 1000").collect()
+    assert np.mean([r.predicted == r.toxic for r in found if r.held_out]) > 0.97
+
+
 # ---- language model -------------------------------------------------------------------------------------------------
 
 
