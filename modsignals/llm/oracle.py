@@ -2,6 +2,33 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Components as rows, rounds as one step after another."""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row_no, vec_id, label, embedding
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        places AS (SELECT row_no, embedding, unnest(range(len(embedding))) AS i, len(embedding) // {parts} AS width FROM kept),
+        cells AS (SELECT row_no, i // width AS part, i % width AS pos, floor(1024 * embedding[i + 1]::DOUBLE)::BIGINT AS x FROM places),
+        book0 AS (SELECT part, row_no - 1 AS entry, pos, x FROM cells WHERE row_no <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        far{r} AS (SELECT c.row_no, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d
+                   FROM cells c JOIN book{r} b ON b.part = c.part AND b.pos = c.pos GROUP BY ALL),
+        near{r} AS (SELECT row_no, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM far{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+        sum{r} AS (SELECT part, n.entry, pos, sum(x)::BIGINT AS s, count(*) AS n FROM cells c JOIN near{r} n USING (row_no, part) GROUP BY ALL),
+        book{r + 1} AS (SELECT part, entry, pos, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+                        FROM book{r} LEFT JOIN sum{r} USING (part, entry, pos))""")
+    return "WITH " + ",".join(steps) + f""",
+        codes AS (SELECT row_no, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+                  FROM near{rounds} GROUP BY row_no),
+        digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds})
+        SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+        FROM kept JOIN codes USING (row_no), digest"""
+
+
 ORACLE_SQL = {
     # A smaller id only is carried on: on every way to the smallest id of a component, all ids are larger.
     "op2_near_dedup": rf"""
@@ -25,4 +52,5 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM keyed WINDOW g AS (PARTITION BY norm)""",
+    "op13_vector_codes": _vector_codes(),
 }
