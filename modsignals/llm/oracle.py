@@ -52,5 +52,29 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM keyed WINDOW g AS (PARTITION BY norm)""",
+    # Every group times every kept term of its language, all in 128 bits.
+    "op11_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS row_no, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        places AS (SELECT row_no, lang, source, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS n FROM places GROUP BY lang, term HAVING count(DISTINCT row_no) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counted AS (SELECT lang, source, term, count(*) AS n FROM places GROUP BY ALL),
+        cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang FROM groups g JOIN kept k ON k.lang = g.lang
+                  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+        ps AS (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (t.total + l.v))::HUGEINT AS p,
+                      (1 + 1000000000::HUGEINT * (n_lang + 1) // (l.total + l.v))::HUGEINT AS q
+               FROM cells JOIN totals t USING (lang, source) JOIN langs l USING (lang)),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+                 FROM ps a JOIN ps b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM ps WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+                   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
     "op13_vector_codes": _vector_codes(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_dedup, packing, pii, suffix_tree, syncmers, token_counts, toxicity, vector_codes
+from . import divergence, exact_dedup, license_scan, mixing, near_dedup, packing, pii, suffix_tree, syncmers, token_counts, toxicity, vector_codes
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_syncmers(spark, folder):
     return syncmers.fingerprints(table(spark, folder, "documents"))
 
 
+def op11_source_divergence(spark, folder):
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
 def op13_vector_codes(spark, folder):
     return vector_codes.vector_codes(table(spark, folder, "embeddings"))
 
@@ -61,5 +65,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_syncmers": op10_syncmers,
+    "op11_source_divergence": op11_source_divergence,
     "op13_vector_codes": op13_vector_codes,
 }
