@@ -2,6 +2,29 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _similar(words: int, percent: int, columns: str) -> str:
+    """Components of documents whose sets of shingles are similar enough.
+
+    A smaller id only is carried on: on every way to the smallest id of a component, all ids are larger.
+    """
+    return rf"""
+        WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+        places AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {words - 1}, 1) + 1)) AS i FROM split WHERE len(words) > 0),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + {words - 1}], ' ') AS shingle FROM places),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * p.n >= {percent} * (x.n + y.n - p.n)),
+        reached AS (
+            SELECT doc_id, doc_id AS top FROM documents
+            UNION SELECT b, top FROM reached JOIN links ON a = doc_id WHERE top < b)
+        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(top) AS {columns}
+        FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """Components as rows, rounds as one step after another."""
     steps = [
@@ -30,23 +53,7 @@ def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
 
 
 ORACLE_SQL = {
-    # A smaller id only is carried on: on every way to the smallest id of a component, all ids are larger.
-    "op2_near_dedup": rf"""
-        WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
-        places AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM split WHERE len(words) > 0),
-        shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM places),
-        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-        pairs AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
-            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-        links AS (
-            SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-            WHERE 100 * p.n >= 75 * (x.n + y.n - p.n)),
-        reached AS (
-            SELECT doc_id, doc_id AS top FROM documents
-            UNION SELECT b, top FROM reached JOIN links ON a = doc_id WHERE top < b)
-        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(top) AS component_id, r.doc_id = min(top) AS kept
-        FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op2_near_dedup": _similar(5, 75, "component_id, r.doc_id = min(top) AS kept"),
     "op7_exact_dedup": f"""
         WITH keyed AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -76,5 +83,6 @@ ORACLE_SQL = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
                    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
         SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op12_ngram_join": _similar(4, 85, "component_id"),
     "op13_vector_codes": _vector_codes(),
 }

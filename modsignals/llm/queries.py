@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, exact_dedup, license_scan, mixing, near_dedup, packing, pii, suffix_tree, syncmers, token_counts, toxicity, vector_codes
+from . import count_tree, divergence, exact_dedup, license_scan, mixing, near_dedup, packing, pii, suffix_tree, syncmers, token_counts, toxicity, vector_codes
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op11_source_divergence(spark, folder):
     return divergence.source_divergence(table(spark, folder, "documents"))
 
 
+def op12_ngram_join(spark, folder):
+    return count_tree.ngram_groups(table(spark, folder, "documents"))
+
+
 def op13_vector_codes(spark, folder):
     return vector_codes.vector_codes(table(spark, folder, "embeddings"))
 
@@ -66,5 +70,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_syncmers": op10_syncmers,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ngram_join": op12_ngram_join,
     "op13_vector_codes": op13_vector_codes,
 }
