@@ -32,16 +32,16 @@ from ..operators.topk import top_k_per_group
 from .common import saved
 
 LEAST_DOCS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
-#: Counts that a task holds before it sends them on, and the length of their terms.
-HELD, HELD_BYTES = 300_000, 20_000_000
+#: Counts that a task holds before it sends them on, and the bytes of terms longer than LONG among them.
+HELD, HELD_BYTES, LONG = 600_000, 20_000_000, 64
 #: Postings that a group scatters at a time, about.
 SLICE = 500_000
 # What a term may hold; other bytes separate. Letters in lower case, and all of a character beyond ASCII.
 _TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split(b" ")
+def terms_of(text: bytes) -> list[bytes]:
+    return text.translate(_TERM_BYTES).split()
 
 
 # ---- counts and the index -------------------------------------------------------------------------------------------
@@ -65,16 +65,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, held_bytes = defaultdict(lambda: (Counter(), Counter())), 0, 0
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                of_doc = Counter(terms_of(text))
-                of_doc.pop(b"", None)
-                if not of_doc:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
+                terms = terms_of(text)
+                if not terms:
                     continue
                 n, docs_ = counts[lang, source]
-                new = of_doc.keys() - n.keys()
-                held, held_bytes = held + len(new), held_bytes + sum(map(len, new))
-                n.update(of_doc)
-                docs_.update(of_doc.keys())
+                distinct, before = set(terms), len(n)
+                n.update(terms)
+                docs_.update(distinct)
+                held += len(n) - before
+                if max(map(len, distinct)) > LONG:
+                    held_bytes += sum(len(t) for t in distinct if len(t) > LONG)
                 if held > HELD or held_bytes > HELD_BYTES:
                     yield from flush(counts)
                     held, held_bytes = 0, 0
