@@ -33,6 +33,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` that nothing reads any more, and lets Spark drop the shuffle files of steps that have ended."""
+    for df in tables:
+        files = df.inputFiles()
+        context = df.sparkSession.sparkContext
+        if files:
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        # Spark's cleaner removes what the driver's collector finds unreachable; left alone, that can be half an hour later.
+        context._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; a text of ASCII only takes the faster way to the same result."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import discard, saved, slices
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -310,17 +310,20 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketches of all documents, and set_key, component_id for every class."""
-    sketch = sketches(docs, id_col, text_col)
+    full = sketches(docs, id_col, text_col)
+    sketch = saved(full.drop("keys"), "ngram-sketches-short")
     nodes = sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"))
     nodes = saved(nodes, "ngram-classes")
-    members = bucket_members(sketch.join(nodes.select("node"), "node", "left_semi"))
+    members = bucket_members(full.select("node", "keys").join(nodes.select("node"), "node", "left_semi"))
+    discard(full)
     involved = members.select("node").distinct()
     points = saved(sketch.join(involved, "node", "left_semi").select("node", "doc_id", "text_hash", "n_shingles", "point"), "ngram-points")
     keys, shown = points.select("node", "doc_id", "text_hash").alias("k"), _texts(docs, id_col, text_col).alias("t")
     same = F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.text_hash") == F.col("t.text_hash"))
     # A row that repeats would bring its text again for the same node.
     texts = saved(shown.join(keys, same).groupBy("node").agg(F.any_value("text").alias("text")), "ngram-texts")
-    points = points.select("node", "n_shingles", "point")
+    rows, points = points, saved(points.select("node", "n_shingles", "point"), "ngram-points-short")
+    discard(rows)
 
     to_hub = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     near = saved(bounded(to_hub, points), "ngram-near")
