@@ -23,6 +23,11 @@ def summary_report(posts: DataFrame) -> DataFrame:
     counts = flagged.groupBy("search_term", "bucket_ord").agg(
         F.count("*").alias("n"), F.count_if(F.col("has_moderation")).alias("m"), F.count("has_moderation").alias("known")
     )
+    return report_of_counts(counts)
+
+
+def report_of_counts(counts: DataFrame) -> DataFrame:
+    """K7 from counts by term and bucket (n, m moderated, known flags)."""
     sets = counts.groupingSets(
         [[], [F.col("search_term")], [F.col("bucket_ord")]], "search_term", "bucket_ord"
     ).agg(
@@ -37,10 +42,10 @@ def summary_report(posts: DataFrame) -> DataFrame:
     by_bucket = (F.col("no_bucket") == 0) & F.col("bucket_ord").isNotNull()
     section = F.when(overall, _TOTAL).when(by_term, _BY_TERM).when(by_bucket, _BY_BUCKET)
 
-    dimension = bucket_dimension(posts.sparkSession)
+    dimension = bucket_dimension(counts.sparkSession)
     # Sections that must appear even without any post behind them.
     always = small_table(
-        posts.sparkSession,
+        counts.sparkSession,
         [(_TOTAL, None, None, 0, 0, 0), *[(_BY_BUCKET, None, b[0], 0, 0, 0) for b in FOLLOWER_BUCKETS]],
         "section string, search_term string, bucket_ord int, n bigint, m bigint, known bigint",
     )

@@ -18,14 +18,21 @@ def _moderated():
     return F.count_if(F.col("has_moderation"))
 
 
+#: Engagement numbers of a post and what their means are called.
+METRICS = {"likes_count": "avg_likes", "repost_count": "avg_reposts", "reply_count": "avg_replies"}
+
+
 def basic_statistics(posts: DataFrame) -> DataFrame:
     """A1, A2, A3, A17 in one pass. The rate is unrounded; on no rows it is null.
 
     Posts are summed by author and term first, so that only those sums meet the two distinct counts.
     """
-    metrics = {"likes_count": "avg_likes", "repost_count": "avg_reposts", "reply_count": "avg_replies"}
-    sums = [f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("sum", F.sum), ("n", F.count))]
-    parts = posts.groupBy("author_handle", "search_term").agg(F.count("*").alias("n"), _moderated().alias("m"), *sums)
+    sums = [f(m).alias(f"{n}_{m}") for m in METRICS for n, f in (("sum", F.sum), ("n", F.count))]
+    return statistics_of_sums(posts.groupBy("author_handle", "search_term").agg(F.count("*").alias("n"), _moderated().alias("m"), *sums))
+
+
+def statistics_of_sums(parts: DataFrame) -> DataFrame:
+    """A1, A2, A3, A17 from sums by author, term and whatever else, which add up."""
     zero = F.lit(0).cast("bigint")
     n, m = F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("m"), zero)
     return parts.agg(
@@ -34,7 +41,7 @@ def basic_statistics(posts: DataFrame) -> DataFrame:
         percent(m, n).alias("moderation_rate_pct"),
         F.countDistinct("author_handle").alias("unique_authors"),
         F.countDistinct("search_term").alias("search_terms"),
-        *[fraction(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(name) for c, name in metrics.items()],
+        *[fraction(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(name) for c, name in METRICS.items()],
     )
 
 

@@ -16,6 +16,7 @@ MANY_TERMS = tuple(a + b + c for a in "aeiou" for b in "lmnrst" for c in ("", "a
 RUN_TS = "2024-03-01 00:00:00"
 FIRST_CHECK = "2024-02-01 00:00:00"
 SECOND_CHECK = "2024-02-02 00:00:00"
+RUNS = (FIRST_CHECK, SECOND_CHECK, RUN_TS)
 
 # Event times carry no zone and are read as UTC.
 _EVENT_MICROS = "unix_micros(CAST(ts AS timestamp))"
@@ -128,6 +129,21 @@ def raw_authors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def changing_authors(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as sightings in three runs: the first sees urgent ones only, the second also high and medium ones, the last all."""
+    seen = ["o_orderpriority < '2'", "o_orderpriority < '4'", "true"]
+    runs = ", ".join(f"CASE WHEN {test} THEN TIMESTAMP '{run}' END" for run, test in zip(RUNS, seen, strict=True))
+    return table(spark, folder, "orders").selectExpr("*", f"explode(array_compact(array({runs}))) AS run_ts").selectExpr(
+        "run_ts",
+        "o_orderkey AS seen_no",
+        "CAST(o_custkey AS string) AS username",
+        "CASE WHEN o_orderstatus <> 'P' THEN unix_micros(CAST(o_orderdate AS timestamp)) / 1000000.0D END AS created_utc",
+        "CAST(floor(o_totalprice / 100000) AS bigint) AS link_karma",
+        "CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderkey % 2 END AS comment_karma",
+        "o_orderpriority = '2-HIGH' AS is_verified",
+    )
+
+
 def event_submissions(spark: SparkSession, folder: str) -> DataFrame:
     """Events as submissions of the community named by their type."""
     return table(spark, folder, "events").selectExpr("*", f"{_EVENT_K} AS k").selectExpr(

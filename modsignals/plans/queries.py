@@ -374,12 +374,12 @@ def pass1_csv_roundtrip(spark, folder):
 
 
 def newest_files_roundtrip(spark, folder):
-    """Two runs as one file per community; the later run has no file for one of them, whose earlier file is read then."""
+    """Two runs as folders of several parts per community; the later run lacks one of them, whose earlier parts are read then."""
     path = scratch_path(spark, "community_files")
     newest = _event_cohort(spark, folder)
     runs = (newest.withColumn("initial_score", F.lit(-1).cast("bigint")), newest.where("subreddit <> 'signup'"))
     for number, run in enumerate(runs):
-        files = run.withColumn("community", F.col("subreddit")).repartition("community").write.partitionBy("community")
+        files = run.withColumn("community", F.col("subreddit")).repartition(4).write.partitionBy("community")
         files.options(**writers.CSV_WRITE_OPTIONS).csv(f"{path}/run_{number}")
     back = readers.read_newest_pass1(spark, f"{path}/run_*/community=*/*.csv", r"/community=([^/]+)/")
     return back.select("subreddit", "post_fullname", "initial_score", "author_username")

@@ -1,14 +1,13 @@
 """Writers, the only place where the library runs actions: K1-K7."""
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import NOT_AVAILABLE
 from ..functions.times import as_timestamp, run_id
 from ..schemas import COUNT_FIELDS
 from .readers import CSV_OPTIONS
+from .replace import replace_folder
 
 CSV_WRITE_OPTIONS = {
     **CSV_OPTIONS,
@@ -22,27 +21,14 @@ def write_csv(df: DataFrame, path: str) -> bool:
     """K1, K3: CSV with header, replacing what is there; without rows, what is there stays.
 
     The rows are computed once: they are written beside ``path`` and counted on the way, and put in place if there are any.
+    A write that fails or dies on the way leaves the old rows, which readers then find (``replace``).
     """
-    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**CSV_WRITE_OPTIONS).csv(aside)
-    full = seen.get["rows"] > 0
-    _put_in_place(df.sparkSession, aside, path if full else None)
-    return full
-
-
-def _put_in_place(spark: SparkSession, aside: str, path: str | None) -> None:
-    """Moves a written folder to ``path``, replacing it, or removes it if there is no ``path``; by Spark's own file access."""
-    jvm = spark.sparkContext._jvm
-    source = jvm.org.apache.hadoop.fs.Path(aside)
-    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if path is None:
-        files.delete(source, True)
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files.delete(target, True)
-    if not files.rename(source, target):
-        raise OSError(f"{aside} could not be moved to {path}")
+    def write(aside: str) -> bool:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**CSV_WRITE_OPTIONS).csv(aside)
+        return seen.get["rows"] > 0
+
+    return replace_folder(df.sparkSession, path, write)
 
 
 def write_snapshot(df: DataFrame, path: str, run_ts=None, fmt: str = "parquet") -> None:
@@ -64,6 +50,11 @@ def write_snapshot(df: DataFrame, path: str, run_ts=None, fmt: str = "parquet")
     )
 
 
+def write_partials(partials: DataFrame, path: str, run: str) -> None:
+    """Partial sums of one run, in its own folder; writing a run again replaces them."""
+    partials.write.mode("overwrite").parquet(f"{path}/run_id={run}")
+
+
 def write_cohort_ids(id_lists: DataFrame, path: str) -> None:
     """K4: one JSON object per line, mapping a community to its ids."""
     one = F.create_map("subreddit", "post_fullnames")

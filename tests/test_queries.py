@@ -4,8 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
-from modsignals.plans.oracle import ORACLE_SQL
-from modsignals.plans.queries import QUERIES
+from modsignals.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDERS = {sf: f"/root/testdata/sf{sf}" for sf in ("0.001", "0.01")}
 CONNECTIONS = {}
