@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..small import small_table
 from .topk import top_k_per_group
 
-INLINE_TERMS = 128
+# Measured: up to about here testing every term is cheaper than looking up pieces. So many tests make one piece of generated code.
+INLINE_TERMS, TOGETHER = 256, 32
 GRAM = 3
 # Characters of terms looked up in one pass; such a table is a few dozen megabytes at most once broadcast.
 PASS_CHARS = 1_000_000
@@ -46,22 +47,30 @@ def match_terms(df: DataFrame, terms: Sequence[str], text: "str | Column", inlin
 def with_terms(df: DataFrame, terms: Sequence[str], text: "str | Column", into: str = "search_terms") -> DataFrame:
     """J5 with the matching terms of a row as one array, for short lists: for joins that come before the explode."""
     column = F.col(text) if isinstance(text, str) else text
-    low = df.withColumn("_low", F.lower(column))
-    return low.withColumn(into, F.filter(_tests(terms), lambda t: t.isNotNull())).where(F.size(into) > 0).drop("_low")
+    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    # The numbers of the terms found, as text: generated code without an array. Being exploded, the one value stays where it is;
+    # a plain column would be made once more for the filter, with a lower-cased text for every term.
+    found = F.explode_outer(F.array(F.concat_ws(",", *_hits(terms, lambda i, t: F.lit(str(i))))))
+    hit = df.withColumn("_low", F.lower(column)).withColumn("_found", found).drop("_low").where("_found <> ''")
+    return hit.withColumn(into, F.transform(F.split("_found", ","), lambda i: F.get(listed, i.try_cast("int")))).drop("_found")
 
 
-def _tests(terms: Sequence[str]) -> Column:
-    tests = [F.when(F.contains(F.col("_low"), F.lower(F.lit(t))), F.lit(t)) for t in terms]
-    return F.array(*tests) if tests else F.array().cast("array<string>")
+def _hits(terms: Sequence[str], value) -> list[Column]:
+    """For every term ``value`` if the text holds it, else null."""
+    return [F.when(F.contains(F.col("_low"), F.lower(F.lit(t))), value(i, t)) for i, t in enumerate(terms)]
 
 
 def _match_inline(df: DataFrame, terms: Sequence[str], text: Column) -> DataFrame:
-    return (
-        df.withColumn("_low", F.lower(text))
-        .withColumn("search_term", F.explode(_tests(terms)))
-        .where(F.col("search_term").isNotNull())
-        .drop("_low")
-    )
+    # Lists are cut into short arrays, so that the generated code of none grows too long to be compiled.
+    tests = _hits(terms, lambda i, t: F.lit(t))
+    arrays = [F.array(*tests[at : at + TOGETHER]) for at in range(0, len(tests), TOGETHER)] or [F.array().cast("array<string>")]
+    low = df.withColumn("_low", F.lower(text))
+    if len(arrays) == 1:
+        exploded = low.withColumn("search_term", F.explode(arrays[0]))
+    else:
+        parts = low.withColumns({f"_part{k}": part for k, part in enumerate(arrays)})
+        exploded = parts.withColumn("search_term", F.explode(F.concat(*[f"_part{k}" for k in range(len(arrays))]))).select(*low.columns, "search_term")
+    return exploded.where(F.col("search_term").isNotNull()).drop("_low")
 
 
 def _match_listed(df: DataFrame, terms: Sequence[str], text: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from ..schemas import RAW_LABELS
 from ..small import small_table
 
 TERMS = ("license", "@", "free", "token", "the", "that", "de", "spam")
-# Beyond what is searched inline; two letters are shorter than a piece.
+# A long list; two letters are shorter than a piece.
 MANY_TERMS = tuple(a + b + c for a in "aeiou" for b in "lmnrst" for c in ("", "a", "e", "i", "u"))
 RUN_TS = "2024-03-01 00:00:00"
 FIRST_CHECK = "2024-02-01 00:00:00"
@@ -65,7 +65,7 @@ def searched_posts(spark: SparkSession, folder: str) -> DataFrame:
     The texts are searched before the join and a document crosses it once, however many terms it matches.
     """
     found = with_terms(table(spark, folder, "documents"), TERMS, "text")
-    return _raw_posts(spark, folder, found, "explode(search_terms) AS search_term")
+    return _raw_posts(spark, folder, found, "explode_outer(search_terms) AS search_term")
 
 
 def event_posts(spark: SparkSession, folder: str) -> DataFrame:

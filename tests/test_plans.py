@@ -188,3 +188,10 @@ def test_schemas_parse(spark):
         assert spark.createDataFrame([], getattr(schemas, name)).columns
     assert [len(schemas.names(s)) for s in (schemas.POSTS, schemas.PASS1, schemas.STATUS, schemas.PASS2_COMPLETE)] == [15, 19, 14, 32]
     assert frames.POST.keys() == set(schemas.names(schemas.POSTS))
+
+
+@pytest.mark.parametrize("name", ["basic_stats", "moderation_by_term", "top_term", "summary_report"])
+def test_texts_are_lowered_once_and_searched_without_arrays(spark, name):
+    text = physical(entry_points.queries()[name](spark, FOLDER))
+    below = text[text.index("concat_ws(") :]
+    assert text.count("lower(text") == 1 and "filter(array" not in below and "size(" not in below
