@@ -211,7 +211,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     guests = pairs.join(many, "a").select(F.col("b").alias("node"), "a", part.alias("part"), F.lit(1).alias("guest"))
     hosts = many.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("guest"))
-    met = hosts.unionByName(guests).join(texts, "node").repartition("a", "part").sortWithinPartitions("a", "part", "guest")
+    # Both sides grow with the corpus, whatever a small one looks like: they are merged, not broadcast.
+    met = hosts.unionByName(guests).join(texts.hint("merge"), "node").repartition("a", "part").sortWithinPartitions("a", "part", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host = None
@@ -302,10 +303,17 @@ def _pair_rows(found: dict) -> Iterator[pa.RecordBatch]:
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
+    """The pairs whose ends lie in different components, with these as ca and cb."""
     of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
+
+
+def _best_across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, bound) between two components only the one with the highest bound."""
+    ends = F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")
+    best = _across(pairs, labels).groupBy(*ends).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("pair"))
+    return best.select("pair.a", "pair.b")
 
 
 def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +329,7 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     keys, shown = points.select("node", "doc_id", "text_hash").alias("k"), _texts(docs, id_col, text_col).alias("t")
     same = F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.text_hash") == F.col("t.text_hash"))
     # A row that repeats would bring its text again for the same node.
-    texts = saved(shown.join(keys, same).groupBy("node").agg(F.any_value("text").alias("text")), "ngram-texts")
+    texts = saved(shown.join(keys.hint("merge"), same).groupBy("node").agg(F.any_value("text").alias("text")), "ngram-texts")
     rows, points = points, saved(points.select("node", "n_shingles", "point"), "ngram-points-short")
     discard(rows)
 
@@ -331,12 +339,13 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     links = saved(verified(closest, texts), "ngram-links")
     labels = components(links)
     steps = (
-        lambda: near.select("a", "b"),
-        lambda: between_components(members, labels, points, best=True),
-        lambda: between_components(members, labels, points, best=False),
+        lambda: _best_across(near, labels),
+        lambda: _across(near, labels),
+        lambda: _across(between_components(members, labels, points, best=True), labels),
+        lambda: _across(between_components(members, labels, points, best=False), labels),
     )
     for step in steps:
-        links = saved(links.unionByName(verified(saved(_across(step(), labels), "ngram-pairs"), texts)), "ngram-links")
+        links = saved(links.unionByName(verified(saved(step().select("a", "b"), "ngram-pairs"), texts)), "ngram-links")
         labels = components(links)
 
     joined = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
