@@ -37,11 +37,20 @@ def test_term_search_is_one_narrow_pass(spark):
 def test_long_term_list_is_broadcast_not_shuffled(spark):
     from modsignals.operators.terms import match_terms
 
-    found = match_terms(bindings.table(spark, FOLDER, "documents"), [f"term {i}" for i in range(500)], "text")
+    found = match_terms(bindings.table(spark, FOLDER, "documents"), [f"term {i}" for i in range(5000)], "text")
     text = physical(found)
     assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
 
 
+def test_a_list_that_fits_a_pattern_is_searched_once(spark):
+    from modsignals.operators.terms import match_terms
+
+    found = match_terms(bindings.table(spark, FOLDER, "documents"), [f"term {i}" for i in range(500)] + ["a", "b"], "text")
+    text = physical(found.select("doc_id", "search_term"))
+    assert text.count("regexp_extract_all") == 1 and text.count("lower(text") == 1
+    assert "Exchange" not in text and "Join" not in text
+
+
 def test_top_k_limits_before_each_shuffle(spark):
     text = physical(entry_points.queries()["term_match_top100"](spark, FOLDER))
     assert text.count("row_number(), 100, Partial") == 2 and text.count("row_number(), 100, Final") == 2

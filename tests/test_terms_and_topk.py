@@ -29,6 +29,26 @@ TEXTS = ["Free spam, FREE token", "nothing here", "", None, "ends with the", "th
 TERMS = ["spam", "free", "the", "e", "déjà vu", "aaa", "aa", "日本語", "スパム", "y the", "absent", "Token", "spam"]
 
 
+@pytest.fixture(params=["pattern", "pieces"])
+def long_list(request, monkeypatch):
+    """Lists beyond the inline limit, searched by a pattern or by pieces."""
+    if request.param == "pieces":
+        monkeypatch.setattr(terms_module, "PATTERN_CHARS", -1)
+
+
+def test_long_lists_equal_brute_force(spark, long_list):
+    assert matched(spark, TEXTS, TERMS, 0) == brute_force(TEXTS, TERMS)
+    # Terms that begin with one another, of other cases, repeated, with characters that patterns treat apart and beyond 16 bits.
+    terms = ["spa", "spam", "spam,", "SPAM", "free t", "free", "free", "the", "the z", "aaaa", "aaa", "(x)", "a.b", "[a]+", "\\d{2}", "😀😀😀", "ABC"]
+    texts = [*TEXTS, "axb a.b (x", "(X) [a]+ \\d{2}", "12", "a😀😀😀b", "😀😀", "spa", "abcabc spaspam,", "fre the\nz"]
+    assert matched(spark, texts, terms, 0) == brute_force(texts, terms)
+    assert matched(spark, [None, ""], terms, 0) == []
+
+
+def test_a_long_list_with_only_short_or_odd_terms(spark, long_list):
+    assert matched(spark, TEXTS, ["e", "", "İx", "a"], 0) == brute_force(TEXTS, ["e", "", "İx", "a"])
+
+
 @pytest.mark.parametrize("inline", [100, 0])
 def test_both_ways_of_searching_equal_brute_force(spark, inline):
     assert matched(spark, TEXTS, TERMS, inline) == brute_force(TEXTS, TERMS)
@@ -52,6 +72,7 @@ def test_search_property(spark, texts, terms):
 
 
 def test_a_very_long_list_is_searched_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(terms_module, "PATTERN_CHARS", -1)
     monkeypatch.setattr(terms_module, "PASS_CHARS", 10)
     assert matched(spark, TEXTS, TERMS, 0) == brute_force(TEXTS, TERMS)
 
