@@ -19,6 +19,7 @@ null take no part in the choice of the smallest id. An empty table gives an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -29,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from .common import discard, saved, slices
 from .components import components
 
@@ -37,6 +39,8 @@ WORDS, PERCENT = 4, 85
 SPACE, FAN = 64, 32
 #: Members that meet a hub in one task; members of a bucket that are indexed, and that search, in one place.
 TOGETHER, BLOCK = 200, 1000
+#: Shingles of the texts in one bucket of the table of texts, some hundred megabytes.
+BUCKET_SHINGLES = 20_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,6 +143,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def texts_by_node(docs: DataFrame, points: DataFrame, id_col: str, text_col: str) -> tuple[str, DataFrame]:
+    """The name of a table, and the table: node, text of the documents in ``points``, in buckets by node.
+
+    Every later step joins the texts by node. Dealt out once, they are not shuffled again by any of them.
+    """
+    spark = docs.sparkSession
+    keys, shown = points.select("node", "doc_id", "text_hash").alias("k"), _texts(docs, id_col, text_col).alias("t")
+    same = F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.text_hash") == F.col("t.text_hash"))
+    shingles = points.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / BUCKET_SHINGLES))
+    # Both sides grow with the corpus, whatever a small one looks like: they are merged, not broadcast.
+    dealt = shown.join(keys.hint("merge"), same).select("node", "text").repartition(buckets, "node")
+    # A row that repeats would bring its text again for the same node.
+    once = dealt.groupBy("node").agg(F.any_value("text").alias("text"))
+    path = scratch_path(spark, "ngram-texts")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    once.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(name)
+    return name, spark.table(name)
+
+
 # ---- bounds and the tree --------------------------------------------------------------------------------------------
 
 
@@ -211,8 +235,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     guests = pairs.join(many, "a").select(F.col("b").alias("node"), "a", part.alias("part"), F.lit(1).alias("guest"))
     hosts = many.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("guest"))
-    # Both sides grow with the corpus, whatever a small one looks like: they are merged, not broadcast.
-    met = hosts.unionByName(guests).join(texts.hint("merge"), "node").repartition("a", "part").sortWithinPartitions("a", "part", "guest")
+    # The texts lie in buckets by node, so that only the nodes of the pairs move to meet them.
+    met = hosts.unionByName(guests).join(texts, "node").repartition("a", "part").sortWithinPartitions("a", "part", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host = None
@@ -326,10 +350,7 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     discard(full)
     involved = members.select("node").distinct()
     points = saved(sketch.join(involved, "node", "left_semi").select("node", "doc_id", "text_hash", "n_shingles", "point"), "ngram-points")
-    keys, shown = points.select("node", "doc_id", "text_hash").alias("k"), _texts(docs, id_col, text_col).alias("t")
-    same = F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.text_hash") == F.col("t.text_hash"))
-    # A row that repeats would bring its text again for the same node.
-    texts = saved(shown.join(keys.hint("merge"), same).groupBy("node").agg(F.any_value("text").alias("text")), "ngram-texts")
+    table, texts = texts_by_node(docs, points, id_col, text_col)
     rows, points = points, saved(points.select("node", "n_shingles", "point"), "ngram-points-short")
     discard(rows)
 
@@ -347,6 +368,8 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     for step in steps:
         links = saved(links.unionByName(verified(saved(step().select("a", "b"), "ngram-pairs"), texts)), "ngram-links")
         labels = components(links)
+    discard(texts)
+    docs.sparkSession.sql(f"DROP TABLE {table}")
 
     joined = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
