@@ -366,8 +366,11 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
         lambda: _across(between_components(members, labels, points, best=False), labels),
     )
     for step in steps:
-        links = saved(links.unionByName(verified(saved(step().select("a", "b"), "ngram-pairs"), texts)), "ngram-links")
+        pairs = saved(step().select("a", "b"), "ngram-pairs")
+        links = saved(links.unionByName(verified(pairs, texts)), "ngram-links")
         labels = components(links)
+        # The step's shuffle files, with the texts of its pairs, go before the next one writes its own.
+        discard(pairs)
     discard(texts)
     docs.sparkSession.sql(f"DROP TABLE {table}")
 
