@@ -132,3 +132,29 @@ def examples(pattern):
         return out
 
     return sorted({e.strip() for e in of(parser.parse(pattern))})
+
+
+def vector_best_fit(lengths, capacities, weights):
+    """Best fit that looks at every open sequence; documents and attention that cannot bind are not counted."""
+    used = [True, capacities[1] < capacities[0], capacities[2] < capacities[0] ** 2]
+    left, bins, offsets = [], [0] * len(lengths), [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = [n * u for n, u in zip((lengths[i], 1, lengths[i] ** 2), used, strict=True)]
+        best = None
+        for k, residual in enumerate(left):
+            after = [r - n for r, n in zip(residual, need, strict=True)]
+            if min(after) < 0:
+                continue
+            norm = 0.0
+            for rest, capacity, weight, u in zip(after, capacities, weights, used, strict=True):
+                if u:
+                    norm += weight * ((rest / capacity) * (rest / capacity))
+            if best is None or (norm, residual, k) < best:
+                best = (norm, residual, k)
+        if best is None:
+            left.append([c * u for c, u in zip(capacities, used, strict=True)])
+            best = (0.0, None, len(left) - 1)
+        k = best[2]
+        bins[i], offsets[i] = k, capacities[0] - left[k][0]
+        left[k] = [r - n for r, n in zip(left[k], need, strict=True)]
+    return bins, offsets
