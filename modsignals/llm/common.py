@@ -57,6 +57,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row; which of them are null counts."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*(c for f in df.schema for c in (plain(f), F.col(f"`{f.name}`").isNull())))
+
+
 def crc_rest(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; an id that is null counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
