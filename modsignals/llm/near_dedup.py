@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import WORD, row_hash, saved
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -311,7 +311,7 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all documents, and set_key, component_id for every class."""
+    """The sketches of all documents, and set_key, component, component_id for every class."""
     sketch = sketches(docs, id_col, text_col)
     classes = saved(
         sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")),
@@ -341,7 +341,7 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
 
     joined = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return sketch, joined.join(smallest, "component").select("set_key", "component_id")
+    return sketch, joined.join(smallest, "component").select("set_key", "component", "component_id")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,6 +356,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each component, with all their columns. Rows that share a kept id all stay."""
-    kept = near_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
+    """The documents that stay, one of each component, with all their columns.
+
+    The row with the smallest id stays, ids that are null last; of rows that share it, one, chosen by hashes of the text and
+    of all columns. Documents without words link with nothing, so all of them stay, repeats too.
+    """
+    sketch, classes = class_components(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash"))
+    winners = sketch.filter("n_shingles > 0").join(classes, "set_key").groupBy("component").agg(first.alias("first")).select("component", "first.*")
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    worded = docs.filter(text.rlike(WORD))
+    doc_id, text_hash, whole = F.col(id_col).cast("bigint"), F.xxhash64(text), row_hash(docs)
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text_hash.cast("string"), whole.cast("string")).alias("key")
+    rows = worded.select(doc_id.alias("doc_id"), text_hash.alias("text_hash"), key).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.text_hash") == F.col("w.text_hash"))
+    kept = saved(rows.join(winners.alias("w"), same).groupBy("component").agg(F.max("key").alias("key")).select("key"), "kept-rows")
+    # Rows that are equal in all columns share a key; they lie together after the join.
+    met = worded.select(F.struct("*").alias("row"), key).join(kept, "key")
+    return met.groupBy("key").agg(F.first("row").alias("row")).select("row.*").unionByName(docs.filter(~text.rlike(WORD)))

@@ -119,6 +119,19 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {found[k] for k in range(61)} == {0} and {found[k] for k in (90, *range(100, 140))} == {90}
 
 
+def test_one_row_of_each_component_stays(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, other = " ".join(words), " ".join([*words[:58], "x", "y"])
+    rows = [(None, text, 1, "a"), (None, other, 2, "a"), (None, text, 1, "a"), (5, "only this", 3, "b"), (5, "only this", 4, "b"), (5, "something else here", 5, "b")]
+    rows += [(7, None, 6, "c"), (7, None, 6, "c"), (8, " ", 7, "c"), (3, "Only This", 8, "c"), (9, "z " * 9, 9, None), (9, "z " * 9, 9, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key int, row string")
+    kept = near_dedup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    found = sorted((r.doc_id or 0, r.key) for r in kept.collect())
+    assert found[0] in [(0, 1), (0, 2)] and found[1:] == [(3, 8), (5, 5), (7, 6), (7, 6), (8, 7), (9, 9)]
+    assert sorted((r.doc_id or 0, r.key) for r in near_dedup.drop_near_duplicates(df.repartition(5)).collect()) == found
+
+
 # ---- packing --------------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +172,18 @@ def test_best_fit_keeps_every_capacity():
         packing.best_fit([2000], (1024, 8, 10**9))
 
 
+@pytest.mark.parametrize("capacities", [(100, 100, 10_000), (100, 4, 10_000), (100, 100, 4000), (100, 6, 5000), (100, 3, 2600)])
+def test_best_fit_is_the_exhaustive_one(capacities):
+    random.seed(9)
+    for _ in range(20):
+        lengths = [random.randint(1, 50) for _ in range(120)]
+        assert packing.best_fit(lengths, capacities) == brute.vector_best_fit(lengths, capacities, packing.WEIGHTS)
+
+
+def test_best_fit_finds_room_behind_the_first_of_a_class():
+    assert packing.best_fit([80, 40, 40, 20], (100, 10, 6500))[0] == [0, 1, 1, 1]
+
+
 def test_kept_ids_are_whole(spark):
     text = "one two three " * 900
     pieces = packing.token_pieces(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), keep_ids=True).orderBy("piece").collect()
@@ -382,6 +407,22 @@ def test_heavy_digests_take_the_other_way(spark):
     assert exact_dedup.drop_exact_duplicates(df).count() == 301
 
 
+@pytest.mark.parametrize("support", [0.3, 0.9], ids=["heavy", "shuffled"])
+def test_one_row_of_each_text_stays(spark, support):
+    rows = [(None, "Same", 1, "a"), (4, "same", 2, "b"), (4, "SAME", 3, None), (4, "same", 2, "b"), (None, "alone", 4, "x"), (None, "Alone", 5, "y"), (1, None, 6, "z"), (2, "", 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __key int, row string")
+    kept = exact_dedup.drop_exact_duplicates(df, support=support)
+    assert kept.columns == df.columns
+    found = sorted((r["doc_id"] or 0, r["__key"]) for r in kept.collect())
+    assert len(found) == 3 and found[0][1] in (4, 5) and found[1] == (2, 7) and found[2] in [(4, 2), (4, 3)]
+    again = exact_dedup.drop_exact_duplicates(df.repartition(5), support=support).collect()
+    assert sorted((r["doc_id"] or 0, r["__key"]) for r in again) == found
+
+
+def test_groups_of_the_rest_are_not_held_by_a_window(docs):
+    assert "Window" not in nodes_of(exact_dedup.exact_groups(docs))
+
+
 # ---- mixing ---------------------------------------------------------------------------------------------------------
 
 
