@@ -9,8 +9,8 @@
    other components search it.
 4. Pairs that survive are verified on their full sets. Links join classes to components.
 
-Pairs inside a component need no test, so no step returns the pairs of a group: the trees first give the best pair of two
-components, and all surviving pairs only where that one did not join them. A hub with many members, and a bucket with many odd
+Pairs inside a component need no test, so no step returns the pairs of a group: the trees first give each component's best
+pair, and all surviving pairs only between components that are still apart after that. A hub with many members, and a bucket with many odd
 members, are dealt out over several tasks. The links of step 4 are between different sets; texts of one set carry its class.
 
 Null text counts as empty. A text without words links with nothing. Rows that repeat are members of one class. Ids that are
@@ -36,7 +36,9 @@ from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Coordinates of a point, and children of a node of the tree.
-SPACE, FAN = 64, 32
+SPACE, FAN = 256, 32
+#: The largest coordinate that a point states; it stands for any larger one, too.
+FULL = 2**16 - 1
 #: Members that meet a hub in one task; members of a bucket that are indexed, and that search, in one place.
 TOGETHER, BLOCK = 200, 1000
 #: Shingles of the texts in one bucket of the table of texts, some hundred megabytes.
@@ -112,8 +114,8 @@ def group_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """The number of shingles in each of SPACE groups."""
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % SPACE, minlength=SPACE).astype("<u4")
+    """The number of shingles in each of SPACE groups, FULL for more than that."""
+    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % SPACE, minlength=SPACE), FULL).astype("<u2")
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,7 +170,14 @@ def texts_by_node(docs: DataFrame, points: DataFrame, id_col: str, text_col: str
 
 def _points(column) -> np.ndarray:
     rows = column.to_pylist() if isinstance(column, pa.Array) else column
-    return np.frombuffer(b"".join(rows), "<u4").reshape(-1, SPACE).astype(np.int64)
+    return np.frombuffer(b"".join(rows), "<u2").reshape(-1, SPACE)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most elements that sets of these points can share; more than any set has where both have a full coordinate."""
+    smaller = np.minimum(a, b)
+    bound = smaller.sum(axis=1, dtype=np.int64)
+    return bound + (np.int64(1) << 40) * (smaller >= FULL).any(axis=1) if smaller.size and smaller.max() >= FULL else bound
 
 
 def enough(shared, sizes):
@@ -203,10 +212,10 @@ class CountTree:
             node = np.arange(len(high)) if under is None else under[under < len(high)]
             fits = (100 * most[node] >= PERCENT * size) & (PERCENT * least[node] <= 100 * size)
             node = node[fits]
-            node = node[enough(np.minimum(high[node], point).sum(axis=1), size + least[node])]
+            node = node[enough(most_shared(high[node], point), size + least[node])]
             under = (node[:, None] * FAN + np.arange(FAN)).ravel()
         at = np.arange(len(self.points)) if under is None else under[under < len(self.points)]
-        bound = np.minimum(self.points[at], point).sum(axis=1)
+        bound = most_shared(self.points[at], point)
         hit = enough(bound, size + self.sizes[at])
         return self.order[at[hit]], bound[hit]
 
@@ -216,7 +225,7 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bound = np.minimum(_points(batch.column("pa")), _points(batch.column("pb"))).sum(axis=1)
+            bound = most_shared(_points(batch.column("pa")), _points(batch.column("pb")))
             whole = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bound, pa.int64())], ["a", "b", "bound"])
             yield whole.filter(pa.array(enough(bound, batch.column("sizes").to_numpy())))
 
@@ -260,17 +269,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """bucket, hub, node of every bucket that several classes share; the hub is its smallest node."""
-    keys = classes.select("node", F.explode("keys").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "hub")
-    return saved(keys.join(shared, "bucket"), "ngram-members")
+    """bucket, hub, node of the buckets that several classes share; the hub is its smallest node.
+
+    Of buckets with the same members, such as a pair of near copies has by the hundred, one is kept: who meets whom stays as it is.
+    """
+    # Dealt out once: the keys are counted and joined where they lie.
+    keys = classes.select("node", F.explode("keys").alias("bucket")).repartition("bucket")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    shared = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), *marks).filter("n > 1")
+    kept = shared.groupBy("n", "hub", "mark0", "mark1").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
+    return saved(keys.join(kept.hint("merge"), "bucket"), "ngram-members")
 
 
 def between_components(members: DataFrame, labels: DataFrame, points: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of members of one bucket that lie in different components and can link; hubs were held against all before.
 
     Of each bucket the members outside its largest component are indexed, in blocks, and every block is searched by all
-    members. With ``best`` a place gives one pair for two components, the one with the highest bound.
+    members. With ``best`` a place gives one pair for each component, the one with the highest bound, so that what it gives
+    does not grow faster than its members.
     """
     guests = members.filter("node <> hub").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     guests = saved(guests, "ngram-guests")
@@ -308,9 +324,9 @@ def between_components(members: DataFrame, labels: DataFrame, points: DataFrame,
                 other = parts[near] != component
                 for k, score in zip(near[other].tolist(), bound[other].tolist(), strict=True):
                     a, b = sorted((node, int(nodes[k])))
-                    key = tuple(sorted((component, int(parts[k])))) if best else (a, b)
-                    if key not in found or found[key] < (score, a, b):
-                        found[key] = (score, a, b)
+                    for key in (component, int(parts[k])) if best else ((a, b),):
+                        if key not in found or found[key] < (score, a, b):
+                            found[key] = (score, a, b)
             # What a place has found so far leaves with the batch, so that a task holds no more than a batch gives.
             yield from _pair_rows(found)
             found = {}
@@ -346,7 +362,7 @@ def class_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     sketch = saved(full.drop("keys"), "ngram-sketches-short")
     nodes = sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"))
     nodes = saved(nodes, "ngram-classes")
-    members = bucket_members(full.select("node", "keys").join(nodes.select("node"), "node", "left_semi"))
+    members = bucket_members(full.select("node", "keys").join(nodes.select("node").hint("merge"), "node", "left_semi"))
     discard(full)
     involved = members.select("node").distinct()
     points = saved(sketch.join(involved, "node", "left_semi").select("node", "doc_id", "text_hash", "n_shingles", "point"), "ngram-points")

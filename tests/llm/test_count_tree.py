@@ -132,3 +132,37 @@ def test_points_bound_what_sets_share():
     random_ = np.random.default_rng(1)
     a, b = (np.unique(random_.integers(0, 400, 300).astype(np.uint64) << np.uint64(38)) for _ in range(2))
     assert np.minimum(ct.point(a), ct.point(b)).sum() >= len(np.intersect1d(a, b))
+
+
+def test_full_coordinates_bound_nothing():
+    a, b = np.zeros((1, ct.SPACE), np.uint16), np.zeros((1, ct.SPACE), np.uint16)
+    a[0, 3], b[0, 3], b[0, 5] = ct.FULL, ct.FULL, 7
+    assert ct.most_shared(a, b)[0] > 2**40 and ct.most_shared(a, b - b)[0] == 0
+    same = np.full(ct.FULL + 9, 1 << 43, np.uint64)
+    assert ct.point(same).max() == ct.FULL and ct.point(same[:9]).max() == 9
+
+
+def test_points_rule_out_sets_that_share_much_but_not_enough():
+    random_ = np.random.default_rng(5)
+    shared, a, b = (random_.integers(0, 2**64, n, np.uint64) for n in (1650, 350, 350))
+    x, y = np.concatenate([shared, a]), np.concatenate([shared, b])
+    assert not ct.enough(ct.most_shared(ct.point(x)[None], ct.point(y)[None])[0], len(x) + len(y))
+
+
+def test_buckets_with_the_same_members_are_kept_once(spark):
+    rows = [(1, list(range(40))), (2, list(range(40))), (3, list(range(20, 40))), (4, [50])]
+    found = {}
+    for r in ct.bucket_members(spark.createDataFrame(rows, "node bigint, keys array<bigint>")).collect():
+        found.setdefault((r.bucket, r.hub), set()).add(r.node)
+    assert sorted(map(sorted, found.values())) == [[1, 2], [1, 2, 3]] and {hub for _, hub in found} == {1}
+
+
+def test_a_place_gives_one_pair_for_each_component(spark):
+    """80 sets that could all link by their points, each a component of its own: 3160 pairs of components."""
+    spot = ct.point(np.arange(100, dtype=np.uint64) << np.uint64(40)).tobytes()
+    points = spark.createDataFrame([(k, 100, spot) for k in range(81)], "node bigint, n_shingles bigint, point binary")
+    members = spark.createDataFrame([(7, 0, k) for k in range(81)], "bucket bigint, hub bigint, node bigint")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    assert ct.between_components(members, none, points, best=False).count() == 80 * 79 // 2
+    pairs = [(r.a, r.b) for r in ct.between_components(members, none, points, best=True).collect()]
+    assert len(pairs) <= 80 and {k for pair in pairs for k in pair} == set(range(1, 81))
