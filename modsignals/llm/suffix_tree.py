@@ -1,16 +1,17 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A context is a word or two that stand before a token; the end of a text stands before its first word. A context is kept if it
-is frequent enough and if what follows it diverges from what follows the context that is one word shorter. A kept context's
-distribution gives its frequent followers what they have, less a discount, and shares the rest among all other tokens in
-proportion to the shorter context's distribution. Below all contexts lie the single words with add-half smoothing. A token is
-scored in the longest kept context before it.
-
-All counts are exact and over all training rows. Which pairs and triples are frequent is found level by level: each task hands
-on the ones that a stretch of its text holds more often than a small share of that stretch, so none that is frequent over the
-whole corpus is missed; the next pass counts the candidates exactly. Words, pairs and triples with at least LEAST_SHARE of all
-tokens number at most 1/LEAST_SHARE each, whatever the corpus; only these are sent to tasks. Words outside them meet their
-counts by a join.
+A context is a word or two that stand before a token; the end of a text stands before its first word. A context is kept if
+what follows it diverges from what follows the context that is one word shorter. A kept context's distribution gives followers
+that occur LEAST times after it what they have, less a discount, and shares the rest among all other tokens in proportion to the
+shorter context's distribution. Below all contexts lie the single words with add-half smoothing. A token is scored in the
+longest kept context before it.
+
+All counts are exact and over all training rows. Every word, pair and triple that occurs LEAST times is counted, whatever the
+corpus: sequences are known by 64-bit codes, counted by a shuffle, and weighed against the next shorter ones by joins, level by
+level. What a text gains is a sum over its sequences, of what each context's words without a row get and of what a sequence's
+own row has more than that. Only the most frequent, at most HOT, are sent to tasks; a text's other sequences meet their values
+by a join, as do words outside those at hand. A bitmap of bounded size spares most sequences without a value that way; it leaves
+none out that has one.
 
 Null text counts as empty: only the end. Rows that repeat are counted and scored each. Without training rows every token has
 probability one. An empty table gives an empty result. Other columns are never read.
@@ -18,31 +19,36 @@ probability one. An empty table gives an empty result. Other columns are never r
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, saved, slices
+from .common import crc_rest, discard, saved, slices
 
-#: Share of all tokens that words, pairs and triples need to be counted as followers, and the fewest occurrences.
-LEAST_SHARE, LEAST = 2e-6, 2
+#: Occurrences that a sequence needs to be counted as a follower of its context, and words of the longest context.
+LEAST, DEPTH = 2, 2
+#: Values of words and sequences that are sent to every task, at most; the others are joined, in so many passes over the texts.
+HOT, PASSES = 1_000_000, 2
 #: Divergence per occurrence (nats) and gain in all that a kept context has over the shorter one.
 DIVERGENCE, GAIN = 0.01, 10.0
 DISCOUNT = 0.5
-#: At most so many of the most frequent words are at hand in every task, besides those with LEAST_SHARE.
+#: At most so many of the most frequent words are at hand in every task.
 AT_HAND = 250_000
-#: Words, and codes of pairs or triples, at which a task hands on what it has counted.
-FLUSH, STRETCH = 400_000, 4_000_000
+#: Words, and sequences, at which a task hands on what it has counted, and rows that it hands on at once.
+FLUSH, STRETCH, ROWS = 400_000, 500_000, 100_000
+#: Most bits of a bitmap of codes, and the blocks that it is made in, as powers of two.
+MOST_BITS, BLOCK_BITS = 27, 8
 #: Fixed values of the split into training and held-out rows.
 PARTS, HELD = 5, 1
-_SHIFT = 21  # more than the bits of any place in a table of 1/LEAST_SHARE rows
 _BREAK = -2
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,40 +86,66 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The code of a sequence from those of its sequence without the last word and without the first."""
+    x = left * _MIX + right
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
 @dataclass
-class Tables:
-    """What tasks know: the words at hand by place (the end first), how many of them are frequent, and the codes of frequent pairs and triples, sorted."""
+class Words:
+    """The words at hand by place, the end first, and their codes; a word's code is Spark's ``xxhash64``."""
 
     places: dict[bytes, int]
-    frequent: int
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    triples: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    codes: np.ndarray
 
-    def line(self, texts: list[str]) -> tuple[np.ndarray, list[list[bytes]]]:
-        """The places of all texts' tokens in one line, each text between two ends, with breaks; -1 for a word not at hand."""
+    def line(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """The places (-1 for a word not at hand) and codes of all texts' tokens in one line, each text between two ends, with breaks."""
         tokens = [words_of(t) for t in texts]
-        get, line = self.places.get, []
+        get, line, rare = self.places.get, [], []
         for words in tokens:
-            line.append(_BREAK)
-            line.append(0)
-            line += [get(w, -1) for w in words]
-            line.append(0)
-        return np.array(line, np.int64), tokens
-
-    def pairs_in(self, line: np.ndarray) -> np.ndarray:
-        """The code of each place and the one before it, or -1."""
-        known = (line >= 0) & (line < self.frequent)
-        out = np.full(len(line), -1, np.int64)
-        both = np.flatnonzero(known[1:] & known[:-1]) + 1
-        out[both] = (line[both - 1] << _SHIFT) | line[both]
-        return out
-
-    def triples_in(self, line: np.ndarray, pair_at: np.ndarray) -> np.ndarray:
-        """The code of each place and the frequent pair before it, or -1; the pair that ends here is frequent as well."""
-        out = np.full(len(line), -1, np.int64)
-        both = np.flatnonzero((pair_at[1:] >= 0) & (pair_at[:-1] >= 0)) + 1
-        out[both] = (pair_at[both - 1] << _SHIFT) | line[both]
-        return out
+            places = [get(w, -1) for w in words]
+            line += [_BREAK, 0, *places, 0]
+            rare += [w for w, place in zip(words, places, strict=True) if place < 0]
+        line = np.array(line, np.int64)
+        codes = self.codes[line]
+        codes[line == -1] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in rare), np.uint64, len(rare))
+        return line, codes, tokens
+
+
+def longer(codes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the sequences that are one word longer and end at the same places, and where there are such."""
+    out, there = np.zeros_like(codes), np.zeros_like(whole)
+    out[1:] = _mixed(codes[:-1], codes[1:])
+    there[1:] = whole[:-1] & whole[1:]
+    return out, there
+
+
+class Seen:
+    """A bitmap of codes. It has every code that it was made of, and a small share of others; it only spares rows the way to a join."""
+
+    def __init__(self, table: DataFrame):
+        self.power = min(MOST_BITS, max(16, (16 * table.count()).bit_length()))
+        power, block = self.power, 1 << (self.power - 6 - BLOCK_BITS)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << (power - 6), np.uint64)
+            for batch in batches:
+                at = batch.column("code").to_numpy().view(np.uint64) >> np.uint64(64 - power)
+                np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+            blocks = bits.reshape(-1, block)
+            filled = np.flatnonzero(blocks.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([blocks[k].tobytes() for k in filled], pa.binary())], ["block", "bits"])
+
+        dealt = table.select("code").repartition(F.shiftrightunsigned("code", 64 - BLOCK_BITS))
+        self.bits = np.zeros(1 << (power - 6), np.uint64)
+        for row in dealt.mapInArrow(run, "block bigint, bits binary").toLocalIterator():
+            self.bits[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["bits"], np.uint64)
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        at = codes >> np.uint64(64 - self.power)
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 def find(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -122,82 +154,48 @@ def find(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return np.full(len(codes), -1, np.int64)
     at = np.searchsorted(sorted_codes, codes)
     at[at == len(sorted_codes)] = 0
-    return np.where((sorted_codes[at] == codes) & (codes >= 0), at, -1)
-
+    return np.where(sorted_codes[at] == codes, at, -1)
 
-def count_codes(docs: DataFrame, tables: Tables, look_for: int, exact: int) -> DataFrame:
-    """level, code, n over the training rows: exact counts of the tables' pairs or triples, and candidates of another level.
 
-    ``look_for`` and ``exact`` name levels (2: pairs, 3: triples, 0: none).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None) -> DataFrame:
+    """context, low, n: sequences of ``length`` and one more words, by the codes of all but the last and all but the first, that
+    training rows hold LEAST times. ``seen`` has the shorter sequences that they hold LEAST times."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        table = {2: tables.pairs, 3: tables.triples}.get(exact, tables.pairs[:0])
-        sure = np.zeros(len(table) + 1, np.int64)
+        words, seen = shared.value
         waiting, size = [], 0
 
-        def out(level: int, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), level), pa.int32()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["level", "code", "n"])
-
-        def candidates() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
-            often = n > LEAST_SHARE / 2 * size
-            return out(look_for, codes[often], n[often])
+        def out() -> list[pa.RecordBatch]:
+            context, low = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            _, first, n = np.unique(_mixed(context, low), return_index=True, return_counts=True)
+            columns = [pa.array(x, pa.int64()) for x in (context[first].view(np.int64), low[first].view(np.int64), n)]
+            return pa.table(columns, ["context", "low", "n"]).to_batches(ROWS)
 
         for batch in slices(batches, "text"):
-            line, _ = tables.line(batch.column("text").to_pylist())
-            pair = tables.pairs_in(line)
-            pair_at = find(tables.pairs, pair)
-            triple = tables.triples_in(line, pair_at)
-            if exact:
-                sure += _tally(pair_at if exact == 2 else find(tables.triples, triple), len(sure))
-            if look_for:
-                codes = pair if look_for == 2 else triple
-                waiting.append(codes[codes >= 0])
-                size += len(line)
-                if size >= STRETCH:
-                    yield candidates()
-                    waiting, size = [], 0
+            line, codes, _ = words.line(batch.column("text").to_pylist())
+            whole = line != _BREAK
+            for _ in range(length - 1):
+                codes, whole = longer(codes, whole)
+            both = np.flatnonzero(whole[1:] & whole[:-1])
+            if seen:
+                there = seen.has(codes)
+                both = both[there[both] & there[both + 1]]
+            waiting.append((codes[both], codes[both + 1]))
+            size += len(both)
+            if size >= STRETCH:
+                yield from out()
+                waiting, size = [], 0
         if waiting:
-            yield candidates()
-        if exact:
-            there = np.flatnonzero(sure[:-1])
-            yield out(exact, table[there], sure[there])
-
-    counted = docs.filter("NOT held").select("text").mapInArrow(run, "level int, code bigint, n bigint")
-    return saved(counted.groupBy("level", "code").agg(F.sum("n").alias("n")), "codes")
+            yield from out()
 
-
-def _tally(at: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(at[at >= 0], minlength=size)
-
-
-def _codes(counted: DataFrame, level: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of a level, sorted: at most about 2/LEAST_SHARE."""
-    rows = counted.filter((F.col("level") == level) & (F.col("n") >= least)).select("code", "n").toPandas().sort_values("code")
-    return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    counted = docs.filter("NOT held").select("text").mapInArrow(run, "context bigint, low bigint, n bigint")
+    return counted.groupBy("context", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
 
 
 # ---- the tree -------------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class Tree:
-    """For kept contexts: the log of what is left for other tokens (by place of the word or pair; 0 where not kept), and the logs of their followers."""
-
-    tables: Tables
-    rest_word: np.ndarray
-    rest_pair: np.ndarray
-    kept_word: np.ndarray
-    kept_pair: np.ndarray
-    log_pair: np.ndarray
-    log_triple: np.ndarray
-    base: np.ndarray
-    known: np.ndarray
-
-
 def _level(context: np.ndarray, n: np.ndarray, total: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept contexts, their rest and their followers' logs, for followers given by context, count and probability below."""
     size = len(total)
@@ -214,65 +212,96 @@ def _level(context: np.ndarray, n: np.ndarray, total: np.ndarray, lower: np.ndar
     return kept, rest, np.log10((n - DISCOUNT) / total[context])
 
 
-def grow(tables: Tables, word_counts: np.ndarray, base: np.ndarray, pair_counts: np.ndarray, triple_counts: np.ndarray) -> Tree:
-    """``base`` and ``word_counts`` by place; the others along the tables' codes."""
-    mask = (1 << _SHIFT) - 1
-    first, second = tables.pairs >> _SHIFT, tables.pairs & mask
-    single = 10.0**base
-    kept_word, rest_word, log_pair = _level(first, pair_counts, word_counts, single[second])
-    before, third = tables.triples >> _SHIFT, tables.triples & mask
-    # Below a triple's pair lies its second word: the follower's own log if that word is kept and has it, else the rest.
-    middle = second[before] if len(before) else before
-    shorter = find(tables.pairs, (middle << _SHIFT) | third)
-    plain = np.where(kept_word[middle], rest_word[middle], 0.0) + base[third]
-    lower = np.where(kept_word[middle] & (shorter >= 0), log_pair[shorter] if len(log_pair) else plain, plain)
-    kept_pair, rest_pair, log_triple = _level(before, triple_counts, pair_counts, 10.0**lower)
-    return Tree(tables, rest_word, rest_pair, kept_word, kept_pair, log_pair, log_triple, base, word_counts > 0)
-
-
-def gains(tree: Tree, line: np.ndarray) -> np.ndarray:
-    """What the contexts add to each token's base log."""
-    tables = tree.tables
-    pair_at = find(tables.pairs, tables.pairs_in(line))
-    triple_at = find(tables.triples, tables.triples_in(line, pair_at))
-    out = np.zeros(len(line))
-    word = np.zeros(len(line), np.int64) - 1
-    word[1:] = np.where((line[:-1] >= 0) & (line[:-1] < tables.frequent), line[:-1], -1)
-    in_word = (word >= 0) & (line != _BREAK)
-    in_word[in_word] = tree.kept_word[word[in_word]]
-    hit = in_word & (pair_at >= 0)
-    out[hit] = tree.log_pair[pair_at[hit]] - tree.base[line[hit]]
-    miss = in_word & (pair_at < 0)
-    out[miss] = tree.rest_word[word[miss]]
-    pair = np.full(len(line), -1, np.int64)
-    pair[1:] = pair_at[:-1]
-    in_pair = (pair >= 0) & (line != _BREAK)
-    in_pair[in_pair] = tree.kept_pair[pair[in_pair]]
-    hit = in_pair & (triple_at >= 0)
-    out[hit] = tree.log_triple[triple_at[hit]] - tree.base[line[hit]]
-    miss = in_pair & (triple_at < 0)
-    out[miss] += tree.rest_pair[pair[miss]]
-    return out
+def grow(grams: DataFrame, below: DataFrame) -> DataFrame:
+    """code, n, log, value, context of one level; ``below`` has code, n, log of the sequences that are one word shorter.
+
+    A sequence's row has the log of its last word after the others, and what that is more than a word without a row gets there.
+    A kept context's row has what a word without a row gets, over its log in the shorter context.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if not rows:
+            return
+        context, low, n, total, lower = (rows.column(c).to_numpy() for c in ("context", "low", "n", "total", "lower"))
+        own, first, at = np.unique(context, return_index=True, return_inverse=True)
+        kept, rest, logs = _level(at, n, total[first], 10.0**lower)
+        in_kept = kept[at]
+
+        def out(codes, n, log, value, is_context) -> pa.RecordBatch:
+            columns = [pa.array(codes, pa.int64()), pa.array(n, pa.int64()), pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(np.full(len(n), is_context))]
+            return pa.RecordBatch.from_arrays(columns, ["code", "n", "log", "value", "context"])
+
+        codes = _mixed(context.view(np.uint64), low.view(np.uint64)).view(np.int64)
+        yield out(codes, n, np.where(in_kept, logs, lower), np.where(in_kept, logs - lower - rest[at], 0.0), False)
+        yield out(own[kept], total[first][kept], np.zeros(kept.sum()), rest[kept], True)
+
+    of_low = below.select(F.col("code").alias("low"), F.col("log").alias("lower"))
+    of_context = below.select(F.col("code").alias("context"), F.col("n").alias("total"))
+    # Sequences grow with the corpus: they are merged, not broadcast.
+    met = grams.join(of_low.hint("merge"), "low").join(of_context.hint("merge"), "context").repartition("context")
+    shape = "code bigint, n bigint, log double, value double, context boolean"
+    return saved(met.select("context", "low", "n", "total", "lower").mapInArrow(run, shape), "contexts")
 
 
 # ---- scoring --------------------------------------------------------------------------------------------------------
 
 
-def score_texts(docs: DataFrame, words: DataFrame, tree: Tree) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base, gain; ``words`` has word, known and base for every word of the texts."""
+@dataclass
+class Tree:
+    """What scoring tasks know: the words at hand with their base logs, which are known, which are frequent; frequent codes, sorted, with their values; the codes with a value."""
+
+    words: Words
+    base: np.ndarray
+    known: np.ndarray
+    frequent: np.ndarray
+    codes: np.ndarray
+    values: np.ndarray
+    seen: Seen
+
+    def __post_init__(self):
+        values = np.append(self.values, 0.0)
+        self.at_place = np.append(values[find(self.codes, self.words.codes)], [0.0, 0.0])
+
+    def gains(self, line: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the frequent codes give at each place of the line, and the codes, with their places, that a table has to be asked for."""
+        values = np.append(self.values, 0.0)
+        frequent = np.append(self.frequent, [False, False])
+        whole = line != _BREAK
+        before = np.zeros_like(whole)  # only what stands before a token is its context
+        before[:-1] = whole[:-1] & whole[1:]
+        is_frequent = frequent[line]
+        out = np.where(before & is_frequent, self.at_place[line], 0.0)
+        places, asked = [], []
+        for length in range(1, DEPTH + 2):
+            at = np.flatnonzero(whole if length > 1 else before & ~is_frequent)
+            at = at[self.seen.has(codes[at])]
+            held = find(self.codes, codes[at]) if length > 1 else np.full(len(at), -1)
+            out[at] += values[held]
+            places.append(at[held < 0])
+            asked.append(codes[at[held < 0]])
+            codes, whole = longer(codes, whole)
+        return out, np.concatenate(places), np.concatenate(asked)
+
+
+def score_texts(docs: DataFrame, words: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base, gain; ``words`` has word, known and base for every word of the texts, ``values`` the
+    code and value of what is not frequent."""
     shared = words.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         base, known = np.append(tree.base, [0.0, 0.0]), np.append(tree.known, [False, False])
         for batch in slices(batches, "text"):
-            line, tokens = tree.tables.line(batch.column("text").to_pylist())
-            gain = gains(tree, line)
+            line, codes, tokens = tree.words.line(batch.column("text").to_pylist())
+            gain, places, asked = tree.gains(line, codes)
             starts = np.flatnonzero(line == _BREAK)
             scored = np.ones(len(line), bool)  # the break and the end before the text are no tokens
             scored[starts] = scored[starts + 1] = False
-            sums = [np.add.reduceat(np.where(scored, x, 0), starts) if len(starts) else np.empty(0) for x in (known[line], base[line], gain)]
-            get = tree.tables.places.get
+            sums = [np.add.reduceat(x, starts) if len(starts) else np.empty(0) for x in (np.where(scored, known[line], 0), np.where(scored, base[line], 0), gain)]
+            order = np.argsort(places, kind="stable")
+            ends = np.append(np.searchsorted(places[order], starts), len(order)).astype(np.int32)
+            get = tree.words.places.get
             rare = [[w for w in words if get(w) is None] for words in tokens]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -283,11 +312,12 @@ def score_texts(docs: DataFrame, words: DataFrame, tree: Tree) -> DataFrame:
                     pa.array(sums[1], pa.float64()),
                     pa.array(sums[2], pa.float64()),
                     pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(asked[order].view(np.int64))),
                 ],
-                ["doc_id", "held", "n_tokens", "known", "base", "gain", "rare"],
+                ["doc_id", "held", "n_tokens", "known", "base", "gain", "rare", "asked"],
             )
 
-    shape = "doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, gain double, rare array<string>"
+    shape = "doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, gain double, rare array<string>, asked array<bigint>"
     rows = saved(docs.mapInArrow(run, shape).withColumn("row_key", F.monotonically_increasing_id()), "text-scores")
     others = (
         rows.select("row_key", F.explode("rare").alias("word"))
@@ -295,8 +325,19 @@ def score_texts(docs: DataFrame, words: DataFrame, tree: Tree) -> DataFrame:
         .groupBy("row_key")
         .agg(F.sum("k").alias("k"), F.sum("b").alias("b"))
     )
+    asked = rows.select("row_key", F.explode("asked").alias("code")).join(values.hint("merge"), "code").groupBy("row_key").agg(F.sum("value").alias("g"))
     more = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
-    return rows.join(others, "row_key", "left").select("doc_id", "held", "n_tokens", more("known", "k").alias("n_known"), more("base", "b").alias("base"), "gain")
+    scores = rows.join(others, "row_key", "left").join(asked, "row_key", "left").select("doc_id", "held", "n_tokens", more("known", "k").alias("n_known"), more("base", "b").alias("base"), more("gain", "g").alias("gain"))
+    scores = saved(scores, "scores")
+    discard(rows)
+    return scores
+
+
+def _power(rows: DataFrame, column: str, most: int) -> int:
+    """The least power of two that at most ``most`` rows reach, so that these are a filter of the table and nothing is put in order."""
+    powers = [2**k for k in range(60)]
+    many = rows.agg(*(F.count_if(F.col(column) >= power) for power in powers)).first()
+    return next(power for power, n in zip(powers, many, strict=True) if n <= most)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,28 +346,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counted = saved(count_words(rows), "word-counts")
     whole = counted.filter("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = whole["n"] or 0, whole["v"]
-    least = max(LEAST, LEAST_SHARE * n)
     words = counted.select("word", "c", (F.col("c") > 0).cast("bigint").alias("known"), F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("base"))
 
-    # The end first, then by training count. How many words are how frequent is counted by powers of two, so that the words at
-    # hand are a filter of the table and nothing is put in order but what comes to the driver.
-    powers = [2**k for k in range(60)]
-    many = words.agg(*(F.count_if(F.col("c") >= power) for power in powers)).first()
-    enough = next(power for power, n_words in zip(powers, many, strict=True) if n_words <= AT_HAND)
-    at_hand = words.filter((F.col("c") >= min(enough, least)) | (F.col("word") == "")).select("word", "c", "base").toPandas()
+    # The end first, then by training count.
+    enough = _power(words, "c", AT_HAND)
+    at_hand = words.filter((F.col("c") >= enough) | (F.col("word") == "")).select("word", "c", "base", F.xxhash64("word").alias("code")).toPandas()
     at_hand = at_hand.assign(end=at_hand["word"] == "").sort_values(["end", "c", "word"], ascending=[False, False, True])
-    tables = Tables({w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(at_hand["word"])}, int((at_hand["c"] >= least).sum()))
-    tables.pairs, _ = _codes(count_codes(rows, tables, look_for=2, exact=0), 2, least / 2)
-    both = count_codes(rows, tables, look_for=3, exact=2)
-    exact, pair_counts = _codes(both, 2, least)
-    # Triples were coded by the candidates' places; only those whose pairs stay are candidates further on.
-    maybe, _ = _codes(both, 3, least / 2)
-    moved = find(exact, tables.pairs)
-    place = moved[maybe >> _SHIFT] if len(maybe) else maybe
-    tables.pairs, tables.triples = exact, np.sort((place[place >= 0] << _SHIFT) | (maybe[place >= 0] & ((1 << _SHIFT) - 1)))
-    tables.triples, triple_counts = _codes(count_codes(rows, tables, look_for=0, exact=3), 3, least)
-    tree = grow(tables, at_hand["c"].to_numpy(np.int64), at_hand["base"].to_numpy(float), pair_counts, triple_counts)
-    return score_texts(rows, words, tree).select(
+    hand = Words({w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(at_hand["word"])}, at_hand["code"].to_numpy(np.int64).view(np.uint64))
+
+    below = words.filter(F.col("c") >= LEAST).select(F.xxhash64("word").alias("code"), F.col("c").alias("n"), F.col("base").alias("log"))
+    levels, seen = [], None
+    for length in range(1, DEPTH + 1):
+        levels.append(grow(count_grams(rows, hand, length, seen), below))
+        below = levels[-1].filter("NOT context")
+        seen = Seen(below) if length < DEPTH else None
+        discard()
+    values = saved(reduce(DataFrame.unionByName, levels).filter("value <> 0").select("code", "n", "value"), "context-values")
+    discard(*levels)
+    often = _power(values, "n", HOT)
+    hot = values.filter(F.col("n") >= often).groupBy("code").agg(F.sum("value").alias("value")).toArrow()
+    hot_codes, hot_values = hot["code"].to_numpy().view(np.uint64), hot["value"].to_numpy()
+    order = np.argsort(hot_codes)
+    counts = at_hand["c"].to_numpy(np.int64)
+    tree = Tree(hand, at_hand["base"].to_numpy(float), counts > 0, counts >= often, hot_codes[order], hot_values[order], Seen(values))
+    rest = values.filter(F.col("n") < often).select("code", "value")
+    # One pass's shuffle files go before the next one writes its own.
+    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), words, tree, rest) for k in range(PASSES)]
+    return reduce(DataFrame.unionByName, passes).select(
         "doc_id",
         F.col("held").alias("held_out"),
         "n_tokens",

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -290,6 +291,47 @@ def test_contexts_are_learned(spark):
     assert -0.2 < per_token < -0.14 and all(r.base_score < 4 * r.score for r in found)
 
 
+def plain_scores(texts, held):
+    """The scores by dictionaries, every sequence that training rows hold twice taken."""
+    lines = {i: [b"", *suffix_tree.words_of(t), b""] for i, t in texts.items()}
+    train = [line for i, line in lines.items() if not held(i)]
+    word, pair, triple = (Counter(tuple(x[k : k + n]) for x in train for k in range(n == 1, len(x) - n + 1)) for n in (1, 2, 3))
+    n, v = sum(word.values()), len(word)
+    log = {1: lambda g: math.log10((word[g] + 0.5) / (n + 0.5 * (v + 1)))}
+    for length, grams, contexts in ((2, pair, word), (3, triple, pair)):
+        lower, table, rests, of = log[length - 1], {}, {}, {}
+        for g, c in grams.items():
+            if c >= 2:
+                of.setdefault(g[:-1], {})[g] = c
+        for context, rows in of.items():
+            total, heavy, below = contexts[context], sum(rows.values()), min(sum(10 ** lower(g[1:]) for g in rows), 1 - 1e-12)
+            left = max(total - heavy, 0) / total
+            gain = sum(c * math.log(c / total / 10 ** lower(g[1:])) for g, c in rows.items()) + (total * left * math.log(left / (1 - below)) if left else 0)
+            if gain >= suffix_tree.GAIN and gain >= suffix_tree.DIVERGENCE * total:
+                table |= {g: math.log10((c - suffix_tree.DISCOUNT) / total) for g, c in rows.items()}
+                rests[context] = math.log10((left + suffix_tree.DISCOUNT * len(rows) / total) / (1 - below))
+        log[length] = lambda g, lower=lower, table=table, rests=rests: table[g] if g in table else rests.get(g[:-1], 0.0) + lower(g[1:])
+    return {i: sum(log[min(k + 1, 3)](tuple(x[max(0, k - 2) : k + 1])) for k in range(1, len(x))) for i, x in lines.items()}
+
+
+@pytest.mark.parametrize("hot", [suffix_tree.HOT, 50])
+def test_scores_are_those_of_a_plain_tree(docs, texts, monkeypatch, hot):
+    """Whether sequences are sent to tasks or joined, none is left out."""
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    wanted = plain_scores(texts, held)
+    assert {i: r.score for i, r in by_id(suffix_tree.lm_scores(docs)).items()} == pytest.approx(wanted, rel=1e-9)
+
+
+def test_what_occurs_twice_counts_however_long_the_corpus(spark):
+    """1.6 million training tokens: two occurrences are less than two in a million."""
+    random.seed(12)
+    train = [i for i in range(60) if not held(i)][:18]
+    rows = [(i, " ".join(random.choices("abcdefgh", k=100_000))) for i in train[:16]] + [(i, "quince rhubarb sorrel") for i in train[16:]]
+    one = next(i for i in range(60) if held(i))
+    found = by_id(suffix_tree.lm_scores(spark.createDataFrame([*rows, (one, "quince rhubarb sorrel")], "doc_id bigint, text string")))[one]
+    assert found.train_tokens > 1_500_000 and found.score > found.base_score + 10
+
+
 def test_followers_share_one(spark):
     """A kept context's followers and rest come to one, over the words below it."""
     base = np.log10(np.array([0.4, 0.3, 0.2, 0.1]))
