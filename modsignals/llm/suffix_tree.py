@@ -19,6 +19,7 @@ probability one. An empty table gives an empty result. Other columns are never r
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -100,18 +101,20 @@ class Words:
     places: dict[bytes, int]
     codes: np.ndarray
 
-    def line(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """The places (-1 for a word not at hand) and codes of all texts' tokens in one line, each text between two ends, with breaks."""
-        tokens = [words_of(t) for t in texts]
-        get, line, rare = self.places.get, [], []
-        for words in tokens:
+    def line(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The places (-1 for a word not at hand) and codes of all texts' tokens in one line, each text between two ends, with breaks; the texts' lengths."""
+        get, line, rare, lengths = self.places.get, [], [], []
+        for text in texts:
+            words = words_of(text)
             places = [get(w, -1) for w in words]
             line += [_BREAK, 0, *places, 0]
-            rare += [w for w, place in zip(words, places, strict=True) if place < 0]
+            lengths.append(len(words) + 1)
+            if -1 in places:
+                rare += [w for w, place in zip(words, places, strict=True) if place < 0]
         line = np.array(line, np.int64)
         codes = self.codes[line]
         codes[line == -1] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in rare), np.uint64, len(rare))
-        return line, codes, tokens
+        return line, codes, lengths
 
 
 def longer(codes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +278,8 @@ class Tree:
         places, asked = [], []
         for length in range(1, DEPTH + 2):
             at = np.flatnonzero(whole if length > 1 else before & ~is_frequent)
-            at = at[self.seen.has(codes[at])]
+            # A word that is not at hand has its base log to be asked for, too.
+            at = at[self.seen.has(codes[at]) | ((line[at] == -1) & (length == 1))]
             held = find(self.codes, codes[at]) if length > 1 else np.full(len(at), -1)
             out[at] += values[held]
             places.append(at[held < 0])
@@ -284,16 +288,15 @@ class Tree:
         return out, np.concatenate(places), np.concatenate(asked)
 
 
-def score_texts(docs: DataFrame, words: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base, gain; ``words`` has word, known and base for every word of the texts, ``values`` the
-    code and value of what is not frequent."""
-    shared = words.sparkSession.sparkContext.broadcast(tree)
+def score_texts(docs: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base, gain; ``values`` has code and k, b, g, what it adds to the last three, of what tasks do not know."""
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         base, known = np.append(tree.base, [0.0, 0.0]), np.append(tree.known, [False, False])
         for batch in slices(batches, "text"):
-            line, codes, tokens = tree.words.line(batch.column("text").to_pylist())
+            line, codes, n_tokens = tree.words.line(batch.column("text").to_pylist())
             gain, places, asked = tree.gains(line, codes)
             starts = np.flatnonzero(line == _BREAK)
             scored = np.ones(len(line), bool)  # the break and the end before the text are no tokens
@@ -301,33 +304,25 @@ def score_texts(docs: DataFrame, words: DataFrame, tree: Tree, values: DataFrame
             sums = [np.add.reduceat(x, starts) if len(starts) else np.empty(0) for x in (np.where(scored, known[line], 0), np.where(scored, base[line], 0), gain)]
             order = np.argsort(places, kind="stable")
             ends = np.append(np.searchsorted(places[order], starts), len(order)).astype(np.int32)
-            get = tree.words.places.get
-            rare = [[w for w in words if get(w) is None] for words in tokens]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("held"),
-                    pa.array([len(w) + 1 for w in tokens], pa.int64()),
+                    pa.array(n_tokens, pa.int64()),
                     pa.array(sums[0].astype(np.int64), pa.int64()),
                     pa.array(sums[1], pa.float64()),
                     pa.array(sums[2], pa.float64()),
-                    pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(asked[order].view(np.int64))),
                 ],
-                ["doc_id", "held", "n_tokens", "known", "base", "gain", "rare", "asked"],
+                ["doc_id", "held", "n_tokens", "known", "base", "gain", "asked"],
             )
 
-    shape = "doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, gain double, rare array<string>, asked array<bigint>"
+    shape = "doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, gain double, asked array<bigint>"
     rows = saved(docs.mapInArrow(run, shape).withColumn("row_key", F.monotonically_increasing_id()), "text-scores")
-    others = (
-        rows.select("row_key", F.explode("rare").alias("word"))
-        .join(words.select("word", F.col("known").alias("k"), F.col("base").alias("b")), "word")
-        .groupBy("row_key")
-        .agg(F.sum("k").alias("k"), F.sum("b").alias("b"))
-    )
-    asked = rows.select("row_key", F.explode("asked").alias("code")).join(values.hint("merge"), "code").groupBy("row_key").agg(F.sum("value").alias("g"))
+    asked = rows.select("row_key", F.explode("asked").alias("code")).join(values.hint("merge"), "code").groupBy("row_key")
+    asked = asked.agg(*(F.sum(c).alias(c) for c in ("k", "b", "g")))
     more = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
-    scores = rows.join(others, "row_key", "left").join(asked, "row_key", "left").select("doc_id", "held", "n_tokens", more("known", "k").alias("n_known"), more("base", "b").alias("base"), more("gain", "g").alias("gain"))
+    scores = rows.join(asked, "row_key", "left").select("doc_id", "held", "n_tokens", more("known", "k").alias("n_known"), more("base", "b").alias("base"), more("gain", "g").alias("gain"))
     scores = saved(scores, "scores")
     discard(rows)
     return scores
@@ -360,6 +355,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         levels.append(grow(count_grams(rows, hand, length, seen), below))
         below = levels[-1].filter("NOT context")
         seen = Seen(below) if length < DEPTH else None
+        gc.collect()  # frames that nothing names any more, so that their shuffle files go before the next level writes its own
         discard()
     values = saved(reduce(DataFrame.unionByName, levels).filter("value <> 0").select("code", "n", "value"), "context-values")
     discard(*levels)
@@ -369,9 +365,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     order = np.argsort(hot_codes)
     counts = at_hand["c"].to_numpy(np.int64)
     tree = Tree(hand, at_hand["base"].to_numpy(float), counts > 0, counts >= often, hot_codes[order], hot_values[order], Seen(values))
-    rest = values.filter(F.col("n") < often).select("code", "value")
+    none = F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("b")
+    rest = values.filter(F.col("n") < often).select("code", *none, F.col("value").alias("g"))
+    not_at_hand = words.filter((F.col("c") < enough) & (F.col("word") != ""))
+    rest = rest.unionByName(not_at_hand.select(F.xxhash64("word").alias("code"), F.col("known").alias("k"), F.col("base").alias("b"), F.lit(0.0).alias("g")))
     # One pass's shuffle files go before the next one writes its own.
-    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), words, tree, rest) for k in range(PASSES)]
+    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), tree, rest) for k in range(PASSES)]
     return reduce(DataFrame.unionByName, passes).select(
         "doc_id",
         F.col("held").alias("held_out"),

@@ -318,6 +318,7 @@ def plain_scores(texts, held):
 def test_scores_are_those_of_a_plain_tree(docs, texts, monkeypatch, hot):
     """Whether sequences are sent to tasks or joined, none is left out."""
     monkeypatch.setattr(suffix_tree, "HOT", hot)
+    monkeypatch.setattr(suffix_tree, "AT_HAND", hot)
     wanted = plain_scores(texts, held)
     assert {i: r.score for i, r in by_id(suffix_tree.lm_scores(docs)).items()} == pytest.approx(wanted, rel=1e-9)
 
