@@ -355,8 +355,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         levels.append(grow(count_grams(rows, hand, length, seen), below))
         below = levels[-1].filter("NOT context")
         seen = Seen(below) if length < DEPTH else None
-        gc.collect()  # frames that nothing names any more, so that their shuffle files go before the next level writes its own
-        discard()
+        # What nothing names any more goes with its shuffle files before the next level writes its own.
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()
     values = saved(reduce(DataFrame.unionByName, levels).filter("value <> 0").select("code", "n", "value"), "context-values")
     discard(*levels)
     often = _power(values, "n", HOT)
