@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
-from .common import discard, saved, slices
+from .common import discard, saved, shuffle_files_go, slices
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -156,12 +156,16 @@ def texts_by_node(docs: DataFrame, points: DataFrame, id_col: str, text_col: str
     shingles = points.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / BUCKET_SHINGLES))
     # Both sides grow with the corpus, whatever a small one looks like: they are merged, not broadcast.
-    dealt = shown.join(keys.hint("merge"), same).select("node", "text").repartition(buckets, "node")
+    # Written in between, so that the files of one shuffle are gone before the next has its own.
+    found = saved(shown.join(keys.hint("merge"), same).select("node", "text"), "ngram-found")
+    dealt = found.repartition(buckets, "node")
     # A row that repeats would bring its text again for the same node.
     once = dealt.groupBy("node").agg(F.any_value("text").alias("text"))
     path = scratch_path(spark, "ngram-texts")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    once.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(name)
+    with shuffle_files_go(spark):
+        once.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(name)
+    discard(found)
     return name, spark.table(name)
 
 

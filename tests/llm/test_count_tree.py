@@ -1,6 +1,7 @@
 """The n-gram join against all pairs, and the exactness of its groups, bounds and tree."""
 
 import random
+import time
 from itertools import combinations
 
 import brute
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from modsignals.llm import count_tree as ct
+from modsignals.llm.common import saved
 
 SHAPE = "doc_id bigint, text string"
 
@@ -166,3 +168,16 @@ def test_a_place_gives_one_pair_for_each_component(spark):
     assert ct.between_components(members, none, points, best=False).count() == 80 * 79 // 2
     pairs = [(r.a, r.b) for r in ct.between_components(members, none, points, best=True).collect()]
     assert len(pairs) <= 80 and {k for pair in pairs for k in pair} == set(range(1, 81))
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A saved table leaves no shuffle files of its write, and the session's own setting stays as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, rows = spark.conf.get(name, None), spark.range(1000).repartition(7, "id")
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    had = blocks()
+    assert saved(rows, "shuffle-files").count() == 1000
+    until = time.time() + 20
+    while blocks() > had and time.time() < until:
+        time.sleep(0.1)
+    assert blocks() <= had and spark.conf.get(name, None) == before
