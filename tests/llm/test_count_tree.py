@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 
+from modsignals.llm import components as components_
 from modsignals.llm import count_tree as ct
 from modsignals.llm.common import saved
 
@@ -181,3 +182,13 @@ def test_shuffle_files_go_with_the_write(spark):
     while blocks() > had and time.time() < until:
         time.sleep(0.1)
     assert blocks() <= had and spark.conf.get(name, None) == before
+
+
+@pytest.mark.parametrize("links", [[], [(1, 2), (2, 3), (7, 9), (5, 5)]])
+def test_components_in_few_files(spark, links, monkeypatch):
+    """The tables of a round have as many files as their rows ask for, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(components_, "FILE_LINKS", 2)
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    found = components_.components(df)
+    assert {(r.node, r.component) for r in found.collect()} == ({(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)} if links else set())
+    assert len(found.inputFiles()) <= 3
