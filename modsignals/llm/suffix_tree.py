@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,10 @@ DIVERGENCE, GAIN = 0.01, 10.0
 DISCOUNT = 0.5
 #: At most so many of the most frequent words are at hand in every task.
 AT_HAND = 250_000
-#: Words, and sequences, at which a task hands on what it has counted, and rows that it hands on at once.
-FLUSH, STRETCH, ROWS = 400_000, 500_000, 100_000
+#: Sequences of a range of codes that is added up in one place, about, if all differ.
+RANGE = 400_000
+#: Words, and sequences, at which a task hands on what it has counted.
+FLUSH, STRETCH = 400_000, 1_000_000
 #: Most bits of a bitmap of codes, and the blocks that it is made in, as powers of two.
 MOST_BITS, BLOCK_BITS = 27, 8
 #: Fixed values of the split into training and held-out rows.
@@ -160,20 +163,28 @@ def find(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.where(sorted_codes[at] == codes, at, -1)
 
 
-def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None) -> DataFrame:
+def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None, parts_bits: int) -> DataFrame:
     """context, low, n: sequences of ``length`` and one more words, by the codes of all but the last and all but the first, that
-    training rows hold LEAST times. ``seen`` has the shorter sequences that they hold LEAST times."""
+    training rows hold LEAST times. ``seen`` has the shorter sequences that they hold LEAST times.
+
+    What a task has counted leaves it in one row for each of 2 ** ``parts_bits`` ranges of the sequences' codes, and a range is
+    added up in one place. Nearly all long sequences differ, so a row for each would cost more than its counting.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((words, seen))
+    shift = np.uint64(64 - parts_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = shared.value
         waiting, size = [], 0
 
-        def out() -> list[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             context, low = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            _, first, n = np.unique(_mixed(context, low), return_index=True, return_counts=True)
-            columns = [pa.array(x, pa.int64()) for x in (context[first].view(np.int64), low[first].view(np.int64), n)]
-            return pa.table(columns, ["context", "low", "n"]).to_batches(ROWS)
+            codes, first, n = np.unique(_mixed(context, low), return_index=True, return_counts=True)
+            # The codes are in order, so a range of them is a slice.
+            part, starts = np.unique((codes >> shift).astype(np.int64), return_index=True)
+            ends = pa.array(np.append(starts, len(codes)), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (context[first].view(np.int64), low[first].view(np.int64), n.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *lists], ["part", "context", "low", "n"])
 
         for batch in slices(batches, "text"):
             line, codes, _ = words.line(batch.column("text").to_pylist())
@@ -187,13 +198,22 @@ def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None) -
             waiting.append((codes[both], codes[both + 1]))
             size += len(both)
             if size >= STRETCH:
-                yield from out()
+                yield out()
                 waiting, size = [], 0
-        if waiting:
-            yield from out()
+        if size:
+            yield out()
+
+    counted = docs.filter("NOT held").select("text").mapInArrow(run, "part bigint, context array<bigint>, low array<bigint>, n array<int>")
+    return counted.groupBy("part").applyInArrow(_added_up, "context bigint, low bigint, n bigint")
+
 
-    counted = docs.filter("NOT held").select("text").mapInArrow(run, "context bigint, low bigint, n bigint")
-    return counted.groupBy("context", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+def _added_up(rows: pa.Table) -> pa.Table:
+    """The sequences of one range that occur LEAST times."""
+    context, low, n = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("context", "low", "n"))
+    _, first, at = np.unique(_mixed(context.view(np.uint64), low.view(np.uint64)), return_index=True, return_inverse=True)
+    total = np.bincount(at, n, len(first)).astype(np.int64)
+    often = total >= LEAST
+    return pa.table([pa.array(x, pa.int64()) for x in (context[first[often]], low[first[often]], total[often])], ["context", "low", "n"])
 
 
 # ---- the tree -------------------------------------------------------------------------------------------------------
@@ -350,9 +370,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     hand = Words({w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(at_hand["word"])}, at_hand["code"].to_numpy(np.int64).view(np.uint64))
 
     below = words.filter(F.col("c") >= LEAST).select(F.xxhash64("word").alias("code"), F.col("c").alias("n"), F.col("base").alias("log"))
-    levels, seen = [], None
+    levels, seen, parts_bits = [], None, max(4, (n // RANGE).bit_length())
     for length in range(1, DEPTH + 1):
-        levels.append(grow(count_grams(rows, hand, length, seen), below))
+        # Written in between, so that the files of the counting, the largest shuffle, are gone before the joins have theirs.
+        grams = saved(count_grams(rows, hand, length, seen, parts_bits), "grams")
+        levels.append(grow(grams, below))
+        discard(grams)
         below = levels[-1].filter("NOT context")
         seen = Seen(below) if length < DEPTH else None
         # What nothing names any more goes with its shuffle files before the next level writes its own.

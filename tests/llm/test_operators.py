@@ -602,3 +602,19 @@ def test_anchors_do_not_depend_on_what_surrounds_them(spark):
 def test_no_python_in_native_plans(docs, run):
     plan = nodes_of(run(docs))
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+
+
+def test_counted_sequences_travel_by_range(spark, monkeypatch):
+    """What tasks have counted leaves them in a row for each range of codes, and is added up over tasks and flushes."""
+    monkeypatch.setattr(suffix_tree, "STRETCH", 50)
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(20)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id bigint, held boolean, text string").repartition(3)
+    spelt = sorted({w for t in texts for w in t.split()})
+    codes = spark.createDataFrame([(w,) for w in ["", *spelt]], "word string").selectExpr("word", "xxhash64(word) AS code").collect()
+    code = {r.word: r.code for r in codes}
+    hand = suffix_tree.Words({r.word.encode(): k for k, r in enumerate(codes)}, np.array([r.code for r in codes]).view(np.uint64))
+    counted = suffix_tree.count_grams(docs, hand, 1, None, 4)
+    wanted = Counter((code[a], code[b]) for t in texts for a, b in zip(["", *t.split()], [*t.split(), ""], strict=True))
+    assert {(r.context, r.low): r.n for r in counted.collect()} == {pair: n for pair, n in wanted.items() if n >= suffix_tree.LEAST}
+    assert "FlatMapGroupsInArrow" in counted._jdf.queryExecution().toString()
