@@ -20,7 +20,6 @@ probability one. An empty table gives an empty result. Other columns are never r
 from __future__ import annotations
 
 import gc
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -45,8 +44,10 @@ DISCOUNT = 0.5
 AT_HAND = 250_000
 #: Sequences of a range of codes that is added up in one place, about, if all differ.
 RANGE = 400_000
-#: Words, and sequences, at which a task hands on what it has counted.
-FLUSH, STRETCH = 400_000, 1_000_000
+#: Sequences, or words of single stretches of texts, at which a task hands on what it has counted.
+STRETCH = 1_000_000
+#: Values of the part of a table that one task keeps for a join, about.
+HASHED = 1_000_000
 #: Most bits of a bitmap of codes, and the blocks that it is made in, as powers of two.
 MOST_BITS, BLOCK_BITS = 27, 8
 #: Fixed values of the split into training and held-out rows.
@@ -60,9 +61,27 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def words_of(text: str) -> list[bytes]:
+    """The words of one text; ``split`` gives those of many."""
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of all texts, each text's words by their places among these, and how many words each text has."""
+    texts = texts.cast(pa.string())
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return pa.array([], pa.string()), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    starts = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    # Of bytes only A-Z change, so the texts stay where they are.
+    lower = data.slice(starts[0], starts[-1] - starts[0]).to_pybytes().lower()
+    words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(starts - starts[0]), pa.py_buffer(lower)))
+    each = words.flatten()
+    there = pc.binary_length(each).to_numpy() > 0  # space at the ends of a text gives empty ones
+    encoded = each.dictionary_encode()
+    lengths = np.diff(np.append(0, np.cumsum(there))[words.offsets.to_numpy()])
+    return encoded.dictionary, encoded.indices.to_numpy()[there], lengths
+
+
 # ---- counting -------------------------------------------------------------------------------------------------------
 
 
@@ -70,22 +89,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word, c: occurrences in training rows, for every word of all rows. The empty word stands for the end of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {False: Counter(), True: Counter()}
+        waiting, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            words = list(counts[False].keys() | counts[True].keys())
-            train = pa.array([counts[False][w] for w in words], pa.int64())
-            for c in counts.values():
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), train], ["word", "c"])
-
-        for batch in batches:
-            for held, text in zip(batch.column("held").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts[held].update(words_of(text))
-                counts[held][b""] += 1
-                if len(counts[held]) > FLUSH:
-                    yield out()
-        yield out()
+        def out() -> Iterator[pa.RecordBatch]:
+            return pa.concat_tables(waiting).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).to_batches()
+
+        for batch in slices(batches, "text"):
+            words, at, lengths = split(batch.column("text"))
+            train = ~batch.column("held").to_numpy(zero_copy_only=False)
+            counts = np.bincount(at[np.repeat(train, lengths)], minlength=len(words))
+            ends = pa.array([""], pa.string()), pa.array([train.sum()], pa.int64())
+            waiting += [pa.table([words, pa.array(counts, pa.int64())], ["word", "c"]), pa.table(ends, ["word", "c"])]
+            size += len(words) + 1
+            if size > STRETCH:
+                yield from out()
+                waiting, size = [], 0
+        if waiting:
+            yield from out()
 
     return docs.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -104,20 +124,24 @@ class Words:
     places: dict[bytes, int]
     codes: np.ndarray
 
-    def line(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    def line(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places (-1 for a word not at hand) and codes of all texts' tokens in one line, each text between two ends, with breaks; the texts' lengths."""
-        get, line, rare, lengths = self.places.get, [], [], []
-        for text in texts:
-            words = words_of(text)
-            places = [get(w, -1) for w in words]
-            line += [_BREAK, 0, *places, 0]
-            lengths.append(len(words) + 1)
-            if -1 in places:
-                rare += [w for w, place in zip(words, places, strict=True) if place < 0]
-        line = np.array(line, np.int64)
-        codes = self.codes[line]
-        codes[line == -1] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in rare), np.uint64, len(rare))
-        return line, codes, lengths
+        words, at, lengths = split(texts)
+        spelt = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        get = self.places.get
+        places = np.fromiter((get(w, -1) for w in spelt), np.int64, len(spelt))
+        of_words = self.codes[places]
+        rare = spelt[places < 0]
+        of_words[places < 0] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in rare), np.uint64, len(rare))
+        ends = np.cumsum(lengths + 3) - 1
+        starts = ends - lengths - 2
+        line = np.zeros(int((lengths + 3).sum()), np.int64)
+        codes = np.full(len(line), self.codes[0])
+        is_word = np.ones(len(line), bool)
+        is_word[starts] = is_word[starts + 1] = is_word[ends] = False
+        line[starts] = _BREAK
+        line[is_word], codes[is_word] = places[at], of_words[at]
+        return line, codes, lengths + 1
 
 
 def longer(codes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,21 +170,45 @@ class Seen:
 
         dealt = table.select("code").repartition(F.shiftrightunsigned("code", 64 - BLOCK_BITS))
         self.bits = np.zeros(1 << (power - 6), np.uint64)
-        for row in dealt.mapInArrow(run, "block bigint, bits binary").toLocalIterator():
+        # Written first, so that the codes' shuffle files are gone before anything else is.
+        blocks = saved(dealt.mapInArrow(run, "block bigint, bits binary"), "bitmap")
+        for row in blocks.toLocalIterator():
             self.bits[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["bits"], np.uint64)
+        discard(blocks)
 
     def has(self, codes: np.ndarray) -> np.ndarray:
         at = codes >> np.uint64(64 - self.power)
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def find(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The place of each code in the table, or -1."""
-    if not len(sorted_codes):
-        return np.full(len(codes), -1, np.int64)
-    at = np.searchsorted(sorted_codes, codes)
-    at[at == len(sorted_codes)] = 0
-    return np.where(sorted_codes[at] == codes, at, -1)
+class Places:
+    """The places of codes in a sorted table. Codes are hashes, so nearly each first few bits of one lead to a place or two."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.bits = codes, max(1, len(codes).bit_length())
+        heads = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.starts = np.append(np.searchsorted(codes, heads), len(codes)).astype(np.int32)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code in the table, or -1."""
+        head = (codes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, ends = self.starts[head], self.starts[head + 1]
+        out = np.full(len(codes), -1, np.int64)
+        asked = np.flatnonzero(at < ends)
+        while len(asked):
+            hit = self.codes[at[asked]] == codes[asked]
+            out[asked[hit]] = at[asked[hit]]
+            asked = asked[~hit]
+            at[asked] += 1
+            asked = asked[at[asked] < ends[asked]]
+        return out
+
+
+def in_runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes in order, where each of these was, and where equal ones begin."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    return codes, order, np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
 
 
 def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None, parts_bits: int) -> DataFrame:
@@ -179,15 +227,16 @@ def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None, p
 
         def out() -> pa.RecordBatch:
             context, low = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            codes, first, n = np.unique(_mixed(context, low), return_index=True, return_counts=True)
+            codes, order, starts = in_runs(_mixed(context, low))
+            codes, first, n = codes[starts], order[starts], np.diff(starts, append=len(codes))
             # The codes are in order, so a range of them is a slice.
             part, starts = np.unique((codes >> shift).astype(np.int64), return_index=True)
-            ends = pa.array(np.append(starts, len(codes)), pa.int32())
-            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (context[first].view(np.int64), low[first].view(np.int64), n.astype(np.int32)))
+            ends = np.append(starts, len(codes))
+            lists = (_bytes(x, ends) for x in (context[first], low[first], n.astype(np.int32)))
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *lists], ["part", "context", "low", "n"])
 
         for batch in slices(batches, "text"):
-            line, codes, _ = words.line(batch.column("text").to_pylist())
+            line, codes, _ = words.line(batch.column("text"))
             whole = line != _BREAK
             for _ in range(length - 1):
                 codes, whole = longer(codes, whole)
@@ -203,17 +252,23 @@ def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None, p
         if size:
             yield out()
 
-    counted = docs.filter("NOT held").select("text").mapInArrow(run, "part bigint, context array<bigint>, low array<bigint>, n array<int>")
+    counted = docs.filter("NOT held").select("text").mapInArrow(run, "part bigint, context binary, low binary, n binary")
     return counted.groupBy("part").applyInArrow(_added_up, "context bigint, low bigint, n bigint")
 
 
+def _bytes(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The numbers from each end to the next as bytes, which Spark moves whole, where it would move a list's elements one by one."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * numbers.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
 def _added_up(rows: pa.Table) -> pa.Table:
     """The sequences of one range that occur LEAST times."""
-    context, low, n = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("context", "low", "n"))
-    _, first, at = np.unique(_mixed(context.view(np.uint64), low.view(np.uint64)), return_index=True, return_inverse=True)
-    total = np.bincount(at, n, len(first)).astype(np.int64)
+    context, low, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("context", np.uint64), ("low", np.uint64), ("n", np.int32)))
+    _, order, starts = in_runs(_mixed(context, low))
+    total = np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
     often = total >= LEAST
-    return pa.table([pa.array(x, pa.int64()) for x in (context[first[often]], low[first[often]], total[often])], ["context", "low", "n"])
+    first = order[starts[often]]
+    return pa.table([pa.array(x.view(np.int64)) for x in (context[first], low[first], total[often])], ["context", "low", "n"])
 
 
 # ---- the tree -------------------------------------------------------------------------------------------------------
@@ -235,9 +290,19 @@ def _level(context: np.ndarray, n: np.ndarray, total: np.ndarray, lower: np.ndar
     return kept, rest, np.log10((n - DISCOUNT) / total[context])
 
 
-def grow(grams: DataFrame, below: DataFrame) -> DataFrame:
+def meet(rows: DataFrame, values: DataFrame, on: str, count: int, how: str = "inner") -> DataFrame:
+    """Joined by hash tables of ``count`` values' parts, none of which has many more than HASHED; both sides are dealt out, neither is put in order."""
+    parts = count // HASHED + 1
+    if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows, values = rows.repartition(parts, on), values.repartition(parts, on)
+    return rows.join(values.hint("shuffle_hash"), on, how)
+
+
+def grow(grams: DataFrame, below: DataFrame, last: bool) -> DataFrame:
     """code, n, log, value, context of one level; ``below`` has code, n, log of the sequences that are one word shorter.
 
+    Of the last level, which has none above it, only rows with a value are given, without logs.
+
     A sequence's row has the log of its last word after the others, and what that is more than a word without a row gets there.
     A kept context's row has what a word without a row gets, over its log in the shorter context.
     """
@@ -252,6 +317,10 @@ def grow(grams: DataFrame, below: DataFrame) -> DataFrame:
         in_kept = kept[at]
 
         def out(codes, n, log, value, is_context) -> pa.RecordBatch:
+            if last:
+                has = value != 0
+                codes, n, value = codes[has], n[has], value[has]
+                log = np.zeros(len(n))
             columns = [pa.array(codes, pa.int64()), pa.array(n, pa.int64()), pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(np.full(len(n), is_context))]
             return pa.RecordBatch.from_arrays(columns, ["code", "n", "log", "value", "context"])
 
@@ -261,8 +330,9 @@ def grow(grams: DataFrame, below: DataFrame) -> DataFrame:
 
     of_low = below.select(F.col("code").alias("low"), F.col("log").alias("lower"))
     of_context = below.select(F.col("code").alias("context"), F.col("n").alias("total"))
-    # Sequences grow with the corpus: they are merged, not broadcast.
-    met = grams.join(of_low.hint("merge"), "low").join(of_context.hint("merge"), "context").repartition("context")
+    # Sequences grow with the corpus: they are dealt out, not broadcast.
+    count = below.count()
+    met = meet(meet(grams, of_low, "low", count), of_context, "context", count).repartition("context")
     shape = "code bigint, n bigint, log double, value double, context boolean"
     return saved(met.select("context", "low", "n", "total", "lower").mapInArrow(run, shape), "contexts")
 
@@ -284,7 +354,8 @@ class Tree:
 
     def __post_init__(self):
         values = np.append(self.values, 0.0)
-        self.at_place = np.append(values[find(self.codes, self.words.codes)], [0.0, 0.0])
+        self.held = Places(self.codes)
+        self.at_place = np.append(values[self.held.find(self.words.codes)], [0.0, 0.0])
 
     def gains(self, line: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the frequent codes give at each place of the line, and the codes, with their places, that a table has to be asked for."""
@@ -300,7 +371,7 @@ class Tree:
             at = np.flatnonzero(whole if length > 1 else before & ~is_frequent)
             # A word that is not at hand has its base log to be asked for, too.
             at = at[self.seen.has(codes[at]) | ((line[at] == -1) & (length == 1))]
-            held = find(self.codes, codes[at]) if length > 1 else np.full(len(at), -1)
+            held = self.held.find(codes[at]) if length > 1 else np.full(len(at), -1)
             out[at] += values[held]
             places.append(at[held < 0])
             asked.append(codes[at[held < 0]])
@@ -308,15 +379,15 @@ class Tree:
         return out, np.concatenate(places), np.concatenate(asked)
 
 
-def score_texts(docs: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base, gain; ``values`` has code and k, b, g, what it adds to the last three, of what tasks do not know."""
+def score_texts(docs: DataFrame, tree: Tree, values: DataFrame, count: int) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base, gain; ``values`` has, ``count`` times, code and k, b, g, what it adds to the last three, of what tasks do not know."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         base, known = np.append(tree.base, [0.0, 0.0]), np.append(tree.known, [False, False])
         for batch in slices(batches, "text"):
-            line, codes, n_tokens = tree.words.line(batch.column("text").to_pylist())
+            line, codes, n_tokens = tree.words.line(batch.column("text"))
             gain, places, asked = tree.gains(line, codes)
             starts = np.flatnonzero(line == _BREAK)
             scored = np.ones(len(line), bool)  # the break and the end before the text are no tokens
@@ -338,21 +409,24 @@ def score_texts(docs: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
             )
 
     shape = "doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, gain double, asked array<bigint>"
-    rows = saved(docs.mapInArrow(run, shape).withColumn("row_key", F.monotonically_increasing_id()), "text-scores")
-    asked = rows.select("row_key", F.explode("asked").alias("code")).join(values.hint("merge"), "code").groupBy("row_key")
-    asked = asked.agg(*(F.sum(c).alias(c) for c in ("k", "b", "g")))
+    rows = docs.mapInArrow(run, shape).withColumn("row_key", F.monotonically_increasing_id())
+    # A text's own sums are the first of its rows, which meets no value, so that texts are not written or gone through again.
+    own = F.struct("doc_id", "held", "n_tokens", "known", "base", "gain")
+    asked = rows.select("row_key", own.alias("own"), F.posexplode(F.concat(F.array(F.xxhash64("row_key")), "asked")).alias("place", "code"))
+    asked = asked.select("row_key", "code", F.when(F.col("place") == 0, F.col("own")).alias("own"))
+    met = meet(asked, values, "code", count, "left").groupBy("row_key")
+    of_own = (F.max(f"own.{c}").alias(c) for c in ("doc_id", "held", "n_tokens", "known", "base", "gain"))
+    met = met.agg(*of_own, *(F.sum(F.when(F.col("own").isNull(), F.col(c))).alias(c) for c in ("k", "b", "g")))
     more = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
-    scores = rows.join(asked, "row_key", "left").select("doc_id", "held", "n_tokens", more("known", "k").alias("n_known"), more("base", "b").alias("base"), more("gain", "g").alias("gain"))
-    scores = saved(scores, "scores")
-    discard(rows)
-    return scores
+    scores = met.select("doc_id", "held", "n_tokens", more("known", "k").alias("n_known"), more("base", "b").alias("base"), more("gain", "g").alias("gain"))
+    return saved(scores, "scores")
 
 
 def _power(rows: DataFrame, column: str, most: int) -> int:
     """The least power of two that at most ``most`` rows reach, so that these are a filter of the table and nothing is put in order."""
-    powers = [2**k for k in range(60)]
-    many = rows.agg(*(F.count_if(F.col(column) >= power) for power in powers)).first()
-    return next(power for power, n in zip(powers, many, strict=True) if n <= most)
+    digits = F.when(F.col(column) > 0, F.length(F.bin(column))).otherwise(0)
+    many = rows.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return next(2**k for k in range(64) if sum(r["n"] for r in many if r["digits"] > k) <= most)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,15 +448,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     for length in range(1, DEPTH + 1):
         # Written in between, so that the files of the counting, the largest shuffle, are gone before the joins have theirs.
         grams = saved(count_grams(rows, hand, length, seen, parts_bits), "grams")
-        levels.append(grow(grams, below))
+        levels.append(grow(grams, below, length == DEPTH))
         discard(grams)
         below = levels[-1].filter("NOT context")
         seen = Seen(below) if length < DEPTH else None
         # What nothing names any more goes with its shuffle files before the next level writes its own.
         gc.collect()
         docs.sparkSession.sparkContext._jvm.System.gc()
-    values = saved(reduce(DataFrame.unionByName, levels).filter("value <> 0").select("code", "n", "value"), "context-values")
-    discard(*levels)
+    values = reduce(DataFrame.unionByName, levels).filter("value <> 0").select("code", "n", "value")
     often = _power(values, "n", HOT)
     hot = values.filter(F.col("n") >= often).groupBy("code").agg(F.sum("value").alias("value")).toArrow()
     hot_codes, hot_values = hot["code"].to_numpy().view(np.uint64), hot["value"].to_numpy()
@@ -393,8 +466,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rest = values.filter(F.col("n") < often).select("code", *none, F.col("value").alias("g"))
     not_at_hand = words.filter((F.col("c") < enough) & (F.col("word") != ""))
     rest = rest.unionByName(not_at_hand.select(F.xxhash64("word").alias("code"), F.col("known").alias("k"), F.col("base").alias("b"), F.lit(0.0).alias("g")))
+    count = rest.count()
     # One pass's shuffle files go before the next one writes its own.
-    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), tree, rest) for k in range(PASSES)]
+    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), tree, rest, count) for k in range(PASSES)]
     return reduce(DataFrame.unionByName, passes).select(
         "doc_id",
         F.col("held").alias("held_out"),

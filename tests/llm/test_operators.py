@@ -7,6 +7,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -618,3 +619,39 @@ def test_counted_sequences_travel_by_range(spark, monkeypatch):
     wanted = Counter((code[a], code[b]) for t in texts for a, b in zip(["", *t.split()], [*t.split(), ""], strict=True))
     assert {(r.context, r.low): r.n for r in counted.collect()} == {pair: n for pair, n in wanted.items() if n >= suffix_tree.LEAST}
     assert "FlatMapGroupsInArrow" in counted._jdf.queryExecution().toString()
+
+
+def test_split_gives_the_words_of_each_text():
+    """Of a part of a column, too; white space at the ends and between gives no words, and only A-Z change."""
+    texts = ["out of the slice", "", "  The the\tTHE ", " \n\x0b\x0c\r", "ÄB\u00a0c \u2003d\x1ce\x85f", "\x00 x", "the"]
+    for part in (pa.array(texts), pa.array(texts).slice(1), pa.array(texts).slice(1, 1), pa.array(texts).slice(0, 0), pa.array([""])):
+        words, at, lengths = suffix_tree.split(part)
+        wanted = [suffix_tree.words_of(t) for t in part.to_pylist()]
+        assert [words[int(k)].as_py().encode() for k in at] == [w for line in wanted for w in line]
+        assert list(lengths) == [len(line) for line in wanted]
+
+
+def test_codes_are_found_by_their_first_bits():
+    """Codes with the same first bits, the least and the largest, absent ones, and an empty table."""
+    draw = random.Random(3)
+    codes = np.unique(np.array([0, 1, 2, 1 << 63, (1 << 63) + 1, (1 << 64) - 1, *(draw.getrandbits(64) for _ in range(500))], np.uint64))
+    asked = np.concatenate([codes[::-1], codes + np.uint64(1)])
+    at = {int(c): k for k, c in enumerate(codes)}
+    assert list(suffix_tree.Places(codes).find(asked)) == [at.get(int(c), -1) for c in asked]
+    assert list(suffix_tree.Places(codes[:0]).find(asked)) == [-1] * len(asked)
+
+
+def test_scoring_writes_no_lists_of_sequences(docs, monkeypatch):
+    """Sequences that are asked for go straight to their join, which puts neither side in order."""
+    written = {}
+
+    def noted(df, name):
+        written[name] = df._jdf.queryExecution().toString()
+        return saved(df, name)
+
+    saved = suffix_tree.saved
+    monkeypatch.setattr(suffix_tree, "saved", noted)
+    suffix_tree.lm_scores(docs)
+    assert "scores" in written and not {"text-scores", "context-values"} & written.keys()
+    for name in ("scores", "contexts"):
+        assert "ShuffledHashJoin" in written[name] and "SortMergeJoin" not in written[name]
