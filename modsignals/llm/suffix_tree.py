@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -379,9 +380,8 @@ class Tree:
         return out, np.concatenate(places), np.concatenate(asked)
 
 
-def score_texts(docs: DataFrame, tree: Tree, values: DataFrame, count: int) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base, gain; ``values`` has, ``count`` times, code and k, b, g, what it adds to the last three, of what tasks do not know."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def score_texts(docs: DataFrame, shared: Broadcast, values: DataFrame, count: int) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base, gain; ``values`` has, ``count`` times, code and k, b, g, what it adds to the last three, of what tasks do not know; ``shared`` is the tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
@@ -467,8 +467,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     not_at_hand = words.filter((F.col("c") < enough) & (F.col("word") != ""))
     rest = rest.unionByName(not_at_hand.select(F.xxhash64("word").alias("code"), F.col("known").alias("k"), F.col("base").alias("b"), F.lit(0.0).alias("g")))
     count = rest.count()
-    # One pass's shuffle files go before the next one writes its own.
-    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), tree, rest, count) for k in range(PASSES)]
+    # Sent once for all passes, as each executor writes a copy. One pass's shuffle files go before the next one writes its own.
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), shared, rest, count) for k in range(PASSES)]
+    shared.destroy()
     return reduce(DataFrame.unionByName, passes).select(
         "doc_id",
         F.col("held").alias("held_out"),
