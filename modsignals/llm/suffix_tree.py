@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +45,11 @@ DISCOUNT = 0.5
 AT_HAND = 250_000
 #: Sequences of a range of codes that is added up in one place, about, if all differ.
 RANGE = 400_000
-#: Sequences, or words of single stretches of texts, at which a task hands on what it has counted.
+#: Sequences, or words of single stretches of texts, at which a task hands on what it has counted, or what it asks for.
 STRETCH = 1_000_000
-#: Values of the part of a table that one task keeps for a join, about.
+#: Tokens of a pass over the texts for a range of codes that is looked up in one place, about.
+LOOKED_UP = 1_000_000
+#: Values of the part of a table that one task keeps for a join, or of a range that is looked up, about.
 HASHED = 1_000_000
 #: Most bits of a bitmap of codes, and the blocks that it is made in, as powers of two.
 MOST_BITS, BLOCK_BITS = 27, 8
@@ -153,29 +155,42 @@ def longer(codes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, there
 
 
+def _bitmap_power(count: int) -> int:
+    """How many bits a bitmap of so many codes has, as a power of two."""
+    return min(MOST_BITS, max(16, (16 * count).bit_length()))
+
+
 class Seen:
     """A bitmap of codes. It has every code that it was made of, and a small share of others; it only spares rows the way to a join."""
 
-    def __init__(self, table: DataFrame):
-        self.power = min(MOST_BITS, max(16, (16 * table.count()).bit_length()))
-        power, block = self.power, 1 << (self.power - 6 - BLOCK_BITS)
+    def __init__(self, power: int):
+        self.power, self.bits = power, np.zeros(1 << (power - 6), np.uint64)
+
+    def add(self, codes: np.ndarray) -> None:
+        at = codes >> np.uint64(64 - self.power)
+        np.bitwise_or.at(self.bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Seen:
+        """Of the codes of a table, which are dealt out by range."""
+        seen = cls(_bitmap_power(table.count()))
+        power, block = seen.power, 1 << (seen.power - 6 - BLOCK_BITS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << (power - 6), np.uint64)
+            own = cls(power)
             for batch in batches:
-                at = batch.column("code").to_numpy().view(np.uint64) >> np.uint64(64 - power)
-                np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-            blocks = bits.reshape(-1, block)
+                own.add(batch.column("code").to_numpy().view(np.uint64))
+            blocks = own.bits.reshape(-1, block)
             filled = np.flatnonzero(blocks.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([blocks[k].tobytes() for k in filled], pa.binary())], ["block", "bits"])
 
         dealt = table.select("code").repartition(F.shiftrightunsigned("code", 64 - BLOCK_BITS))
-        self.bits = np.zeros(1 << (power - 6), np.uint64)
         # Written first, so that the codes' shuffle files are gone before anything else is.
         blocks = saved(dealt.mapInArrow(run, "block bigint, bits binary"), "bitmap")
         for row in blocks.toLocalIterator():
-            self.bits[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["bits"], np.uint64)
+            seen.bits[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["bits"], np.uint64)
         discard(blocks)
+        return seen
 
     def has(self, codes: np.ndarray) -> np.ndarray:
         at = codes >> np.uint64(64 - self.power)
@@ -229,12 +244,9 @@ def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None, p
         def out() -> pa.RecordBatch:
             context, low = (np.concatenate(x) for x in zip(*waiting, strict=True))
             codes, order, starts = in_runs(_mixed(context, low))
-            codes, first, n = codes[starts], order[starts], np.diff(starts, append=len(codes))
+            first, n = order[starts], np.diff(starts, append=len(codes))
             # The codes are in order, so a range of them is a slice.
-            part, starts = np.unique((codes >> shift).astype(np.int64), return_index=True)
-            ends = np.append(starts, len(codes))
-            lists = (_bytes(x, ends) for x in (context[first], low[first], n.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *lists], ["part", "context", "low", "n"])
+            return pa.RecordBatch.from_arrays(_ranges(codes[starts] >> shift, context[first], low[first], n.astype(np.int32)), ["part", "context", "low", "n"])
 
         for batch in slices(batches, "text"):
             line, codes, _ = words.line(batch.column("text"))
@@ -257,6 +269,20 @@ def count_grams(docs: DataFrame, words: Words, length: int, seen: Seen | None, p
     return counted.groupBy("part").applyInArrow(_added_up, "context bigint, low bigint, n bigint")
 
 
+def _ranges(parts: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """The different parts, which are in order, and each column's numbers of a part as bytes."""
+    starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])[: len(parts)])
+    ends = np.append(starts, len(parts))
+    return [pa.array(parts[starts].astype(np.int64)), *(_bytes(x, ends) for x in columns)]
+
+
+def _by_part(codes: np.ndarray, parts_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the codes' ranges, and the ranges in this order; few bits are put in order faster than whole codes."""
+    parts = (codes >> np.uint64(64 - parts_bits)).astype(np.uint16 if parts_bits <= 16 else np.uint64)
+    order = np.argsort(parts, kind="stable")
+    return order, parts[order]
+
+
 def _bytes(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The numbers from each end to the next as bytes, which Spark moves whole, where it would move a list's elements one by one."""
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * numbers.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
@@ -380,53 +406,137 @@ class Tree:
         return out, np.concatenate(places), np.concatenate(asked)
 
 
-def score_texts(docs: DataFrame, shared: Broadcast, values: DataFrame, count: int) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base, gain; ``values`` has, ``count`` times, code and k, b, g, what it adds to the last three, of what tasks do not know; ``shared`` is the tree."""
+def by_range(values: DataFrame, parts_bits: int, power: int) -> DataFrame:
+    """part, codes, k, b, g, bits: code and k, b, g of the values as bytes, in one row for each of 2 ** ``parts_bits`` ranges of codes,
+    in order and summed by code, with the range's piece of a bitmap of 2 ** ``power`` bits of the codes that have a g."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(waiting)
+            order, parts = _by_part(rows.column("code").to_numpy().view(np.uint64), parts_bits)
+            columns = _ranges(parts, *(rows.column(c).to_numpy()[order] for c in ("code", "k", "b", "g")))
+            return pa.RecordBatch.from_arrays(columns, ["part", "codes", "k", "b", "g"])
+
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= STRETCH:
+                yield out()
+                waiting, size = [], 0
+        if size:
+            yield out()
+
+    def in_one(rows: pa.Table) -> pa.Table:
+        codes, order, starts = in_runs(np.concatenate(_numbers(rows.column("codes"), np.uint64)))
+        codes, sums = codes[starts], [np.add.reduceat(np.concatenate(_numbers(rows.column(c), float))[order], starts) for c in ("k", "b", "g")]
+        own = Seen(power - parts_bits)
+        own.add(codes[sums[2] != 0] << np.uint64(parts_bits))
+        lists = [pa.array([x.tobytes()], pa.binary()) for x in (codes, *sums, own.bits)]
+        return pa.table([rows.column("part").slice(0, 1), *lists], ["part", "codes", "k", "b", "g", "bits"])
+
+    shape = "part bigint, codes binary, k binary, b binary, g binary"
+    return values.mapInArrow(run, shape).groupBy("part").applyInArrow(in_one, shape + ", bits binary")
+
+
+def _numbers(lists: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in lists]
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stretches of texts get from ranges: a row for each stretch and range, with the texts that got something and their sums."""
+    for batch in batches:
+        for asked, *values in zip(*(batch.column(c) for c in ("asked", "codes", "k", "b", "g")), strict=True):
+            asked, texts, found = asked.values, [], []
+            held, *more = (np.frombuffer(x.as_buffer() or b"", kind) for x, kind in zip(values, (np.uint64, float, float, float), strict=True))  # null if the range has no values
+            places = Places(held)
+            for at, codes in zip(_numbers(asked.field("at"), np.int32), _numbers(asked.field("codes"), np.uint64), strict=True):
+                rows = places.find(codes)
+                at, rows = at[rows >= 0], rows[rows >= 0]
+                got = np.flatnonzero(np.bincount(at))
+                texts.append(got.astype(np.int32).tobytes())
+                found.append(np.stack([np.bincount(at, x[rows])[got] for x in more]).tobytes())
+            columns = [asked.field("stretch"), asked.field("own"), pa.array(texts, pa.binary()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["stretch", "own", "at", "found"])
+
+
+def _added_to_own(rows: pa.Table) -> pa.Table:
+    """The texts of one stretch, with what ranges gave them added to their own sums."""
+    own = pa.ipc.open_stream(rows.column("own").drop_null()[0].as_buffer()).read_all()
+    sums = np.stack([own.column(c).to_numpy().astype(float) for c in ("n_known", "base", "gain")])
+    for at, found in zip(_numbers(rows.column("at"), np.int32), _numbers(rows.column("found"), float), strict=True):
+        sums[:, at] += found.reshape(3, -1)
+    columns = [*own.columns[:3], pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+    return pa.table(columns, own.column_names)
+
+
+def score_texts(docs: DataFrame, shared: Broadcast, values: DataFrame, parts_bits: int) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base, gain; ``values`` has, by range, codes and k, b, g, what they add to the last three, of what tasks do not know; ``shared`` is the tree.
+
+    What a stretch of texts asks for leaves its task in one row for each range of codes, as what is counted does, and meets the
+    values of that range, in one row, by a join; what it gets goes back to the stretch, whose first row has the texts' own sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         base, known = np.append(tree.base, [0.0, 0.0]), np.append(tree.known, [False, False])
+        stretch, waiting, size, texts = TaskContext.get().partitionId() << 33, [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            own, at, codes = zip(*waiting, strict=True)
+            own, at, codes = pa.Table.from_batches(own), np.concatenate(at), np.concatenate(codes)
+            order, parts = _by_part(codes, parts_bits)
+            part, at, codes = _ranges(parts, at[order], codes[order])
+            with pa.BufferOutputStream() as sink:
+                with pa.ipc.new_stream(sink, own.schema) as stream:
+                    stream.write_table(own)
+                sent = sink.getvalue().to_pybytes()
+            # The texts' own sums are a row that asks for nothing; its part only deals it out.
+            nothing = pa.array([b""], pa.binary())
+            columns = [
+                pa.concat_arrays([pa.array([stretch % (1 << parts_bits)], pa.int64()), part]),
+                pa.array(np.full(len(part) + 1, stretch)),
+                pa.concat_arrays([nothing, at]),
+                pa.concat_arrays([nothing, codes]),
+                pa.concat_arrays([pa.array([sent], pa.binary()), pa.nulls(len(part), pa.binary())]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["part", "stretch", "at", "codes", "own"])
+
         for batch in slices(batches, "text"):
             line, codes, n_tokens = tree.words.line(batch.column("text"))
             gain, places, asked = tree.gains(line, codes)
-            starts = np.flatnonzero(line == _BREAK)
-            scored = np.ones(len(line), bool)  # the break and the end before the text are no tokens
-            scored[starts] = scored[starts + 1] = False
+            breaks = line == _BREAK
+            starts = np.flatnonzero(breaks)
+            scored = ~breaks  # the break and the end before the text are no tokens
+            scored[starts + 1] = False
             sums = [np.add.reduceat(x, starts) if len(starts) else np.empty(0) for x in (np.where(scored, known[line], 0), np.where(scored, base[line], 0), gain)]
-            order = np.argsort(places, kind="stable")
-            ends = np.append(np.searchsorted(places[order], starts), len(order)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held"),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(sums[0].astype(np.int64), pa.int64()),
-                    pa.array(sums[1], pa.float64()),
-                    pa.array(sums[2], pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(asked[order].view(np.int64))),
-                ],
-                ["doc_id", "held", "n_tokens", "known", "base", "gain", "asked"],
-            )
-
-    shape = "doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, gain double, asked array<bigint>"
-    rows = docs.mapInArrow(run, shape).withColumn("row_key", F.monotonically_increasing_id())
-    # A text's own sums are the first of its rows, which meets no value, so that texts are not written or gone through again.
-    own = F.struct("doc_id", "held", "n_tokens", "known", "base", "gain")
-    asked = rows.select("row_key", own.alias("own"), F.posexplode(F.concat(F.array(F.xxhash64("row_key")), "asked")).alias("place", "code"))
-    asked = asked.select("row_key", "code", F.when(F.col("place") == 0, F.col("own")).alias("own"))
-    met = meet(asked, values, "code", count, "left").groupBy("row_key")
-    of_own = (F.max(f"own.{c}").alias(c) for c in ("doc_id", "held", "n_tokens", "known", "base", "gain"))
-    met = met.agg(*of_own, *(F.sum(F.when(F.col("own").isNull(), F.col(c))).alias(c) for c in ("k", "b", "g")))
-    more = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
-    scores = met.select("doc_id", "held", "n_tokens", more("known", "k").alias("n_known"), more("base", "b").alias("base"), more("gain", "g").alias("gain"))
-    return saved(scores, "scores")
-
-
-def _power(rows: DataFrame, column: str, most: int) -> int:
-    """The least power of two that at most ``most`` rows reach, so that these are a filter of the table and nothing is put in order."""
+            columns = [batch.column("doc_id"), batch.column("held"), pa.array(n_tokens, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            own = pa.RecordBatch.from_arrays(columns, ["doc_id", "held", "n_tokens", "n_known", "base", "gain"])
+            waiting.append((own, (np.cumsum(breaks)[places] + (texts - 1)).astype(np.int32), asked))
+            size, texts = size + len(asked), texts + len(starts)
+            if max(size, texts) >= STRETCH:
+                yield out()
+                stretch, waiting, size, texts = stretch + 1, [], 0, 0
+        if texts:
+            yield out()
+
+    asked = docs.mapInArrow(run, "part bigint, stretch bigint, at binary, codes binary, own binary")
+    # Ranges are dealt out one by one, both sides alike, so that a task holds few of them.
+    asked = asked.repartition(1 << parts_bits, "part").groupBy("part").agg(F.collect_list(F.struct("stretch", "at", "codes", "own")).alias("asked"))
+    held = values.select("part", "codes", "k", "b", "g").repartition(1 << parts_bits, "part")
+    met = asked.join(held.hint("shuffle_hash"), "part", "left").select("asked", "codes", "k", "b", "g")
+    found = met.mapInArrow(_looked_up, "stretch bigint, own binary, at binary, found binary")
+    return saved(found.groupBy("stretch").applyInArrow(_added_to_own, "doc_id bigint, held boolean, n_tokens bigint, n_known bigint, base double, gain double"), "scores")
+
+
+def _power(rows: DataFrame, column: str, most: int) -> tuple[int, int, int]:
+    """The least power of two that at most ``most`` rows reach, so that these are a filter of the table and nothing is put in order; how many rows do, and do not."""
     digits = F.when(F.col(column) > 0, F.length(F.bin(column))).otherwise(0)
     many = rows.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return next(2**k for k in range(64) if sum(r["n"] for r in many if r["digits"] > k) <= most)
+    reach = lambda k: sum(r["n"] for r in many if r["digits"] > k)
+    k = next(k for k in range(64) if reach(k) <= most)
+    return 2**k, reach(k), reach(-1) - reach(k)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -438,7 +548,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     words = counted.select("word", "c", (F.col("c") > 0).cast("bigint").alias("known"), F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("base"))
 
     # The end first, then by training count.
-    enough = _power(words, "c", AT_HAND)
+    enough, _, rare = _power(words, "c", AT_HAND)
     at_hand = words.filter((F.col("c") >= enough) | (F.col("word") == "")).select("word", "c", "base", F.xxhash64("word").alias("code")).toPandas()
     at_hand = at_hand.assign(end=at_hand["word"] == "").sort_values(["end", "c", "word"], ascending=[False, False, True])
     hand = Words({w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(at_hand["word"])}, at_hand["code"].to_numpy(np.int64).view(np.uint64))
@@ -451,26 +561,35 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         levels.append(grow(grams, below, length == DEPTH))
         discard(grams)
         below = levels[-1].filter("NOT context")
-        seen = Seen(below) if length < DEPTH else None
+        seen = Seen.of(below) if length < DEPTH else None
         # What nothing names any more goes with its shuffle files before the next level writes its own.
         gc.collect()
         docs.sparkSession.sparkContext._jvm.System.gc()
     values = reduce(DataFrame.unionByName, levels).filter("value <> 0").select("code", "n", "value")
-    often = _power(values, "n", HOT)
+    often, frequent, others = _power(values, "n", HOT)
     hot = values.filter(F.col("n") >= often).groupBy("code").agg(F.sum("value").alias("value")).toArrow()
     hot_codes, hot_values = hot["code"].to_numpy().view(np.uint64), hot["value"].to_numpy()
     order = np.argsort(hot_codes)
-    counts = at_hand["c"].to_numpy(np.int64)
-    tree = Tree(hand, at_hand["base"].to_numpy(float), counts > 0, counts >= often, hot_codes[order], hot_values[order], Seen(values))
-    none = F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("b")
+    none = F.lit(0.0).alias("k"), F.lit(0.0).alias("b")
     rest = values.filter(F.col("n") < often).select("code", *none, F.col("value").alias("g"))
     not_at_hand = words.filter((F.col("c") < enough) & (F.col("word") != ""))
-    rest = rest.unionByName(not_at_hand.select(F.xxhash64("word").alias("code"), F.col("known").alias("k"), F.col("base").alias("b"), F.lit(0.0).alias("g")))
-    count = rest.count()
+    rest = rest.unionByName(not_at_hand.select(F.xxhash64("word").alias("code"), F.col("known").cast("double").alias("k"), F.col("base").alias("b"), F.lit(0.0).alias("g")))
+    parts_bits = max(4, max(n // PASSES // LOOKED_UP, (others + rare) // HASHED).bit_length())
+    power = max(_bitmap_power(frequent + others), parts_bits + 6)
+    held = saved(by_range(rest, parts_bits, power), "values")
+    # All that is read of the levels is in there.
+    discard(counted, *levels)
+    seen, piece = Seen(power), 1 << (power - parts_bits - 6)
+    for row in held.select("part", "bits").toLocalIterator():
+        seen.bits[row["part"] * piece : (row["part"] + 1) * piece] = np.frombuffer(row["bits"], np.uint64)
+    seen.add(hot_codes)
+    counts = at_hand["c"].to_numpy(np.int64)
+    tree = Tree(hand, at_hand["base"].to_numpy(float), counts > 0, counts >= often, hot_codes[order], hot_values[order], seen)
     # Sent once for all passes, as each executor writes a copy. One pass's shuffle files go before the next one writes its own.
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), shared, rest, count) for k in range(PASSES)]
+    passes = [score_texts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k), shared, held, parts_bits) for k in range(PASSES)]
     shared.destroy()
+    discard(held)
     return reduce(DataFrame.unionByName, passes).select(
         "doc_id",
         F.col("held").alias("held_out"),

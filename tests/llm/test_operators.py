@@ -655,3 +655,40 @@ def test_scoring_writes_no_lists_of_sequences(docs, monkeypatch):
     assert "scores" in written and not {"text-scores", "context-values"} & written.keys()
     for name in ("scores", "contexts"):
         assert "ShuffledHashJoin" in written[name] and "SortMergeJoin" not in written[name]
+
+
+def test_asked_sequences_travel_by_range(docs, texts, monkeypatch):
+    """What texts ask for goes to the join in a row for each range, not one for each sequence, over several stretches and ranges; nothing is lost."""
+    written = {}
+
+    def noted(df, name):
+        written[name] = df._jdf.queryExecution().toString()
+        return saved(df, name)
+
+    saved = suffix_tree.saved
+    monkeypatch.setattr(suffix_tree, "saved", noted)
+    for name, value in (("HOT", 50), ("AT_HAND", 50), ("STRETCH", 500), ("LOOKED_UP", 1000)):
+        monkeypatch.setattr(suffix_tree, name, value, raising=False)
+    scores = {i: r.score for i, r in by_id(suffix_tree.lm_scores(docs)).items()}
+    assert scores == pytest.approx(plain_scores(texts, held), rel=1e-9)
+    assert "Generate" not in written["scores"] and "FlatMapGroupsInArrow" in written["scores"]
+
+
+def test_range_has_one_row_in_order(spark):
+    """Values of a code are summed, and the range's piece of the bitmap has the codes with a gain, the first and last of a range among them."""
+    draw = random.Random(8)
+    codes = [0, 1 << 60, (1 << 64) - 1, (1 << 63) - 1, 1 << 63, *(draw.getrandbits(64) for _ in range(300))]
+    rows = [(c - (1 << 64) if c >> 63 else c, float(k), b, g) for c in codes for k, b, g in ((0, 0.0, 0.5), (1, -2.0, 0.0))]
+    rows += [(77, 1.0, -3.0, 0.0)]
+    table = spark.createDataFrame(rows, "code bigint, k double, b double, g double").repartition(3)
+    bits = np.zeros(1 << 10, np.uint64)
+    found = {}
+    for r in suffix_tree.by_range(table, 4, 16).collect():
+        of_part = np.frombuffer(r.codes, np.uint64)
+        assert (np.diff(of_part) > 0).all() and (of_part >> np.uint64(60) == r.part).all()
+        found |= {int(c): x for c, *x in zip(of_part, *(np.frombuffer(r[n], float) for n in "kbg"), strict=True)}
+        bits[r.part * 64 : (r.part + 1) * 64] = np.frombuffer(r.bits, np.uint64)
+    assert found == {c: [1.0, -2.0, 0.5] for c in codes} | {77: [1.0, -3.0, 0.0]}
+    wanted = suffix_tree.Seen(16)
+    wanted.add(np.array(codes, np.uint64))
+    assert (bits == wanted.bits).all()
