@@ -45,10 +45,12 @@ DISCOUNT = 0.5
 AT_HAND = 250_000
 #: Sequences of a range of codes that is added up in one place, about, if all differ.
 RANGE = 400_000
-#: Sequences, or words of single stretches of texts, at which a task hands on what it has counted, or what it asks for.
+#: Sequences, or words of single stretches of texts, at which a task hands on what it has counted.
 STRETCH = 1_000_000
+#: Sequences asked for, or values, at which a task hands on what it has put into ranges; it holds them several times for that.
+HANDED_ON = 400_000
 #: Tokens of a pass over the texts for a range of codes that is looked up in one place, about.
-LOOKED_UP = 1_000_000
+LOOKED_UP = 500_000
 #: Values of the part of a table that one task keeps for a join, or of a range that is looked up, about.
 HASHED = 1_000_000
 #: Most bits of a bitmap of codes, and the blocks that it is made in, as powers of two.
@@ -422,7 +424,7 @@ def by_range(values: DataFrame, parts_bits: int, power: int) -> DataFrame:
         for batch in batches:
             waiting.append(batch)
             size += batch.num_rows
-            if size >= STRETCH:
+            if size >= HANDED_ON:
                 yield out()
                 waiting, size = [], 0
         if size:
@@ -444,15 +446,16 @@ def _numbers(lists: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in lists]
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _looked_up(batches: Iterator[pa.RecordBatch], parts_bits: int) -> Iterator[pa.RecordBatch]:
     """What stretches of texts get from ranges: a row for each stretch and range, with the texts that got something and their sums."""
+    same = np.uint64(parts_bits)  # the codes of a range have their first bits in common, so places are found by the next ones
     for batch in batches:
         for asked, *values in zip(*(batch.column(c) for c in ("asked", "codes", "k", "b", "g")), strict=True):
             asked, texts, found = asked.values, [], []
             held, *more = (np.frombuffer(x.as_buffer() or b"", kind) for x, kind in zip(values, (np.uint64, float, float, float), strict=True))  # null if the range has no values
-            places = Places(held)
+            places = Places(held << same)
             for at, codes in zip(_numbers(asked.field("at"), np.int32), _numbers(asked.field("codes"), np.uint64), strict=True):
-                rows = places.find(codes)
+                rows = places.find(codes << same)
                 at, rows = at[rows >= 0], rows[rows >= 0]
                 got = np.flatnonzero(np.bincount(at))
                 texts.append(got.astype(np.int32).tobytes())
@@ -515,7 +518,7 @@ def score_texts(docs: DataFrame, shared: Broadcast, values: DataFrame, parts_bit
             own = pa.RecordBatch.from_arrays(columns, ["doc_id", "held", "n_tokens", "n_known", "base", "gain"])
             waiting.append((own, (np.cumsum(breaks)[places] + (texts - 1)).astype(np.int32), asked))
             size, texts = size + len(asked), texts + len(starts)
-            if max(size, texts) >= STRETCH:
+            if max(size, texts) >= HANDED_ON:
                 yield out()
                 stretch, waiting, size, texts = stretch + 1, [], 0, 0
         if texts:
@@ -526,7 +529,7 @@ def score_texts(docs: DataFrame, shared: Broadcast, values: DataFrame, parts_bit
     asked = asked.repartition(1 << parts_bits, "part").groupBy("part").agg(F.collect_list(F.struct("stretch", "at", "codes", "own")).alias("asked"))
     held = values.select("part", "codes", "k", "b", "g").repartition(1 << parts_bits, "part")
     met = asked.join(held.hint("shuffle_hash"), "part", "left").select("asked", "codes", "k", "b", "g")
-    found = met.mapInArrow(_looked_up, "stretch bigint, own binary, at binary, found binary")
+    found = met.mapInArrow(lambda batches: _looked_up(batches, parts_bits), "stretch bigint, own binary, at binary, found binary")
     return saved(found.groupBy("stretch").applyInArrow(_added_to_own, "doc_id bigint, held boolean, n_tokens bigint, n_known bigint, base double, gain double"), "scores")
 
 

@@ -667,7 +667,7 @@ def test_asked_sequences_travel_by_range(docs, texts, monkeypatch):
 
     saved = suffix_tree.saved
     monkeypatch.setattr(suffix_tree, "saved", noted)
-    for name, value in (("HOT", 50), ("AT_HAND", 50), ("STRETCH", 500), ("LOOKED_UP", 1000)):
+    for name, value in (("HOT", 50), ("AT_HAND", 50), ("STRETCH", 500), ("HANDED_ON", 500), ("LOOKED_UP", 1000)):
         monkeypatch.setattr(suffix_tree, name, value, raising=False)
     scores = {i: r.score for i, r in by_id(suffix_tree.lm_scores(docs)).items()}
     assert scores == pytest.approx(plain_scores(texts, held), rel=1e-9)
@@ -692,3 +692,21 @@ def test_range_has_one_row_in_order(spark):
     wanted = suffix_tree.Seen(16)
     wanted.add(np.array(codes, np.uint64))
     assert (bits == wanted.bits).all()
+
+
+def test_codes_of_a_range_are_found_by_the_bits_they_differ_in(monkeypatch):
+    """Codes that share their first bits do not share their places; a range without values gives nothing."""
+    draw, made = random.Random(9), []
+    codes = np.array(sorted((5 << 57) | draw.getrandbits(57) for _ in range(2000)), np.uint64)
+
+    class Noted(suffix_tree.Places):
+        def __init__(self, codes):
+            super().__init__(codes)
+            made.append(np.diff(self.starts).max())
+
+    monkeypatch.setattr(suffix_tree, "Places", Noted)
+    asked = pa.array([[{"stretch": 3, "at": np.array([0, 2, 2], np.int32).tobytes(), "codes": codes[[7, 9, 9]].tobytes(), "own": None}]] * 2)
+    values = [pa.array([x.tobytes(), None], pa.binary()) for x in (codes, np.zeros(2000), np.zeros(2000), np.arange(2000.0))]
+    full, empty = suffix_tree._looked_up([pa.RecordBatch.from_arrays([asked, *values], ["asked", "codes", "k", "b", "g"])], 7)
+    assert list(np.frombuffer(full["at"][0].as_buffer(), np.int32)) == [0, 2] and list(np.frombuffer(full["found"][0].as_buffer(), float)) == [0, 0, 0, 0, 7, 18]
+    assert not empty["at"][0].as_py() and not empty["found"][0].as_py() and made[0] < 10
